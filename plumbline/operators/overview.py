@@ -6,8 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from plumbline.functions.calendar import time_slot
 from plumbline.operators.events import ROW_CAP, Scope
-from plumbline.operators.visits import GAP_SECONDS, slot_of
+from plumbline.operators.visits import GAP_SECONDS
 
 
 def event_cube(rows: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def overview_kpis(sc: Scope, gap: int = GAP_SECONDS, cap: int = ROW_CAP) -> Data
     today = F.to_date(F.lit(sc.as_of))
     in_app = F.col("app") == sc.app if sc.app else F.lit(True)
     shown = in_app if sc.include_internal else in_app & ~F.col("is_internal")
-    cells = sc.all_rows.groupBy("device", slot_of(F.col("created_at"), gap).alias("slot"), "day").agg(
+    cells = sc.all_rows.groupBy("device", time_slot(F.col("created_at"), gap).alias("slot"), "day").agg(
         F.count("*").alias("scanned"),
         F.count_if(shown).alias("n"),
         F.count_if(in_app & ~shown).alias("hidden"),

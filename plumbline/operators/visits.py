@@ -10,17 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-GAP_SECONDS = 30 * 60
-
+from plumbline.functions.calendar import time_slot
 
-def slot_of(created_at, gap: int):
-    return F.floor(F.unix_micros(created_at) / F.lit(gap * 1_000_000)).cast("long")
+GAP_SECONDS = 30 * 60
 
 
 def device_slots(rows: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     return (
         rows.where(F.col("device").isNotNull() & F.col("created_at").isNotNull())
-        .groupBy("device", slot_of(F.col("created_at"), gap).alias("slot"))
+        .groupBy("device", time_slot(F.col("created_at"), gap).alias("slot"))
         .agg(
             F.min("created_at").alias("first_at"),
             F.max("created_at").alias("last_at"),
@@ -57,5 +55,5 @@ def visit_bounds(rows: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
 def visit_events(rows: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     """Events with their visit number; each slot of a device lies in one visit."""
     numbered = _numbered_slots(rows, gap).select("device", "slot", "visit_no")
-    slotted = rows.withColumn("slot", slot_of(F.col("created_at"), gap))
+    slotted = rows.withColumn("slot", time_slot(F.col("created_at"), gap))
     return slotted.join(numbered, ["device", "slot"], "left").drop("slot")

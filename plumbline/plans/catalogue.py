@@ -1,6 +1,6 @@
 """All registered queries; importing the modules fills the registry."""
 
-from plumbline.plans import event_queries  # noqa: F401
+from plumbline.plans import event_queries, referral_queries  # noqa: F401
 from plumbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
