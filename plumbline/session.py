@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults that suit every job here; anything already set by spark-submit wins.
 JOB_SETTINGS = {
@@ -52,7 +52,8 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/plumbline/{label}-{uuid.uuid4().hex}"
 
 
-def settle(df):
-    """Write `df` out once through a reliable checkpoint and read it back."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared folder once and go on from the stored table."""
+    path = fresh_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
