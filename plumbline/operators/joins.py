@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
@@ -26,7 +29,7 @@ def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int =
 
 
 def lookup_join(
-    facts: DataFrame, dim: DataFrame, key: str, spread_by: str,
+    facts: DataFrame, dim: DataFrame, key: str | list[str], spread_by: str,
     max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Left join with a frame that holds one row per key.
@@ -35,26 +38,24 @@ def lookup_join(
     fact rows of hot or null keys are spread over all partitions by `spread_by`:
     their answer comes from the few hot keys, looked up beforehand.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if small_enough(dim, max_rows, max_bytes):
-        return facts.join(F.broadcast(dim), key, "left")
+        return facts.join(F.broadcast(dim), keys, "left")
 
-    payload = [c for c in dim.columns if c != key]
+    payload = [c for c in dim.columns if c not in keys]
+    incomplete = reduce(or_, [F.col(k).isNull() for k in keys])
     least = max(facts.count() // HOT_KEYS_AT_MOST, 1)
     hot = (
-        facts.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-        .where(F.col("_n") > least).select(key)
-        .join(dim, key, "left")
-        .select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in payload])
+        facts.where(~incomplete).groupBy(*keys).agg(F.count("*").alias("_n"))
+        .where(F.col("_n") > least).select(*keys)
+        .join(dim, keys, "left")
+        .select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in payload])
     )
-    facts = facts.join(F.broadcast(hot), key, "left")
-    apart = F.coalesce("_hot", F.lit(False)) | F.col(key).isNull()
-    facts = facts.withColumn("_lane", F.when(apart, F.abs(F.xxhash64(spread_by)) + 1).otherwise(F.lit(0)))
+    is_hot = F.coalesce("_hot", F.lit(False))
+    lane = F.when(is_hot | incomplete, F.abs(F.xxhash64(spread_by) % 1_000_000) + 1).otherwise(F.lit(0))
+    spread = facts.join(F.broadcast(hot), keys, "left").withColumn("_lane", lane)
     # Always zero, but not a constant, so that the lane stays part of the shuffle key.
-    lanes = dim.withColumn("_lane", F.pmod(F.xxhash64(key), F.lit(1)))
-    joined = facts.join(lanes, [key, "_lane"], "left")
-    answers = [
-        F.when(F.coalesce("_hot", F.lit(False)), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c)
-        for c in payload
-    ]
-    kept = [c for c in facts.columns if c not in {"_hot", "_lane"} and not c.startswith("_hot_")]
-    return joined.select(*kept, *answers)
+    lanes = dim.withColumn("_lane", F.pmod(F.xxhash64(*keys), F.lit(1)))
+    answers = [F.when(is_hot, F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in payload]
+    rest = [c for c in facts.columns if c not in keys]
+    return spread.join(lanes, [*keys, "_lane"], "left").select(*keys, *rest, *answers)

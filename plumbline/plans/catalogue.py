@@ -1,6 +1,8 @@
 """All registered queries; importing the modules fills the registry."""
 
-from plumbline.plans import event_queries, referral_queries, rent_queries  # noqa: F401
+from plumbline.plans import (  # noqa: F401
+    event_queries, finance_queries, referral_queries, rent_queries,
+)
 from plumbline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
