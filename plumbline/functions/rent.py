@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from plumbline.functions.text import filled, trimmed
+from plumbline.functions.delimited import cells_of
+from plumbline.functions.text import filled
 
 # Header names per column, letters and digits only (our own beyond the tested ones).
 HEADER_NAMES = {
@@ -24,7 +25,6 @@ HEADER_NAMES = {
 HEADER_HINT = r"(?i)\b(suite|unit|space|ste)\b"
 AS_OF_HINT = r"(?i)\bas of\b"
 AS_OF_DATE = r"(?i)\bas of:?\s+([A-Z][a-z]+ \d{1,2}, \d{4})"
-CSV_CELL = '("(?:[^"]|"")*"|[^,]*),'
 SUMMARY_ROW = r"(?i)\b(sub-?\s?totals?|grand\s+totals?|totals?)\b"
 # A short id with a digit, or one or two letters (the latter is our own).
 SUITE_ID = (
@@ -44,16 +44,8 @@ def is_tabbed(line: Column) -> Column:
 
 
 def split_cells(line: Column, tabbed: Column) -> Column:
-    """Trimmed cells of a line; commas inside quotes do not separate."""
-    quoted = F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(CSV_CELL), F.lit(1))
-    unquoted = F.transform(
-        quoted,
-        lambda c: F.when(
-            c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(c),
-    )
-    cells = F.when(tabbed, F.split(line, "\t")).otherwise(unquoted)
-    return F.transform(cells, trimmed)
+    """Trimmed cells of a line."""
+    return cells_of(line, F.when(tabbed, "\t").otherwise(","), marks=(",", "\t"))
 
 
 def canonical_header(cell: Column) -> Column:

@@ -6,9 +6,9 @@ from datetime import date
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from plumbline.functions.delimited import cells_of, usual_delimiter, without_bom
 from plumbline.functions.money import parse_amount
-from plumbline.functions.rent import CSV_CELL, parse_date
-from plumbline.functions.text import trimmed
+from plumbline.functions.rent import parse_date
 from plumbline.operators.joins import lookup_join
 from plumbline.session import settle
 
@@ -23,25 +23,8 @@ HEADER_NAMES = {
 }
 # Share of filled cells that must read as the expected type.
 TYPE_SHARE = 0.8
-BOM = "\ufeff"
-
-
-def _delimiter(line):
-    """The most frequent of tab, semicolon and comma."""
-    count = lambda mark: F.length(line) - F.length(F.replace(line, F.lit(mark), F.lit("")))
-    tabs, semis, commas = count("\t"), count(";"), count(",")
-    return F.when((tabs >= semis) & (tabs >= commas), "\t").when(semis >= commas, ";").otherwise(",")
-
-
-def _cells(line, delimiter):
-    def quoted(mark):
-        found = F.regexp_extract_all(F.concat(line, F.lit(mark)), F.lit(CSV_CELL.replace(",", mark)), F.lit(1))
-        return F.transform(found, lambda c: F.when(
-            c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
-        ).otherwise(c))
-
-    cells = F.when(delimiter == "\t", F.split(line, "\t")).when(delimiter == ";", quoted(";")).otherwise(quoted(","))
-    return F.transform(cells, trimmed)
+DATE_LIKE = r"^(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-](\d{4}|\d{2}))$"
+AMOUNT_LIKE = r"^[(-]?[$€£]?-?(\d{1,3}([.,]\d{3})*|\d+)[.,]\d{2}[)-]?$"
 
 
 def _canonical(cell):
@@ -55,9 +38,9 @@ def _canonical(cell):
 
 def header_guess(lines: DataFrame) -> DataFrame:
     """First pass: per file the first line with three or more known headers."""
-    line = F.replace(F.col("line"), F.lit(BOM), F.lit(""))
-    delimiter = _delimiter(line)
-    header = F.transform(_cells(line, delimiter), _canonical)
+    line = without_bom(F.col("line"))
+    delimiter = usual_delimiter(line)
+    header = F.transform(cells_of(line, delimiter), _canonical)
     known = F.size(F.array_distinct(F.filter(header, lambda h: h.isNotNull())))
     hint = "(?i)date|acc|amt|amount|ent|ref|prop|desc"
     return (
@@ -71,7 +54,7 @@ def header_guess(lines: DataFrame) -> DataFrame:
 
 def _body(lines: DataFrame, headers: DataFrame) -> DataFrame:
     rows = lookup_join(lines, headers, "file_id", "line_no").where(F.col("line_no") > F.col("header_line"))
-    return rows.where(F.trim("line") != "").withColumn("cells", _cells(F.col("line"), F.col("delimiter")))
+    return rows.where(F.trim("line") != "").withColumn("cells", cells_of(F.col("line"), F.col("delimiter")))
 
 
 def column_profile(rows: DataFrame) -> DataFrame:
@@ -81,8 +64,8 @@ def column_profile(rows: DataFrame) -> DataFrame:
         rows.select("file_id", F.posexplode("cells").alias("position", "cell"))
         .groupBy("file_id", "position").agg(
             F.count_if(cell != "").alias("filled"),
-            F.count_if(parse_date(cell, F.lit(False)).isNotNull() | parse_date(cell, F.lit(True)).isNotNull()).alias("dates"),
-            F.count_if(parse_amount(cell).isNotNull() & cell.rlike(r"[.,]\d{2}\)?-?$")).alias("amounts"),
+            F.count_if(cell.rlike(DATE_LIKE)).alias("dates"),
+            F.count_if(cell.rlike(AMOUNT_LIKE)).alias("amounts"),
         )
         .select(
             "file_id", "position",

@@ -68,7 +68,7 @@ def statements(spark: SparkSession, folder: str, prior: str, current: str) -> tu
 
 HEADERS = [
     "GLDate,Acct#,AcctDesc,Ent,Amt,RefNo",
-    "﻿Posting Date;Account Number;Account Name;Property;Amount;Reference",
+    "\ufeffPosting Date;Account Number;Account Name;Property;Amount;Reference",
     "RefNo\tAmount\tDate\tAccount\tEnt\tDescription\tNet",
 ]
 
