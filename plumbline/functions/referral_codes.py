@@ -26,7 +26,8 @@ def code_from_url(url: Column) -> Column:
 
 
 def referral_link(site: str, code: Column) -> Column:
-    return F.concat(F.regexp_replace(F.lit(site), "/+$", ""), F.lit("?ref="), F.url_encode(code))
+    escaped = F.replace(F.url_encode(code), F.lit("+"), F.lit("%20"))
+    return F.concat(F.regexp_replace(F.lit(site), "/+$", ""), F.lit("?ref="), escaped)
 
 
 def clean_email(text: Column) -> Column:

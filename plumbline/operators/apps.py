@@ -8,21 +8,28 @@ from plumbline.functions.outcomes import FUNNEL, is_error, is_opened, is_success
 from plumbline.functions.text import one_decimal
 
 
-def app_stats(rows: DataFrame) -> DataFrame:
-    """Totals, opening devices and success rate per app.
-
-    Reduced per (app, device) first, so the distinct count is a plain sum.
-    """
+def per_device(rows: DataFrame, steps=FUNNEL) -> DataFrame:
+    """Counts and reached steps per (app, device); distinct devices become plain sums over it."""
     event = F.col("event")
-    per_device = rows.groupBy("app", "device").agg(
+    flags = [F.bool_or(test(event)).alias(f"step_{i}") for i, (_, _, test) in enumerate(steps)]
+    return rows.groupBy("app", "device").agg(
         F.count("*").alias("n"),
         F.bool_or(is_opened(event)).alias("opened"),
         F.count_if(is_success(event)).alias("successes"),
         F.count_if(is_error(event)).alias("errors"),
+        *flags,
     )
+
+
+def app_stats(rows: DataFrame) -> DataFrame:
+    """Totals, opening devices and success rate per app."""
+    return stats_of(per_device(rows))
+
+
+def stats_of(devices: DataFrame) -> DataFrame:
     outcomes = F.col("success_count") + F.col("error_count")
     return (
-        per_device.groupBy("app").agg(
+        devices.groupBy("app").agg(
             F.sum("n").alias("total_events"),
             F.count_if(F.col("opened") & F.col("device").isNotNull()).alias("total_sessions"),
             F.sum("successes").alias("success_count"),
@@ -37,13 +44,15 @@ def app_stats(rows: DataFrame) -> DataFrame:
 
 def app_funnel(rows: DataFrame, steps=FUNNEL) -> DataFrame:
     """Devices per step, steps unordered in time; drop-off against the first step."""
-    flags = [F.bool_or(test(F.col("event"))).alias(f"step_{i}") for i, (_, _, test) in enumerate(steps)]
-    per_device = rows.groupBy("app", "device").agg(*flags)
+    return funnel_of(per_device(rows, steps), steps)
+
+
+def funnel_of(devices: DataFrame, steps=FUNNEL) -> DataFrame:
     counts = [
         F.count_if(F.col(f"step_{i}") & F.col("device").isNotNull()).alias(f"n_{i}")
         for i in range(len(steps))
     ]
-    wide = per_device.groupBy("app").agg(*counts)
+    wide = devices.groupBy("app").agg(*counts)
     long = F.array(*[
         F.struct(
             F.lit(i + 1).alias("step_no"), F.lit(key).alias("step"), F.lit(label).alias("label"),

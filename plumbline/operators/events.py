@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions.properties import self_tagged
 from plumbline.functions.text import defaulted_app, filled
 from plumbline.operators.joins import lookup_join
+from plumbline.schemas import DAY_COLUMN
 
 # Any other range name means no lower bound.
 RANGE_DAYS = {"7d": 7, "30d": 30, "90d": 90}
@@ -22,9 +23,17 @@ def since(range_name: str, as_of: datetime) -> datetime | None:
 
 
 def in_range(events: DataFrame, range_name: str, as_of: datetime) -> DataFrame:
-    """Rows at or after the lower bound; a plain comparison, so it reaches the scan."""
+    """Rows at or after the lower bound.
+
+    A plain comparison, so it reaches the scan; on a table stored by day it also
+    leaves earlier folders unread.
+    """
     start = since(range_name, as_of)
-    return events if start is None else events.where(F.col("created_at") >= F.lit(start))
+    if start is None:
+        return events
+    if DAY_COLUMN in events.columns:
+        events = events.where(F.col(DAY_COLUMN) >= F.lit(start.date()))
+    return events.where(F.col("created_at") >= F.lit(start))
 
 
 def newest(events: DataFrame, cap: int) -> DataFrame:

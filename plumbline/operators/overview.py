@@ -30,7 +30,11 @@ def daily_series(rows: DataFrame, as_of: datetime) -> DataFrame:
     The axis is made from the daily counts themselves. Each use keeps the count
     column, so that all of them share one aggregate of the events.
     """
-    daily = daily_by_app(rows)
+    return dense_days(daily_by_app(rows), as_of)
+
+
+def dense_days(daily: DataFrame, as_of: datetime) -> DataFrame:
+    """Zero-filled days for counts per app and day."""
     first = daily.select(F.min(F.when(F.col("n") > 0, F.col("day")))).scalar()
     axis = F.sequence("first_day", F.greatest(F.col("first_day"), F.to_date(F.lit(as_of))))
     spine = (
@@ -53,8 +57,11 @@ def events_by(rows: DataFrame, key: str, top: int | None = None) -> DataFrame:
 
 def hour_of_day(rows: DataFrame) -> DataFrame:
     """24 rows, zero-filled."""
-    spine = rows.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
-    counts = rows.groupBy("hour").agg(F.count("*").alias("n"))
+    return dense_hours(rows.groupBy("hour").agg(F.count("*").alias("n")))
+
+
+def dense_hours(counts: DataFrame) -> DataFrame:
+    spine = counts.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     return spine.join(counts, "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
 
 

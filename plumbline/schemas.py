@@ -10,6 +10,8 @@ def _table(*fields):
 
 
 MONEY = DecimalType(18, 2)
+# Folder column of the stored event table.
+DAY_COLUMN = "event_date"
 
 EVENTS = _table(
     ("id", LongType(), False),

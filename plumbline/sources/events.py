@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators.exclusions import delete_by_id
-from plumbline.schemas import EVENTS
+from plumbline.schemas import DAY_COLUMN, EVENTS
 
-DAY_COLUMN = "event_date"
 ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 # Fixed value: columns of the raw export, in order.
 EXPORT_COLUMNS = ["id", "created_at", "app", "event", "session_id", "path", "user_agent", "internal", "properties"]
 
 
 def read_events(spark: SparkSession, *paths: str) -> DataFrame:
-    """Stored events, from one or several tables with the same columns."""
+    """Stored events with their day, from one or several tables with the same columns."""
     return spark.read.schema(EVENTS).parquet(*paths)
 
 
