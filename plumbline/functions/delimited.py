@@ -16,7 +16,7 @@ def without_bom(line: Column) -> Column:
 def _split(line: Column, mark: str) -> Column:
     """Cells between marks; a mark inside quotes does not separate, doubled quotes stand for one."""
     found = F.regexp_extract_all(
-        F.concat(line, F.lit(mark)), F.lit(f'("(?:[^"]|"")*"|[^{mark}]*){mark}'), F.lit(1)
+        F.concat(line, F.lit(mark)), F.lit(f'("(?:[^"]++|"")*+"|[^{mark}]*+){mark}'), F.lit(1)
     )
     unquoted = F.transform(found, lambda c: F.when(
         c.startswith('"'), F.replace(c.substr(F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))

@@ -27,14 +27,11 @@ STRICT = Materiality("and", 15_000.0, 0.15, 5_000.0)
 
 def parse_amount(text: Column) -> Column:
     """Money cell to decimal(18,2): separators, currency signs, brackets for negatives, decimal commas."""
-    bare = F.regexp_replace(text, r"[$€£\s]", "")
-    negative = bare.rlike(r"^\(.*\)$|-$")
-    digits = F.regexp_replace(bare, r"[()]|-$", "")
-    plain = F.when(
-        digits.rlike(r"^-?[\d.]*\d,\d{2}$"), F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    ).otherwise(F.replace(digits, F.lit(","), F.lit("")))
-    value = plain.try_cast("decimal(18,2)")
-    return F.when(negative, -value).otherwise(value).cast("decimal(18,2)")
+    negative = text.startswith("(") | text.endswith("-")
+    digits = F.rtrim(F.translate(text, "$€£ \u00a0()", ""), F.lit("-"))
+    decimal_comma = F.substring(digits, -3, 1) == ","
+    plain = F.when(decimal_comma, F.translate(digits, ",.", ".")).otherwise(F.translate(digits, ",", ""))
+    return F.concat(F.when(negative, "-").otherwise(""), plain).try_cast("decimal(18,2)")
 
 
 def variance_pct(variance: Column, budget: Column) -> Column:

@@ -48,14 +48,17 @@ def split_cells(line: Column, tabbed: Column) -> Column:
     return cells_of(line, F.when(tabbed, "\t").otherwise(","), marks=(",", "\t"))
 
 
-def canonical_header(cell: Column) -> Column:
-    """Column meant by a header cell, null for any other text."""
-    name = F.regexp_replace(F.lower(cell), "[^a-z0-9%]", "")
-    out = None
-    for column, names in HEADER_NAMES.items():
-        hit = name.isin(names)
-        out = F.when(hit, column) if out is None else out.when(hit, column)
-    return out
+def canonical_headers(cells: Column) -> Column:
+    """Columns meant by header cells, null for any other text."""
+    names = F.transform(cells, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9%]", ""))
+
+    def canonical(name):
+        out = None
+        for column, known in HEADER_NAMES.items():
+            out = F.when(name.isin(known), column) if out is None else out.when(name.isin(known), column)
+        return out
+
+    return F.transform(names, canonical)
 
 
 def cell_of(cells: Column, header: Column, column: str) -> Column:
@@ -71,7 +74,7 @@ def parse_number(text: Column, lowest: float | None = None) -> Column:
 
 
 def _ymd(year: Column, month: Column, day: Column) -> Column:
-    return F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("y-M-d")).cast("date")
+    return F.concat_ws("-", year, month, day).try_cast("date")
 
 
 def slashed_parts(text: Column) -> tuple[Column, Column]:

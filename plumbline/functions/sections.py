@@ -8,8 +8,10 @@ from plumbline.functions.text import filled, slug, trimmed
 
 # Fixed values.
 SECTION_NUMBER = r"^(\d+(?:\.\d+)*)[.)]?(?:\s|$)"
-HEADING = r"^(#{2,3})\s+(.+?)\s*$"
-ANY_HEADING = r"^(#{1,6})\s+(.+?)\s*#*$"
+# For trimmed lines.
+HEADING = r"^(#{2,3})\s+(.+)$"
+ANY_HEADING = r"^(#{1,6})\s+(.*[^\s#].*?)[\s#]*$"
+MAYBE_NUMBERED = r"^(?:#{2,3}\s+|\*\*)\d"
 BOLD_SECTION = r"^\*\*(\d+(?:\.\d+)+[^*]*?)\*\*$"
 RULE = "\n-{3,}\n"
 TITLE = r"(?m)^#\s+(.+)$"

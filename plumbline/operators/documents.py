@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.sections import (
-    ANY_HEADING, anchor_id, heading_depth, heading_text, preamble_of, section_id,
+    ANY_HEADING, MAYBE_NUMBERED, anchor_id, heading_depth, heading_text, preamble_of, section_id,
 )
 from plumbline.functions.text import trimmed
 
@@ -40,7 +40,8 @@ def section_index(docs: DataFrame) -> DataFrame:
     """Numbered sections of every document; the first line with an id wins."""
     line, number = F.col("line"), F.col("id")
     entries = (
-        _marked_lines(docs).withColumn("label", heading_text(line)).where("label is not null")
+        _marked_lines(docs).where(line.rlike(MAYBE_NUMBERED))
+        .withColumn("label", heading_text(line)).where("label is not null")
         .withColumn("id", section_id(F.col("label"))).where("id is not null")
         .select("doc_id", "pos", "id", "label", heading_depth(line, number).alias("depth"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.functions.delimited import cells_of, usual_delimiter, without_bom
 from plumbline.functions.money import parse_amount
+from plumbline.functions.outcomes import mentions
 from plumbline.functions.rent import parse_date
 from plumbline.operators.joins import lookup_join
 from plumbline.session import settle
@@ -21,30 +22,34 @@ HEADER_NAMES = {
     "amount": ["amt", "amount", "netamount", "netamt"],
     "ref_no": ["refno", "ref", "ref#", "reference", "invoice", "invoiceno"],
 }
+# Every known header contains one of these.
+HEADER_HINTS = ("date", "acc", "am", "ent", "prop", "ref", "invo", "desc")
 # Share of filled cells that must read as the expected type.
 TYPE_SHARE = 0.8
 DATE_LIKE = r"^(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-](\d{4}|\d{2}))$"
 AMOUNT_LIKE = r"^[(-]?[$€£]?-?(\d{1,3}([.,]\d{3})*|\d+)[.,]\d{2}[)-]?$"
 
 
-def _canonical(cell):
-    name = F.regexp_replace(F.lower(cell), "[^a-z0-9#]", "")
-    out = None
-    for column, names in HEADER_NAMES.items():
-        hit = name.isin(names)
-        out = F.when(hit, column) if out is None else out.when(hit, column)
-    return out
+def _canonical_headers(cells):
+    names = F.transform(cells, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9#]", ""))
+
+    def canonical(name):
+        out = None
+        for column, known in HEADER_NAMES.items():
+            out = F.when(name.isin(known), column) if out is None else out.when(name.isin(known), column)
+        return out
+
+    return F.transform(names, canonical)
 
 
 def header_guess(lines: DataFrame) -> DataFrame:
     """First pass: per file the first line with three or more known headers."""
     line = without_bom(F.col("line"))
     delimiter = usual_delimiter(line)
-    header = F.transform(cells_of(line, delimiter), _canonical)
+    header = _canonical_headers(cells_of(line, delimiter))
     known = F.size(F.array_distinct(F.filter(header, lambda h: h.isNotNull())))
-    hint = "(?i)date|acc|amt|amount|ent|ref|prop|desc"
     return (
-        lines.where(F.col("line").rlike(hint))
+        lines.where(mentions(F.lower("line"), HEADER_HINTS))
         .select("file_id", "line_no", delimiter.alias("delimiter"), header.alias("header"), known.alias("known"))
         .where("known >= 3").groupBy("file_id")
         .agg(F.min(F.struct("line_no", "delimiter", "header")).alias("head"))
@@ -57,20 +62,37 @@ def _body(lines: DataFrame, headers: DataFrame) -> DataFrame:
     return rows.where(F.trim("line") != "").withColumn("cells", cells_of(F.col("line"), F.col("delimiter")))
 
 
+def _share(filled, fitting):
+    return F.when(filled > 0, fitting / filled).otherwise(0.0)
+
+
+def _cell(column: str):
+    position = F.nullif(F.array_position("header", column), F.lit(0)).cast("int")
+    return F.try_element_at("cells", position)
+
+
+def doubtful_files(rows: DataFrame) -> DataFrame:
+    """Files whose date or amount column, as named by the header, does not read as one."""
+    shares = []
+    for column, pattern in (("gl_date", DATE_LIKE), ("amount", AMOUNT_LIKE)):
+        cell = F.coalesce(_cell(column), F.lit(""))
+        shares.append(_share(F.count_if(cell != ""), F.count_if(cell.rlike(pattern))).alias(column))
+    return rows.groupBy("file_id").agg(*shares).where(f"gl_date < {TYPE_SHARE} or amount < {TYPE_SHARE}").select("file_id")
+
+
 def column_profile(rows: DataFrame) -> DataFrame:
     """Share of filled cells per file and position that read as a date or as an amount."""
     cell = F.col("cell")
     return (
-        rows.select("file_id", F.posexplode("cells").alias("position", "cell"))
+        rows.select("file_id", F.posexplode("cells").alias("position", "cell")).where(cell != "")
         .groupBy("file_id", "position").agg(
-            F.count_if(cell != "").alias("filled"),
+            F.count("*").alias("filled"),
             F.count_if(cell.rlike(DATE_LIKE)).alias("dates"),
             F.count_if(cell.rlike(AMOUNT_LIKE)).alias("amounts"),
         )
         .select(
-            "file_id", "position",
-            F.when(F.col("filled") > 0, F.col("dates") / F.col("filled")).otherwise(0.0).alias("date_share"),
-            F.when(F.col("filled") > 0, F.col("amounts") / F.col("filled")).otherwise(0.0).alias("amount_share"),
+            "file_id", "position", _share(F.col("filled"), F.col("dates")).alias("date_share"),
+            _share(F.col("filled"), F.col("amounts")).alias("amount_share"),
         )
     )
 
@@ -100,19 +122,18 @@ def verified_columns(headers: DataFrame, profile: DataFrame) -> DataFrame:
 
 
 def normalise_ledger(lines: DataFrame) -> DataFrame:
-    """Export lines of any known layout to ledger rows."""
-    guess = settle(header_guess(lines))
-    verified = settle(verified_columns(guess, column_profile(_body(lines, guess))))
-    rows = _body(lines, verified)
+    """Export lines of any known layout to ledger rows.
 
-    def cell(column):
-        position = F.nullif(F.array_position("header", column), F.lit(0)).cast("int")
-        return F.try_element_at("cells", position)
-
-    return rows.select(
-        "file_id", "line_no", parse_date(cell("gl_date"), F.lit(False)).alias("gl_date"),
-        cell("account").alias("account"), cell("account_name").alias("account_name"), cell("entity").alias("entity"),
-        parse_amount(cell("amount")).alias("amount"), cell("ref_no").alias("ref_no"),
+    Only files whose named columns fail the check are profiled column by column.
+    """
+    guess = settle(header_guess(lines))
+    doubtful = guess.join(settle(doubtful_files(_body(lines, guess))), "file_id", "left_semi")
+    corrected = settle(verified_columns(doubtful, column_profile(_body(lines, doubtful))))
+    headers = guess.join(corrected, "file_id", "left_anti").unionByName(corrected)
+    return _body(lines, headers).select(
+        "file_id", "line_no", parse_date(_cell("gl_date"), F.lit(False)).alias("gl_date"),
+        _cell("account").alias("account"), _cell("account_name").alias("account_name"), _cell("entity").alias("entity"),
+        parse_amount(_cell("amount")).alias("amount"), _cell("ref_no").alias("ref_no"),
     )
 
 

@@ -35,7 +35,7 @@ def file_headers(lines: DataFrame) -> DataFrame:
     """Per file: header line, delimiter, columns, and the as-of date stated above the header."""
     line = F.col("line")
     tabbed = rent.is_tabbed(line)
-    header = F.transform(rent.split_cells(line, tabbed), rent.canonical_header)
+    header = rent.canonical_headers(rent.split_cells(line, tabbed))
     known = F.size(F.array_distinct(F.filter(header, lambda h: h.isNotNull())))
     as_of = rent.title_as_of(line)
     told = (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.session import settle
 from plumbline.sources.given_tables import given, select_list
 
 # Amounts are whole cents, computed in integers on both sides. Returned items are credits.
@@ -74,7 +75,10 @@ HEADERS = [
 
 
 def ledger_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Three export layouts; the third has quantities under `Amount` and the amounts under an unknown name."""
+    """Stored export lines in three layouts.
+
+    The third has quantities under `Amount` and the amounts under an unknown name.
+    """
     facts = _facts(spark, folder).withColumn("amount", money("cents"))
     layout, day = F.col("layout"), F.date_format("gl_date", "MM/dd/yyyy")
     name = F.concat("account", F.lit(" goods"))
@@ -96,7 +100,7 @@ def ledger_lines(spark: SparkSession, folder: str) -> DataFrame:
                 F.element_at(F.array(*[F.lit(h) for h in HEADERS]), (F.col("s_nationkey") % 3 + 1).cast("int")).alias("line"))
         .distinct()
     )
-    return head.unionByName(body)
+    return settle(head.unionByName(body))
 
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.session import settle
 from plumbline.sources.given_tables import given, select_list
 
 # layout 0: csv, building column, ISO dates      1: tabs, month/day/year, lease start, as-of title
@@ -94,4 +95,5 @@ def roll_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(h) for h in HEADERS]), layout + 1),
     )
     head = facts.select("file_id", "layout").distinct().select("file_id", F.posexplode(titles).alias("line_no", "line"))
-    return head.select("file_id", F.col("line_no").cast("long").alias("line_no"), "line").unionByName(body)
+    # Stored once, as files would be: a roll is read several times.
+    return settle(head.select("file_id", F.col("line_no").cast("long").alias("line_no"), "line").unionByName(body))
