@@ -7,45 +7,48 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions.clients import browser_of, platform_of
 
 
-def _newest_first():
-    return F.struct("created_at", "id")
+# The client of a device is that of its newest event. Grouping by the client first
+# leaves plain maxima for the large aggregate, which can then hash instead of sort.
+# Of several clients at the very same instant the last by name is taken.
 
 
 def devices_by_platform(rows: DataFrame) -> DataFrame:
     """Devices per platform of their newest event, an empty user agent included."""
-    newest = (
-        rows.where("device is not null").groupBy("device")
-        .agg(F.max_by(platform_of(F.col("user_agent")), _newest_first()).alias("platform"))
+    per_client = (
+        rows.where("device is not null")
+        .groupBy("device", platform_of(F.col("user_agent")).alias("platform"))
+        .agg(F.max("created_at").alias("at"))
     )
-    return newest.groupBy("platform").agg(F.count("*").alias("n"))
+    newest = per_client.groupBy("device").agg(F.max(F.struct("at", "platform")).alias("last"))
+    return newest.groupBy("last.platform").agg(F.count("*").alias("n"))
 
 
 def device_table(rows: DataFrame) -> DataFrame:
     """One row per device over all rows in range.
 
-    Reduced per (device, app) first: the set of apps is then collected from a
-    handful of rows instead of from every event.
+    Reduced per device, app and client first: apps and newest client are then found
+    among a handful of rows instead of among all events.
     """
-    client = F.struct(
-        platform_of(F.col("user_agent")).alias("platform"), browser_of(F.col("user_agent")).alias("browser")
-    )
-    per_app = rows.where("device is not null").groupBy("device", "app").agg(
+    per_client = rows.where("device is not null").groupBy(
+        "device", "app",
+        platform_of(F.col("user_agent")).alias("platform"), browser_of(F.col("user_agent")).alias("browser"),
+    ).agg(
         F.count("*").alias("events"),
-        F.max(F.struct("created_at", "id", client.alias("client"))).alias("last"),
+        F.max("created_at").alias("at"),
         F.bool_or("self_tag").alias("flagged"),
         F.bool_or("is_excluded").alias("internal"),
     )
     return (
-        per_app.groupBy("device").agg(
-            F.max("last").alias("last"),
+        per_client.groupBy("device").agg(
+            F.max(F.struct("at", "platform", "browser")).alias("last"),
             F.sort_array(F.collect_set("app")).alias("apps"),
             F.sum("events").alias("events"),
             F.bool_or("flagged").alias("flagged"),
             F.bool_or("internal").alias("internal"),
         )
         .select(
-            F.col("device").alias("device_id"), "last.client.platform", "last.client.browser", "apps", "events",
-            F.col("last.created_at").alias("last_seen"), "flagged", "internal",
+            F.col("device").alias("device_id"), "last.platform", "last.browser", "apps", "events",
+            F.col("last.at").alias("last_seen"), "flagged", "internal",
         )
     )
 

@@ -11,10 +11,11 @@ from plumbline.functions.referral_codes import (
     REWARD_EVERY, clean_email, code_from_url, referral_code, referral_link,
 )
 from plumbline.operators.joins import lookup_join
+from plumbline.session import settle
 
 WINDOW_DAYS = 30
 # Clicks and signups of one browser are ordered within slots of this length first.
-SLOT_SECONDS = 3600
+SLOT_SECONDS = 60
 
 
 def with_ref_codes(df: DataFrame, url: str) -> DataFrame:
@@ -86,7 +87,7 @@ def with_referrer(attributed: DataFrame, profiles: DataFrame) -> DataFrame:
         .groupBy(F.col("referral_code").alias("code")).agg(F.min_by("user_id", F.struct("created_at", "user_id")).alias("referrer_id"))
     )
     coded = attributed.withColumn("code", referral_code(F.col("ref_code")))
-    return lookup_join(coded, owners, "code", "user_id").drop("code")
+    return lookup_join(coded, settle(owners), "code", "user_id").drop("code")
 
 
 def referral_counts(profiles: DataFrame) -> DataFrame:

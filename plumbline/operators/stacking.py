@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.rent import floor_order
 from plumbline.operators.joins import lookup_join
+from plumbline.session import settle
 
 
 def _area():
@@ -79,7 +80,7 @@ def summary_sheet(suites: DataFrame) -> DataFrame:
 def roll_sheets(suites: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Roll sheets as (single-building rolls, multi-building rolls); only the latter have a Building column."""
     per_file = suites.groupBy("file_id").agg((F.min("building") != F.max("building")).alias("several"))
-    marked = lookup_join(suites, per_file, "file_id", "line_no")
+    marked = lookup_join(suites, settle(per_file), "file_id", "line_no")
     columns = ["suite", "tenant", "floor", "sf", "lease_end", "status"]
     return (
         marked.where("not several").select("file_id", *columns),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.functions.money import Materiality, dollars, is_material, variance_pct
 from plumbline.operators.joins import lookup_join
+from plumbline.session import settle
 
 LINE = ["entity", "account", "period"]
 ZERO = "decimal(28,2)"
@@ -46,7 +47,7 @@ def variance_drivers(lines: DataFrame, ledger: DataFrame, top_k: int = 3) -> Dat
     """The ledger entries with the largest amounts behind each material line."""
     flagged = lines.where("material").select(*LINE, "variance")
     behind = lookup_join(
-        ledger.select(*LINE, "gl_date", "ref_no", "amount"), flagged, LINE, "ref_no"
+        ledger.select(*LINE, "gl_date", "ref_no", "amount"), settle(flagged), LINE, "ref_no"
     ).where("variance is not null")
     order = W.partitionBy(*LINE).orderBy(F.desc(F.abs("amount")), "gl_date", "ref_no", "amount")
     return behind.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
@@ -73,6 +74,15 @@ def narratives(lines: DataFrame, drivers: DataFrame) -> DataFrame:
     )
 
 
+def variance_report(
+    budget: DataFrame, ledger: DataFrame, rule: Materiality = Materiality(), top_k: int = 3,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Variances, the entries behind them and sentences; the variances are computed once and stored."""
+    lines = settle(variance_lines(budget, ledger, rule))
+    drivers = settle(variance_drivers(lines, ledger, top_k))
+    return lines, drivers, narratives(lines, drivers)
+
+
 def markdown_lines(texts: DataFrame) -> DataFrame:
     """Narratives as markdown bullets."""
     return texts.select(F.concat(F.lit("- **"), "entity", F.lit(" · "), "period", F.lit("** "), "text").alias("value"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.functions.calendar import time_slot
+from plumbline.operators.joins import lookup_join
+from plumbline.session import settle
 
 GAP_SECONDS = 30 * 60
 
@@ -56,4 +58,4 @@ def visit_events(rows: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     """Events with their visit number; each slot of a device lies in one visit."""
     numbered = _numbered_slots(rows, gap).select("device", "slot", "visit_no")
     slotted = rows.withColumn("slot", time_slot(F.col("created_at"), gap))
-    return slotted.join(numbered, ["device", "slot"], "left").drop("slot")
+    return lookup_join(slotted, settle(numbered), ["device", "slot"], "id").drop("slot")

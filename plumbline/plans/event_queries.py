@@ -194,8 +194,8 @@ register(
 )
 
 register("devices_by_platform", visible(devices.devices_by_platform), BASE + """SELECT platform, count(*) AS n FROM (
-  SELECT device, arg_max(platform, (created_at, id)) AS platform FROM v WHERE device IS NOT NULL GROUP BY device) GROUP BY platform""")
-DEVICE_TABLE = f"""SELECT device AS device_id, arg_max(platform, (created_at, id)) AS platform, arg_max(browser, (created_at, id)) AS browser,
+  SELECT device, arg_max(platform, (created_at, platform)) AS platform FROM v WHERE device IS NOT NULL GROUP BY device) GROUP BY platform""")
+DEVICE_TABLE = f"""SELECT device AS device_id, arg_max(platform, (created_at, platform, browser)) AS platform, arg_max(browser, (created_at, platform, browser)) AS browser,
   string_agg(DISTINCT app, ',' ORDER BY app) AS apps, count(*) AS events, strftime(max(created_at), {SQL_TIME}) AS last_seen,
   bool_or(self_tag) AS flagged, bool_or(is_excluded) AS internal FROM e WHERE device IS NOT NULL GROUP BY device"""
 register("device_table", scoped(lambda sc: devices.device_table(sc.all_rows)), BASE + DEVICE_TABLE)

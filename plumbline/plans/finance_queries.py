@@ -30,8 +30,8 @@ def _lines(spark, folder, rule=RULE):
     return variance.variance_lines(g.budget(spark, folder), g.ledger(spark, folder), rule)
 
 
-def _drivers(spark, folder):
-    return variance.variance_drivers(_lines(spark, folder), g.ledger(spark, folder), 3)
+def _report(spark, folder):
+    return variance.variance_report(g.budget(spark, folder), g.ledger(spark, folder), RULE)
 
 
 register("variance_lines", _lines, OR_SQL + COLUMNS)
@@ -54,7 +54,7 @@ DRIVERS = OR_SQL + """, d AS (SELECT * FROM (SELECT f.entity, f.account, f.perio
 """
 DRIVERS = DRIVERS.replace("SELECT f.entity, f.account, f.period, l.variance", "SELECT entity, account, period, l.variance").replace(
     "PARTITION BY f.entity, f.account, f.period", "PARTITION BY entity, account, period")
-register("variance_gl_drivers", _drivers, DRIVERS + f"""
+register("variance_gl_drivers", lambda s, f: _report(s, f)[1], DRIVERS + f"""
 SELECT entity, account, period, variance, strftime(gl_date, {SQL_DAY}) AS gl_date, ref_no, cents / 100::DOUBLE AS amount, rank FROM d""")
 
 NARRATIVE = DRIVERS + f""", x AS (SELECT entity, account, period, string_agg(ref_no || ' (' || CASE WHEN cents < 0 THEN '-' ELSE '' END || '$'
@@ -67,11 +67,11 @@ n AS (SELECT l.entity, l.account, l.period, l.account || ' came in $' || regexp_
 FROM l LEFT JOIN x ON x.entity = l.entity AND x.account = l.account AND x.period = l.period WHERE l.material)
 """
 register(
-    "variance_narrative", lambda s, f: variance.narratives(_lines(s, f), _drivers(s, f)),
+    "variance_narrative", lambda s, f: _report(s, f)[2],
     NARRATIVE + "SELECT entity, account, period, text FROM n",
 )
 register(
-    "variance_markdown", lambda s, f: variance.markdown_lines(variance.narratives(_lines(s, f), _drivers(s, f))),
+    "variance_markdown", lambda s, f: variance.markdown_lines(_report(s, f)[2]),
     NARRATIVE + "SELECT '- **' || entity || ' · ' || period || '** ' || text AS value FROM n",
 )
 
