@@ -33,6 +33,17 @@ def variance_lines(budget: DataFrame, actual: DataFrame, rule: Materiality = Mat
     )
 
 
+def with_year_to_date(lines: DataFrame) -> DataFrame:
+    """Current figures beside the running totals of the year; periods are `yyyy-MM`."""
+    so_far = (
+        W.partitionBy("entity", "account", F.substring("period", 1, 4)).orderBy("period")
+        .rowsBetween(W.unboundedPreceding, 0)
+    )
+    return lines.withColumns({
+        f"ytd_{name}": F.sum(name).over(so_far).cast(ZERO) for name in ("budget", "actual", "variance")
+    })
+
+
 def with_favour(lines: DataFrame, is_revenue) -> DataFrame:
     """Whether a variance helps the result; the sign convention per account type is our own."""
     better = F.when(is_revenue, F.col("variance") > 0).otherwise(F.col("variance") < 0)

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from plumbline.operators import apps, devices, events as ev, exclusions, feeds, overview, visits
+from plumbline.plans import presentation
+from plumbline.plans.dashboard import Request, dashboard
 from plumbline.plans.registry import SQL_DAY, SQL_TIME, register
 from plumbline.sources import given_tables as g
 from plumbline.sources.events import raw_export
@@ -269,3 +271,36 @@ register(
     BASE + """, shown AS (SELECT id FROM a WHERE event = 'feedback' ORDER BY created_at DESC, id DESC LIMIT 200)
 SELECT id, event, session_id FROM raw WHERE id NOT IN (SELECT id FROM shown)""",
 )
+
+register(
+    "daily_series_arrays",
+    scoped(lambda sc: presentation.series_arrays(overview.daily_series(sc.visible_rows, sc.as_of))),
+    BASE + SPINE.format(today=AS_OF.date())
+    + f"""SELECT app, string_agg(strftime(day, {SQL_DAY}), ',' ORDER BY day) AS dates, string_agg(CAST(n AS STRING), ',' ORDER BY day) AS counts
+FROM dense GROUP BY app""",
+)
+register(
+    "hour_of_day_array", visible(lambda v: presentation.hour_array(overview.hour_of_day(v))),
+    BASE + """, h AS (SELECT h, count(v.id) AS n FROM range(24) t(h) LEFT JOIN v ON v.hour = t.h GROUP BY h)
+SELECT string_agg(CAST(n AS STRING), ',' ORDER BY h) AS hours FROM h""",
+)
+register(
+    "events_by_name_map", visible(lambda v: presentation.counts_map(overview.events_by(v, "event"), "event")),
+    BASE + """, c AS (SELECT event, count(*) AS n FROM v GROUP BY event)
+SELECT '{' || string_agg('"' || event || '":' || CAST(n AS STRING), ',' ORDER BY event) || '}' AS counts FROM c""",
+)
+
+
+def _dashboard(part):
+    return lambda s, f: dashboard(g.events(s, f), g.excluded_devices(s, f), Request(AS_OF))[part]
+
+
+register("dashboard_apps", _dashboard("apps"), BASE + APP_STATS)
+register(
+    "dashboard_daily", _dashboard("daily"),
+    BASE + SPINE.format(today=AS_OF.date()) + f"SELECT strftime(day, {SQL_DAY}) AS day, app, n FROM dense",
+)
+register(
+    "dashboard_hours", _dashboard("hours"),
+    BASE + """SELECT CAST(h AS INTEGER) AS hour, count(v.id) AS n FROM range(24) t(h) LEFT JOIN v ON v.hour = t.h GROUP BY h""",
+)

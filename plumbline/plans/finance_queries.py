@@ -48,6 +48,13 @@ register(
     "variance_largest", lambda s, f: variance.largest_variances(_lines(s, f), 50),
     OR_SQL + COLUMNS + " WHERE material ORDER BY abs(a - b) DESC, entity, account, period LIMIT 50",
 )
+register(
+    "variance_year_to_date",
+    lambda s, f: variance.with_year_to_date(_lines(s, f)).drop("budget", "actual", "variance_pct", "material"),
+    OR_SQL + """, y AS (SELECT entity, account, period, variance, CAST(sum(b) OVER w AS BIGINT) AS yb, CAST(sum(a) OVER w AS BIGINT) AS ya FROM l
+  WINDOW w AS (PARTITION BY entity, account, substr(period, 1, 4) ORDER BY period))
+SELECT entity, account, period, variance, yb / 100::DOUBLE AS ytd_budget, ya / 100::DOUBLE AS ytd_actual, (ya - yb) / 100::DOUBLE AS ytd_variance FROM y""",
+)
 DRIVERS = OR_SQL + """, d AS (SELECT * FROM (SELECT f.entity, f.account, f.period, l.variance, f.gl_date, f.ref_no, f.cents,
     row_number() OVER (PARTITION BY f.entity, f.account, f.period ORDER BY abs(f.cents) DESC, f.gl_date, f.ref_no, f.cents) AS rank
   FROM facts f JOIN l USING (entity, account, period) WHERE l.material) WHERE rank <= 3)
