@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.session import settle
-from plumbline.sources.given_tables import given
+from plumbline.sources.given_tables import given, spread
 
 # Every line of a text becomes a heading, a sub-heading, a bold section or plain text in turn;
 # numbers start over after seven sections, so ids repeat. One document in ten has no preamble.
@@ -28,6 +28,6 @@ FROM documents"""
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
-    return settle(given(spark, folder, "documents").selectExpr(
+    return settle(spread(given(spark, folder, "documents")).selectExpr(
         "doc_id", f"{PREAMBLE} || array_join(transform(split(text, '\\n'), (x, i) -> {_line(0)}), '\\n') AS markdown"
     ))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.session import settle
-from plumbline.sources.given_tables import given, select_list
+from plumbline.sources.given_tables import given, select_list, spread
 
 # Amounts are whole cents, computed in integers on both sides. Returned items are credits.
 LEDGER_FACTS = [
@@ -79,7 +79,7 @@ def ledger_lines(spark: SparkSession, folder: str) -> DataFrame:
 
     The third has quantities under `Amount` and the amounts under an unknown name.
     """
-    facts = _facts(spark, folder).withColumn("amount", money("cents"))
+    facts = spread(_facts(spark, folder).withColumn("amount", money("cents")))
     layout, day = F.col("layout"), F.date_format("gl_date", "MM/dd/yyyy")
     name = F.concat("account", F.lit(" goods"))
     text = (

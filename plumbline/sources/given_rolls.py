@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.session import settle
-from plumbline.sources.given_tables import given, select_list
+from plumbline.sources.given_tables import given, select_list, spread
 
 # layout 0: csv, building column, ISO dates      1: tabs, month/day/year, lease start, as-of title
 # layout 2: csv, day/month/year                  3: tabs, serial dates, a percentage column
@@ -45,7 +45,7 @@ def facts_sql() -> str:
 
 
 def roll_lines(spark: SparkSession, folder: str) -> DataFrame:
-    facts = given(spark, folder, "part").selectExpr(*FACTS)
+    facts = spread(given(spark, folder, "part").selectExpr(*FACTS))
     end = F.date_add(F.lit(FIRST_DAY).cast("date"), F.col("days"))
     serial = F.datediff(end, F.lit("1899-12-30").cast("date")).cast("string")
     layout = F.col("layout")
