@@ -39,7 +39,7 @@ dev AS (SELECT {g.select_list(g.DEVICE_COLUMNS)} FROM customer WHERE {g.DEVICE_F
 marked AS (
   SELECT id, created_at, app AS raw_app, coalesce(nullif(app, ''), 'unknown') AS app, event, session_id,
     nullif(session_id, '') AS device, properties, path, user_agent, CAST(created_at AS DATE) AS day,
-    CAST(extract(hour FROM created_at) AS INTEGER) AS hour,
+    CAST(extract(hour FROM created_at) AS BIGINT) AS hour,
     coalesce(json_extract_string(properties, '$.internal') = 'true', false) AS self_tag,
     coalesce(session_id IN (SELECT device_id FROM dev), false) AS is_excluded,
     lower(coalesce(event, '')) AS ev
@@ -85,7 +85,7 @@ register("app_funnel", visible(apps.app_funnel), BASE + """, c AS (
   SELECT app, count(DISTINCT CASE WHEN ev = 'app_opened' THEN device END) AS n1,
     count(DISTINCT CASE WHEN contains(ev, 'upload') OR contains(ev, 'photo') THEN device END) AS n2,
     count(DISTINCT CASE WHEN reached THEN device END) AS n3 FROM v GROUP BY app),
-l AS (SELECT app, n1 AS base, 1 AS step_no, 'opened' AS step, 'Opened' AS label, n1 AS n FROM c
+l AS (SELECT app, n1 AS base, CAST(1 AS BIGINT) AS step_no, 'opened' AS step, 'Opened' AS label, n1 AS n FROM c
   UNION ALL SELECT app, n1, 2, 'uploaded', 'Uploaded', n2 FROM c
   UNION ALL SELECT app, n1, 3, 'success', 'Success / Export', n3 FROM c)
 SELECT app, step_no, step, label, n,
@@ -151,7 +151,7 @@ register(
     BASE + """SELECT event, n, n * 100 / max(n) OVER ()::DOUBLE AS width_pct
 FROM (SELECT event, count(*) AS n FROM v GROUP BY event)""",
 )
-register("hour_of_day", visible(overview.hour_of_day), BASE + """SELECT CAST(h AS INTEGER) AS hour, count(v.id) AS n
+register("hour_of_day", visible(overview.hour_of_day), BASE + """SELECT CAST(h AS BIGINT) AS hour, count(v.id) AS n
 FROM range(24) t(h) LEFT JOIN v ON v.hour = t.h GROUP BY h""")
 
 KPIS = """, gaps AS (SELECT device, created_at - lag(created_at) OVER (PARTITION BY device ORDER BY created_at, id) AS idle
@@ -302,5 +302,5 @@ register(
 )
 register(
     "dashboard_hours", _dashboard("hours"),
-    BASE + """SELECT CAST(h AS INTEGER) AS hour, count(v.id) AS n FROM range(24) t(h) LEFT JOIN v ON v.hour = t.h GROUP BY h""",
+    BASE + """SELECT CAST(h AS BIGINT) AS hour, count(v.id) AS n FROM range(24) t(h) LEFT JOIN v ON v.hour = t.h GROUP BY h""",
 )

@@ -82,7 +82,7 @@ register(
     NARRATIVE + "SELECT '- **' || entity || ' · ' || period || '** ' || text AS value FROM n",
 )
 
-STATEMENT = FACTS + f""", p AS (SELECT DISTINCT entity, {g.SECTION} AS section, account, ascii(account) AS line_no FROM facts WHERE period = '1996-03'),
+STATEMENT = FACTS + f""", p AS (SELECT DISTINCT entity, {g.SECTION} AS section, account, CAST(ascii(account) AS BIGINT) AS line_no FROM facts WHERE period = '1996-03'),
 c AS (SELECT entity, {g.SECTION} AS section, account, CAST(sum(cents) AS BIGINT) AS a, CAST(sum(budget_cents) AS BIGINT) AS b
   FROM facts WHERE period = '1996-04' GROUP BY ALL),
 st AS (SELECT p.*, c.a, c.b FROM p LEFT JOIN c ON c.entity = p.entity AND c.account = p.account)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, DateType, DecimalType, MapType, TimestampType
+from pyspark.sql.types import (
+    ArrayType, ByteType, DateType, DecimalType, IntegerType, MapType, ShortType, TimestampType,
+)
 
 from plumbline.session import use_utc
 
@@ -26,6 +28,8 @@ def plain_columns(df: DataFrame) -> DataFrame:
             column = F.date_format(column, "yyyy-MM-dd")
         elif isinstance(kind, TimestampType):
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        elif isinstance(kind, (ByteType, ShortType, IntegerType)):
+            column = column.cast("long")
         elif isinstance(kind, DecimalType):
             column = column.cast("double")
         elif isinstance(kind, ArrayType):

@@ -51,7 +51,7 @@ SELECT file_id, building, count(*) AS suites, coalesce(sum(sf), 0) AS total_sf,
   coalesce(sum(sf) FILTER (WHERE status <> 'vacant'), 0) AS occupied_sf,
   coalesce(sum(sf) FILTER (WHERE status <> 'vacant'), 0) / nullif(sum(sf), 0) AS occupancy FROM suites GROUP BY 1, 2""")
 register("floor_order", _suites(stacking.floors), TRUTH + """
-SELECT file_id, building, floor, count(*) AS suites, coalesce(sum(sf), 0) AS sf, CAST(floor AS INT) AS sort_key FROM suites GROUP BY 1, 2, 3""")
+SELECT file_id, building, floor, count(*) AS suites, coalesce(sum(sf), 0) AS sf, CAST(floor AS BIGINT) AS sort_key FROM suites GROUP BY 1, 2, 3""")
 register("floors_per_building", _suites(stacking.floors_per_building), TRUTH + """
 SELECT file_id, building, count(DISTINCT floor) AS floors FROM suites GROUP BY 1, 2""")
 register("expiry_buckets", _suites(stacking.expiry_buckets), TRUTH + """
@@ -66,7 +66,7 @@ SELECT file_id, count(DISTINCT tenant) FILTER (WHERE status <> 'vacant') AS tena
 register("roll_summary_sheet", _suites(stacking.summary_sheet), TRUTH + """
 , t AS (SELECT file_id, CAST(count(DISTINCT building) AS DOUBLE) AS b, CAST(count(*) AS DOUBLE) AS n, coalesce(sum(sf), 0) AS total,
   coalesce(sum(sf) FILTER (WHERE status <> 'vacant'), 0) AS occ FROM suites GROUP BY 1)
-SELECT file_id, 1 AS row_no, 'Buildings' AS label, b AS value FROM t UNION ALL SELECT file_id, 2, 'Suites', n FROM t
+SELECT file_id, CAST(1 AS BIGINT) AS row_no, 'Buildings' AS label, b AS value FROM t UNION ALL SELECT file_id, 2, 'Suites', n FROM t
 UNION ALL SELECT file_id, 3, 'Total SF', total FROM t UNION ALL SELECT file_id, 4, 'Occupied SF', occ FROM t
 UNION ALL SELECT file_id, 5, 'Occupancy %', occ / nullif(total, 0) FROM t""")
 register("roll_sheet_by_building", _suites(lambda s: stacking.roll_sheets(s)[1]), TRUTH + f"""

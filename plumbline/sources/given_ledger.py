@@ -14,9 +14,9 @@ LEDGER_FACTS = [
     "p_type AS account",
     "CAST(l_shipdate AS DATE) AS gl_date",
     "substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 7) AS period",
-    """CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(round(l_extendedprice * 100) AS BIGINT) AS budget_cents""",
-    """CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(floor((CAST(round(l_extendedprice * 100) AS BIGINT)
-       * (100 - CAST(round(l_discount * 100) AS BIGINT)) * (100 + CAST(round(l_tax * 100) AS BIGINT)) + 5000) / 10000) AS BIGINT) AS cents""",
+    """CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT) AS budget_cents""",
+    """CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END * CAST(floor((CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)
+       * (100 - CAST(floor(l_discount * 100 + 0.5) AS BIGINT)) * (100 + CAST(floor(l_tax * 100 + 0.5) AS BIGINT)) + 5000) / 10000) AS BIGINT) AS cents""",
     "'INV-' || CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS ref_no",
     "CAST(l_quantity AS INT) AS quantity",
 ]
