@@ -22,8 +22,8 @@ HEADER_NAMES = {
     "building": ["building", "buildingname", "bldg"],
     "rent": ["monthlybaserent", "monthlyrent", "baserent", "rent"],
 }
-HEADER_HINT = r"(?i)\b(suite|unit|space|ste)\b"
-AS_OF_HINT = r"(?i)\bas of\b"
+# Every header line contains one of the first, every as-of line the last.
+TITLE_HINTS = ("suite", "unit", "space", "ste", "as of")
 AS_OF_DATE = r"(?i)\bas of:?\s+([A-Z][a-z]+ \d{1,2}, \d{4})"
 SUMMARY_ROW = r"(?i)\b(sub-?\s?totals?|grand\s+totals?|totals?)\b"
 # A short id with a digit, or one or two letters (the latter is our own).

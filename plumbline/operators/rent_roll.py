@@ -12,6 +12,7 @@ from datetime import date
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.functions import rent
+from plumbline.functions.outcomes import mentions
 from plumbline.operators.joins import lookup_join
 from plumbline.session import settle
 
@@ -39,7 +40,7 @@ def file_headers(lines: DataFrame) -> DataFrame:
     known = F.size(F.array_distinct(F.filter(header, lambda h: h.isNotNull())))
     as_of = rent.title_as_of(line)
     told = (
-        lines.where(line.rlike(rent.HEADER_HINT) | line.rlike(rent.AS_OF_HINT))
+        lines.where(mentions(F.lower(line), rent.TITLE_HINTS))
         .select(
             "file_id", "line_no", as_of.alias("as_of"), tabbed.alias("tabbed"),
             header.alias("header"), known.alias("known"),

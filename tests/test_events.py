@@ -51,6 +51,14 @@ def test_visits_agree_with_a_row_by_row_count(spark, gap):
     assert visits.visit_bounds(rows, gap).count() == sum(want.values())
 
 
+def test_a_busy_device_leaves_one_row_per_slot(spark):
+    rows = scoped(spark, [("x", "unknown", T0 + timedelta(seconds=i)) for i in range(0, 7200, 2)]).visible_rows
+    slots = visits.device_slots(rows)
+    assert slots.count() == 4 and slots.agg(F.sum("events")).first()[0] == 3600
+    plan = slots._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
 def test_error_wins_and_both_reach_success(spark):
     rows = scoped(spark, [("export_failed", "a"), ("export_success", "b")]).visible_rows
     row = apps.app_stats(rows).first()
