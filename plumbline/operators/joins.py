@@ -6,7 +6,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -18,8 +18,12 @@ def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int =
     """Measure at most `max_rows` + 1 rows and tell whether the frame may be broadcast."""
     width = F.lit(16 * len(df.columns))
     for field in df.schema.fields:
-        if isinstance(field.dataType, StringType):
-            width = width + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+        column = F.col(field.name)
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            column = F.to_json(F.struct(column))
+        elif not isinstance(field.dataType, StringType):
+            continue
+        width = width + F.coalesce(F.octet_length(column), F.lit(0))
     seen = (
         df.select(width.alias("width")).limit(max_rows + 1)
         .agg(F.count("*").alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes"))

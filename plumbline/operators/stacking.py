@@ -17,14 +17,18 @@ def _occupied():
     return F.col("status") != "vacant"
 
 
-def stack_summary(suites: DataFrame, by=("file_id", "building")) -> DataFrame:
-    """Suites, total and occupied area, and occupancy as a ratio."""
+def _ratio():
+    return F.when(F.col("total_sf") > 0, F.col("occupied_sf") / F.col("total_sf"))
+
+
+def stack_summary(suites: DataFrame) -> DataFrame:
+    """Suites, total and occupied area, and occupancy as a ratio, per building."""
     occupied = F.sum(F.when(_occupied(), _area()).otherwise(F.lit(0.0)))
-    return suites.groupBy(*by).agg(
+    return suites.groupBy("file_id", "building").agg(
         F.count("*").alias("suites"),
         F.sum(_area()).alias("total_sf"),
         occupied.alias("occupied_sf"),
-    ).withColumn("occupancy", F.when(F.col("total_sf") > 0, F.col("occupied_sf") / F.col("total_sf")))
+    ).withColumn("occupancy", _ratio())
 
 
 def floors(suites: DataFrame) -> DataFrame:
@@ -63,9 +67,10 @@ def unique_tenants(suites: DataFrame) -> DataFrame:
 
 def summary_sheet(suites: DataFrame) -> DataFrame:
     """Label and value cells of a roll's summary sheet; row 5 is the occupancy, a plain number."""
-    totals = stack_summary(suites, by=("file_id",))
-    buildings = suites.groupBy("file_id", "building").agg(F.count("*").alias("n")).groupBy("file_id").agg(
-        F.count("*").alias("buildings"))
+    totals = stack_summary(suites).groupBy("file_id").agg(
+        F.count("*").alias("buildings"), F.sum("suites").alias("suites"),
+        F.sum("total_sf").alias("total_sf"), F.sum("occupied_sf").alias("occupied_sf"),
+    ).withColumn("occupancy", _ratio())
     cells = [
         ("Buildings", "buildings"), ("Suites", "suites"), ("Total SF", "total_sf"),
         ("Occupied SF", "occupied_sf"), ("Occupancy %", "occupancy"),
@@ -74,7 +79,7 @@ def summary_sheet(suites: DataFrame) -> DataFrame:
         F.struct(F.lit(i + 1).alias("row_no"), F.lit(label).alias("label"), F.col(name).cast("double").alias("value"))
         for i, (label, name) in enumerate(cells)
     ])
-    return totals.join(buildings, "file_id").select("file_id", F.inline(long))
+    return totals.select("file_id", F.inline(long))
 
 
 def roll_sheets(suites: DataFrame) -> tuple[DataFrame, DataFrame]:
