@@ -68,9 +68,8 @@ def attribute_referrals(
     """Code per signup: an explicit one as given, else that of the last valid click in the window."""
     key = F.concat_ws("|", F.unix_micros("signup_ts"), "browser_id")
     found = _last_click_before(signups, clicks, slot_seconds).select(key.alias("moment"), "click")
-    # A signup without a browser gets a key of its own, so that nulls do not share a task.
-    keyed = signups.withColumn("moment", F.when(F.col("browser_id").isNull(), F.concat(F.lit("|"), "user_id")).otherwise(key))
-    joined = keyed.join(found, "moment", "left")
+    keyed = signups.withColumn("moment", F.when(F.col("browser_id").isNotNull(), key))
+    joined = lookup_join(keyed, settle(found), "moment", "user_id")
     fresh = F.col("click.at") >= F.col("signup_ts") - F.make_dt_interval(F.lit(window_days))
     explicit = F.when(F.trim("explicit_code") != "", F.trim("explicit_code"))
     return joined.select(
