@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import secret_scans
+from plumbline.llm import quality_rules, secret_scans
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_secret_scans": secret_scans.op8_secret_scans,
 }
 LLM_ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.OP2_SQL,
     "op8_secret_scans": secret_scans.OP8_SQL,
 }
