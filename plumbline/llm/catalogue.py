@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import quality_rules, secret_scans, simhash
+from plumbline.llm import personal_data, quality_rules, secret_scans, simhash
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op7_pii": personal_data.op7_pii,
     "op8_secret_scans": secret_scans.op8_secret_scans,
 }
 LLM_ORACLES: dict[str, str] = {
