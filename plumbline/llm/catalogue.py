@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import personal_data, quality_rules, secret_scans, simhash, warc
+from plumbline.llm import line_dedup, personal_data, quality_rules, secret_scans, simhash, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_pii": personal_data.op7_pii,
     "op8_secret_scans": secret_scans.op8_secret_scans,
     "op10_warc": warc.op10_warc,
 }
 LLM_ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.OP2_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_secret_scans": secret_scans.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
 }
