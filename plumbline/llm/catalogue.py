@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import line_dedup, personal_data, quality_rules, secret_scans, simhash, warc
+from plumbline.llm import line_dedup, personal_data, quality_rules, secret_scans, simhash, toxicity, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
@@ -14,6 +14,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op7_pii": personal_data.op7_pii,
     "op8_secret_scans": secret_scans.op8_secret_scans,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
 }
 LLM_ORACLES: dict[str, str] = {
