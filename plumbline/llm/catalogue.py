@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontamination, line_dedup, personal_data, pieces, quality_rules, secret_scans, simhash, toxicity, warc
+from plumbline.llm import decontamination, html_text, line_dedup, personal_data, pieces, quality_rules, secret_scans, simhash, toxicity, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_sentencepiece": pieces.op6_sentencepiece,
     "op7_pii": personal_data.op7_pii,
