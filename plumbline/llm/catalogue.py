@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from plumbline.llm import decontamination, html_text, line_dedup, personal_data, pieces, quality_rules, secret_scans, simhash, toxicity, warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +20,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": secret_scans.op8_secret_scans,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.OP2_SQL,

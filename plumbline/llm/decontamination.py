@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from plumbline.llm.batches import small_batches
+from plumbline.llm.names import spare
 from plumbline.session import settle
 
 WORD = re.compile(r"\w+")
@@ -277,8 +278,9 @@ def contaminated(docs: DataFrame, items: DataFrame, piece_words: int = PIECE_WOR
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents in which no item is found, with all their columns; those without doc_id are judged as one."""
-    bad = settle(contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    key = spare(docs, "_bad")
+    bad = settle(contaminated(docs, items).select(F.col("doc_id").alias(key)).distinct())
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[key]), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.llm.names import all_columns, spare
 from plumbline.session import settle
 
 LEAST_CHARS = 16
@@ -164,24 +165,26 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with cleaned text and n_lines, n_compared, n_dropped, n_near as further columns `_lines`."""
+    """`docs` with cleaned text and a last column `_lines` of n_lines, n_dropped and n_near."""
+    none, id_, stays, near = (spare(docs, name) for name in ("_none", "_id", "_kept", "_near"))
     kept = kept_lines(docs, key, text).select(
-        F.col("doc.none").alias("_none"), F.coalesce("doc.id", F.lit(0)).alias("_id"), "kept", "n_near")
-    rows = docs.withColumn("_none", F.col(key).isNull()).withColumn("_id", F.coalesce(key, F.lit(0)))
-    joined = rows.join(kept, ["_none", "_id"], "left")
+        F.col("doc.none").alias(none), F.coalesce("doc.id", F.lit(0)).alias(id_), F.col("kept").alias(stays), F.col("n_near").alias(near))
+    rows = docs.withColumn(none, F.col(key).isNull()).withColumn(id_, F.coalesce(key, F.lit(0)))
+    joined = rows.join(kept, [none, id_], "left")
     lines = F.split(F.col(text), "\n", -1)
     numbers = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
     short = F.filter(numbers, lambda i: F.char_length(F.trim(F.get(lines, i))) < LEAST_CHARS)
-    stay = F.array_intersect(numbers, F.concat(short, F.coalesce("kept", F.array().cast("array<int>"))))
+    stay = F.array_intersect(numbers, F.concat(short, F.coalesce(stays, F.array().cast("array<int>"))))
     cleaned = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     empty = F.coalesce(F.col(text), F.lit("")) == ""
     counted = F.struct(
         F.when(empty, 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
         F.when(empty, 0).otherwise(F.size(lines) - F.size(stay)).cast("long").alias("n_dropped"),
-        F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"))
-    return joined.withColumn("_lines", counted).withColumn(
+        F.coalesce(near, F.lit(0)).cast("long").alias("n_near"))
+    counts = spare(docs, "_lines")
+    return joined.withColumn(counts, counted).withColumn(
         text, F.when(F.col(text).isNull(), F.lit(None).cast("string")).when(empty, "").otherwise(cleaned)
-    ).select(*docs.columns, "_lines")
+    ).select(*all_columns(docs), F.col(counts).alias("_lines"))
 
 
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from plumbline.llm.batches import small_batches
+from plumbline.llm.names import spare
 from plumbline.operators.joins import lookup_join
 from plumbline.session import settle
 
@@ -188,8 +189,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: flo
     """The documents that pass, with all their columns."""
     stats = settle(with_stats(docs))
     cutoffs = settle(choose_cutoffs(stats, labels, risk, error))
-    passed = judge(stats, cutoffs).where("kept").select(F.col("doc_id").alias("_passed")).distinct()
-    return docs.join(passed, docs["doc_id"].eqNullSafe(F.col("_passed")), "left_semi")
+    key = spare(docs, "_passed")
+    passed = judge(stats, cutoffs).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(passed, docs["doc_id"].eqNullSafe(passed[key]), "left_semi")
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

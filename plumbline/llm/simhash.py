@@ -28,6 +28,7 @@ from pyspark.sql.types import LongType
 
 from plumbline.llm.batches import small_batches
 from plumbline.llm.components import components
+from plumbline.llm.names import all_columns
 from plumbline.session import settle
 
 BITS = 64
@@ -211,7 +212,7 @@ def keep_leads(docs: DataFrame) -> DataFrame:
     """One document of every component, that with the smallest doc_id; documents without doc_id stay."""
     found = near_duplicates(docs)
     dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select(*all_columns(docs))
 
 
 def op3_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
