@@ -5,7 +5,8 @@ base rules are the holdout: per stratum and rule, cutoffs are tried from the mos
 accepted only while an exact binomial test rules out that more than the allowed share of good documents
 would be rejected. Testing in a fixed order needs no correction along the order; over all rules and strata the
 error is divided (Bonferroni), and the allowed share is divided among the rules, so that with probability
-1 - `error` no stratum loses more than `risk` of its good documents to all rules together.
+1 - `error` no stratum loses more than `risk` of its good documents to all rules together. Of the accepted cutoffs
+that is used which gains most: bad documents rejected, less `COST` for each good one; a rule without gain is not used.
 
 Defined cases: a null or wordless text has no words, zero counts, and fails the base rules; a null stratum is a
 stratum of its own; a stratum with too few labels gets no cutoff and loses nothing beyond the base rules;
@@ -38,6 +39,8 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 
 RISK = 0.05
+# Bad documents that a rejected good one outweighs when a cutoff is taken from the accepted ones.
+COST = 10
 ERROR = 0.05
 # Shares tried as cutoffs, from lenient to strict.
 CUTOFFS = tuple(round(0.6 - 0.02 * k, 2) for k in range(30))
@@ -131,24 +134,24 @@ def choose_cutoffs(
     `labels` has the key and `quality`, 1 for good. Counting is one aggregation of (stratum, rule, level); what
     follows handles that many rows only.
     """
-    good = labels.where(F.col("quality").isNotNull()).groupBy(key).agg(F.min("quality").alias("quality"))
-    good = good.where(F.col("quality") == 1).select(key)
-    held = stats.where(~F.col("base_failed")).join(good, key, "left_semi")
+    known = labels.where(F.col("quality").isNotNull()).groupBy(key).agg((F.min("quality") == 1).alias("good"))
+    held = stats.where(~F.col("base_failed")).join(known, key)
     # The first level at which a document is rejected; len(CUTOFFS) stands for none.
     levels = [F.struct(F.lit(rule).alias("rule"), first_level(share(rule)).alias("level")) for rule in RULES]
     counted = (
-        held.select("stratum", F.explode(F.array(*levels)).alias("at"))
-        .groupBy("stratum", "at.rule", "at.level").agg(F.count("*").alias("n")))
+        held.select("stratum", "good", F.explode(F.array(*levels)).alias("at"))
+        .groupBy("stratum", "at.rule", "at.level").agg(F.struct(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")).alias("n")))
     order = Window.partitionBy("stratum", "rule").orderBy("level")
     all_rows = Window.partitionBy("stratum", "rule")
     chains = (
         counted.groupBy("stratum", "rule").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("m"))
         .select("stratum", "rule", F.explode(F.sequence(F.lit(0), F.lit(len(CUTOFFS)))).alias("level"), "m")
-        .select("stratum", "rule", "level", F.coalesce(F.element_at("m", F.col("level")), F.lit(0)).alias("here"))
-        .withColumn("rejected", F.sum("here").over(order))
-        .withColumn("n", F.sum("here").over(all_rows))
+        .select("stratum", "rule", "level", F.element_at("m", F.col("level")).alias("here"))
+        .withColumn("rejected", F.sum(F.coalesce("here.good", F.lit(0))).over(order))
+        .withColumn("gain", F.sum(F.coalesce("here.bad", F.lit(0))).over(order) - COST * F.col("rejected"))
+        .withColumn("n", F.sum(F.coalesce("here.good", F.lit(0))).over(all_rows))
         .where(F.col("level") < len(CUTOFFS)))
-    tests = len(RULES) * max(counted.select("stratum").distinct().count(), 1)
+    tests = len(RULES) * max(counted.where("n.good > 0").select("stratum").distinct().count(), 1)
     limit, allowed = error / tests, risk / len(RULES)
 
     @F.pandas_udf(BooleanType())
@@ -156,8 +159,9 @@ def choose_cutoffs(
         return pd.Series([chance_of_at_most(int(x), int(m), allowed) <= limit for x, m in zip(seen, n)], dtype=bool)
 
     accepted = chains.withColumn("safe", safe("rejected", "n")).withColumn("ok", F.min("safe").over(order)).where("ok")
-    cutoff = F.element_at(F.array(*[F.lit(c) for c in CUTOFFS]), F.max("level") + 1)
-    chosen = accepted.groupBy("stratum", "rule").agg(cutoff.alias("cutoff"))
+    best = F.max_by("level", F.struct("gain", -F.col("level")))
+    cutoff = F.element_at(F.array(*[F.lit(c) for c in CUTOFFS]), best + 1)
+    chosen = accepted.where("gain > 0").groupBy("stratum", "rule").agg(cutoff.alias("cutoff"))
     return chosen.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
 
 
@@ -226,17 +230,18 @@ counted AS (
 stats AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED_PERCENT} * n_words AS base_failed
   FROM counted),
 shares AS ({_SQL_SHARES}),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT * FROM shares SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT * FROM shares JOIN known USING (doc_id) WHERE NOT base_failed),
 grid AS (SELECT unnest(range({len(CUTOFFS)})) AS level, unnest({list(CUTOFFS)})::DOUBLE AS cutoff),
-chains AS (SELECT stratum, rule, level, cutoff, count(*) AS n, count(*) FILTER (share > cutoff) AS seen
+chains AS (SELECT stratum, rule, level, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND share > cutoff) AS seen,
+    count(*) FILTER (NOT good AND share > cutoff) - {COST} * count(*) FILTER (good AND share > cutoff) AS gain
   FROM held CROSS JOIN grid GROUP BY ALL),
-tests AS (SELECT {ERROR} / ({len(RULES)} * greatest(count(DISTINCT stratum), 1)) AS most, {RISK} / {len(RULES)} AS p FROM held),
+tests AS (SELECT {ERROR} / ({len(RULES)} * greatest(count(DISTINCT stratum) FILTER (good), 1)) AS most, {RISK} / {len(RULES)} AS p FROM held),
 tested AS (SELECT c.*, CASE WHEN seen >= n * p THEN false ELSE
     list_sum(list_transform(range(seen + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
       + k * ln(p) + (n - k) * ln(1 - p)))) <= most END AS safe FROM chains c CROSS JOIN tests),
-chosen AS (SELECT stratum, rule, min(cutoff) AS cutoff FROM
-  (SELECT *, bool_and(safe) OVER (PARTITION BY stratum, rule ORDER BY level) AS ok FROM tested) WHERE ok GROUP BY ALL),
+chosen AS (SELECT stratum, rule, max_by(cutoff, (gain, cutoff)) AS cutoff FROM
+  (SELECT *, bool_and(safe) OVER (PARTITION BY stratum, rule ORDER BY level) AS ok FROM tested) WHERE ok AND gain > 0 GROUP BY ALL),
 bad AS (SELECT DISTINCT doc_id FROM shares JOIN chosen USING (stratum, rule) WHERE share > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept
