@@ -14,6 +14,10 @@ def spark(tmp_path_factory):
         "spark.master": "local[4]",
         "spark.sql.shuffle.partitions": "4",
         "spark.ui.enabled": "false",
+        "spark.driver.memory": "4g",
+        "spark.sql.ui.retainedExecutions": "5",
+        "spark.ui.retainedJobs": "20",
+        "spark.ui.retainedStages": "20",
         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
     }
     session = build_session("tests", **extra)
