@@ -26,11 +26,13 @@ HEADER_NAMES = {
 TITLE_HINTS = ("suite", "unit", "space", "ste", "as of")
 AS_OF_DATE = r"(?i)\bas of:?\s+([A-Z][a-z]+ \d{1,2}, \d{4})"
 SUMMARY_ROW = r"(?i)\b(sub-?\s?totals?|grand\s+totals?|totals?)\b"
-# A short id with a digit, or one or two letters (the latter is our own).
-SUITE_ID = (
-    r"(?i)^(?:(?:suite|ste\.?|unit|space)\s*)?#?(?=[a-z0-9][a-z0-9./&-]{0,11}$)"
-    r"(?:[a-z0-9./&-]*\d[a-z0-9./&-]*|[a-z]{1,2})$"
-)
+# An id without blanks that has a digit, or one or two letters (the latter is our own).
+SUITE_ID = r"(?i)^(?:(?:suite|ste\.?|unit|space)\s*)?#?(?=[a-z0-9])(?:[a-z0-9./&-]*\d[a-z0-9./&-]*|[a-z]{1,2})$"
+# Print codes of spreadsheet headers and footers, and prose; neither names a suite (the latter is our own).
+PAGE_CODE = r"^&"
+PROSE = r"[.!?;]\s+\p{L}|[.!?;:]$|(?:\S+\s+){7}"
+# A value that numbers rows: up to three letters and digits (our own).
+ROW_CODE = r"^\p{L}{0,3}[-\s]?\d+$"
 NO_DATE = r"^[-–—]*$"
 MONTHLY = r"(?i)^(mtm|m-t-m|month[- ]?to[- ]?month)$"
 ISO_DATE = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
@@ -114,12 +116,24 @@ def title_as_of(line: Column) -> Column:
 
 def is_vacant(tenant: Column, start: Column, end: Column) -> Column:
     """Blank tenant or a vacancy label, decorated or not; a lease date speaks against a decorated one."""
-    bare = F.regexp_replace(tenant, "^[^A-Za-z0-9]+|[^A-Za-z0-9]+$", "")
+    bare = F.regexp_replace(tenant, r"^[\p{P}\p{S}\p{Z}\s]+|[\p{P}\p{S}\p{Z}\s]+$", "")
     undated = ~start.rlike(r"\d") & ~end.rlike(r"\d")
     label = bare.rlike(r"(?i)^vacant\b") | bare.rlike(r"(?i)^available(\s*[-–—(].*)?$")
     return (bare == "") | (F.lower(bare) == "vacant") | (label & undated)
 
 
+def names_suite(suite: Column, tenant: Column, sf: Column, start: Column, end: Column) -> Column:
+    """Does the line describe a suite?
+
+    An id does. Any other name does if the line says enough beside it: two of a tenant's name, an area and a lease
+    date, or one of them where the name has a digit. Lines that say nothing are banners and labels.
+    """
+    dated = start.rlike(r"\d") | end.rlike(r"\d") | end.rlike(MONTHLY)
+    said = tenant.rlike(r"\p{L}").cast("int") + parse_number(sf).isNotNull().cast("int") + dated.cast("int")
+    named = (suite != "") & ~suite.rlike(PAGE_CODE) & ~suite.rlike(PROSE)
+    return suite.rlike(SUITE_ID) | (named & ((said >= 2) | ((said == 1) & suite.rlike(r"\d") & tenant.rlike(r"^\D*$"))))
+
+
 def lease_status(vacant: Column, end_text: Column, lease_end: Column, as_of: Column) -> Column:
     return (
         F.when(vacant, "vacant")
@@ -129,14 +143,13 @@ def lease_status(vacant: Column, end_text: Column, lease_end: Column, as_of: Col
 
 
 def floor_of(floor: Column, suite: Column) -> Column:
-    """Floor cell, else derived from the suite: 110 is on 1, B101 on B1 (letters are our own)."""
+    """Floor cell, else derived from the suite: 110 is on 1, B101 on B1 (letters are our own); null if neither tells."""
     stated = F.regexp_replace(floor, r"(?i)^(floor|fl\.?|level)\s*|(st|nd|rd|th)?(\s+floor)?$|\.0+$", "")
     bare = F.regexp_replace(suite, r"(?i)^(suite|ste\.?|unit|space)\s*|#", "")
     derived = (
         F.when(bare.rlike(r"^\d{3,}"), F.regexp_extract(bare, r"^(\d+)\d{2}", 1))
         .when(bare.rlike(r"(?i)^[BP]\d{3}"), F.upper(F.regexp_extract(bare, r"(?i)^([BP]\d+)\d{2}", 1)))
         .when(bare.rlike(r"(?i)^(LL|G)\d*$"), F.upper(F.regexp_extract(bare, r"(?i)^(LL|G)", 1)))
-        .otherwise("1")
     )
     return F.when(stated != "", stated).otherwise(derived)
 

@@ -16,8 +16,7 @@ from plumbline.functions.outcomes import mentions
 from plumbline.operators.joins import lookup_join
 from plumbline.session import settle
 
-# A Building column with a different value on each of this many rows or more is not one (our own bound).
-UNIQUE_BUILDING_ROWS = 3
+# The tests assert words of these texts.
 WARNINGS = {
     "summary_rows": "summary/total rows were excluded",
     "non_suite_rows": "non-suite rows were ignored",
@@ -29,6 +28,8 @@ WARNINGS = {
     "no_tenant_column": "No Tenant column was found",
     "all_vacant": "Every suite parsed as vacant",
     "building_unmapped": "Building column differs on every row and was ignored",
+    "unknown_floors": "suites whose floor is neither stated nor part of the suite",
+    "no_header": "No header was recognised and nothing was read",
 }
 
 
@@ -75,24 +76,29 @@ def _forced(header, forced: dict[str, int]):
 
 
 def classified_rows(lines: DataFrame, forced: dict[str, int] | None = None) -> DataFrame:
-    """Lines below the header with their cells, each marked suite, summary, non_suite or blank."""
+    """Lines below the header with their cells, each marked suite, summary, non_suite or blank.
+
+    All lines of a file without a recognised header are kept, marked no_header.
+    """
     headers = file_headers(lines)
     if forced:
         headers = headers.withColumn("header", _forced(F.col("header"), forced))
-    rows = lookup_join(lines, settle(headers), "file_id", "line_no").where(F.col("line_no") > F.col("header_line"))
+    rows = lookup_join(lines, settle(headers), "file_id", "line_no").where(
+        F.col("header_line").isNull() | (F.col("line_no") > F.col("header_line")))
     rows = rows.withColumn("cells", rent.split_cells(F.col("line"), F.col("tabbed")))
     cell = {c: rent.cell_of(F.col("cells"), F.col("header"), c) for c in rent.HEADER_NAMES}
     rows = rows.select(
-        "file_id", "line_no", "as_of",
-        F.array_contains("header", "tenant").alias("has_tenant"),
-        F.array_contains("header", "building").alias("has_building"),
+        "file_id", "line_no", "as_of", F.col("header_line").isNull().alias("unread"),
+        F.coalesce(F.array_contains("header", "tenant"), F.lit(False)).alias("has_tenant"),
+        # A column that the file itself calls Building is believed.
+        F.lit("building" in (forced or {})).alias("building_guessed"),
         (F.trim(F.regexp_replace("line", "[,\t]", " ")) == "").alias("empty"),
         *[c.alias(name) for name, c in cell.items()],
     )
     kind = (
-        F.when(F.col("empty"), "blank")
+        F.when(F.col("unread"), "no_header").when(F.col("empty"), "blank")
         .when(F.col("suite").rlike(rent.SUMMARY_ROW) & (F.col("tenant") == ""), "summary")
-        .when(F.col("suite").rlike(rent.SUITE_ID), "suite")
+        .when(rent.names_suite(*[F.col(c) for c in ("suite", "tenant", "sf", "start", "end")]), "suite")
         .otherwise("non_suite")
     )
     return rows.withColumn("kind", kind)
@@ -103,11 +109,12 @@ def _column_evidence(rows: DataFrame) -> DataFrame:
     first, second = rent.slashed_parts(F.col("end"))
     per_building = rows.where("kind = 'suite'").groupBy("file_id", "building").agg(
         F.count("*").alias("n"), F.max(first).alias("first"), F.max(second).alias("second"),
+        F.col("building").rlike(rent.ROW_CODE).alias("code"),
     )
     return per_building.groupBy("file_id").agg(
         F.coalesce((F.max("first") > 12) & (F.max("second") <= 12), F.lit(False)).alias("day_first"),
         F.coalesce((F.max("first") <= 12) & (F.max("second") <= 12), F.lit(False)).alias("ambiguous"),
-        ((F.max("n") == 1) & (F.count("*") >= UNIQUE_BUILDING_ROWS)).alias("unique_building"),
+        ((F.max("n") == 1) & (F.count("*") > 1) & F.bool_and("code")).alias("numbers_rows"),
     )
 
 
@@ -117,7 +124,7 @@ def parse_rent_roll(lines: DataFrame, as_of: date, forced: dict[str, int] | None
     rows = lookup_join(rows, settle(_column_evidence(rows)), "file_id", "line_no")
     end, sf = F.col("end"), rent.parse_number(F.col("sf"))
     lease_end = rent.parse_date(end, F.coalesce("day_first", F.lit(False)))
-    unmapped = F.col("has_building") & F.coalesce("unique_building", F.lit(False))
+    unmapped = F.col("building_guessed") & F.coalesce("numbers_rows", F.lit(False))
     return rows.select(
         "file_id", "line_no", "kind", "has_tenant",
         F.when(unmapped, "").otherwise(F.col("building")).alias("building"), unmapped.alias("unmapped"),
@@ -150,7 +157,9 @@ def roll_warnings(parsed: DataFrame) -> DataFrame:
         F.count("*").alias("lines"),
         count(F.col("negative"), "negative_sf"), count(F.col("zero"), "zero_sf"),
         count(F.col("unreadable"), "unreadable_dates"),
-        count(F.col("status") != "vacant", "taken"),
+        # Of the line that is kept, as in `suites`.
+        (F.min_by("status", F.struct(F.col("sf").isNull(), F.col("line_no"))) != "vacant").cast("long").alias("taken"),
+        count(F.col("floor").isNull(), "unknown_floors"),
         F.bool_or("ambiguous").alias("ambiguous"), F.bool_or("unmapped").alias("unmapped"),
         F.bool_or("has_tenant").alias("has_tenant"),
     )
@@ -168,6 +177,8 @@ def roll_warnings(parsed: DataFrame) -> DataFrame:
         once(has_suites & ~F.bool_or("has_tenant")).alias("no_tenant_column"),
         once(has_suites & F.bool_or("has_tenant") & (of("suite", F.col("taken")) == 0)).alias("all_vacant"),
         once(has_suites & F.bool_or("unmapped")).alias("building_unmapped"),
+        of("suite", F.col("unknown_floors")).alias("unknown_floors"),
+        once(of("no_header", F.col("lines")) > 0).alias("no_header"),
     )
     long = F.array(*[F.struct(F.lit(code).alias("code"), F.col(code).alias("n")) for code in WARNINGS])
     return per_file.select("file_id", F.inline(long)).where("n > 0")
@@ -179,5 +190,5 @@ def warning_texts(warnings: DataFrame) -> DataFrame:
     for code, words in WARNINGS.items():
         hit = F.col("code") == code
         text = F.when(hit, words) if text is None else text.when(hit, words)
-    counted = ~F.col("code").isin("ambiguous_dates", "no_tenant_column", "all_vacant", "building_unmapped")
+    counted = ~F.col("code").isin("ambiguous_dates", "no_tenant_column", "all_vacant", "building_unmapped", "no_header")
     return warnings.withColumn("text", F.when(counted, F.concat_ws(" ", "n", text)).otherwise(text))
