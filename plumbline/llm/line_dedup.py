@@ -7,7 +7,7 @@ earlier whether it is kept itself or not. Shorter lines are never compared and a
 Equal lines are one class, reduced to its first place before anything else. Two different lines within one edit
 have a common variant: the line without one code point, or the shorter line itself. A variant is keyed by hash;
 lines over `BLOCK` code points vary block by block between hashes of what comes before and after, so keys cost the
-length of a block and not of the line. Replacements share (variant, position) and are tied to the earliest line
+length of a block and not of the line. Blocks around which no other line reads the same get no variants. Replacements share (variant, position) and are tied to the earliest line
 of that key, so a group of n similar lines gives n rows, not n squared. Every tie is verified by edit distance.
 
 Before variants are written, a pigeonhole rules out lines that cannot have a partner: one edit leaves either the
@@ -108,54 +108,69 @@ def near_lines(lines: DataFrame, places: DataFrame) -> DataFrame:
     return joined.where(right).select("h1", "h2", "place", "line").dropDuplicates(["h1", "h2"])
 
 
-def variants(near: DataFrame) -> DataFrame:
-    """h1, h2, place, size, key, pos: `pos` is the deleted code point, null where the key is the whole line."""
-    sized = near.withColumn("size", F.char_length("line"))
+def numbered(near: DataFrame) -> DataFrame:
+    """`near` with `id`, a number in the order of the places, and `size`; stored."""
+    ordered = ["place.doc.none", "place.doc.id", "place.line_no"]
+    dealt = near.repartitionByRange(*ordered).sortWithinPartitions(*ordered)
+    return settle(dealt.withColumn("id", F.monotonically_increasing_id()).withColumn("size", F.char_length("line")))
+
+
+def likely_blocks(near: DataFrame) -> DataFrame:
+    """id, size, around, start, held, gone: blocks of lines around which another line reads the same.
+
+    `size` is that of the longer line of a pair. A block with `gone` loses one code point; one without is read as a line
+    that has one less already. `around` is the hash of everything outside the block. Only where two lines agree on
+    it can they differ within the block alone, so other blocks need no variants.
+    """
     start = F.col("blk") * BLOCK
-    blocks = sized.select("h1", "h2", "place", "size", "line", F.explode(
+    blocks = near.select("id", "size", "line", F.explode(
         F.sequence(F.lit(0), F.floor((F.col("size") - 1) / BLOCK).cast("int"))).alias("blk"))
-    held = F.substring("line", start + 1, F.lit(BLOCK))
-    around = F.xxhash64("blk", F.substring("line", F.lit(1), start), F.substring("line", start + BLOCK + 1, F.col("size")))
-    deleted = blocks.select(
-        "h1", "h2", "place", "size", start.alias("start"), held.alias("held"), around.alias("around"),
-        F.explode(F.sequence(F.lit(1), F.char_length(held))).alias("i"))
-    without = F.concat(F.substring("held", F.lit(1), F.col("i") - 1), F.substring("held", F.col("i") + 1, F.lit(BLOCK)))
-    deleted = deleted.select(
-        "h1", "h2", "place", "size", F.xxhash64("around", without).alias("key"), (F.col("start") + F.col("i")).alias("pos"))
-    # The whole line as a longer one would leave it: each block one code point shorter.
-    whole = sized.select("h1", "h2", "place", "size", "line", F.explode(
+    longer = blocks.select(
+        "id", "size", F.xxhash64("blk", F.substring("line", F.lit(1), start), F.substring("line", start + BLOCK + 1, F.col("size"))).alias("around"),
+        start.alias("start"), F.substring("line", start + 1, F.lit(BLOCK)).alias("held"), F.lit(True).alias("gone"))
+    blocks = near.select("id", "size", "line", F.explode(
         F.sequence(F.lit(0), F.floor(F.col("size") / BLOCK).cast("int"))).alias("blk"))
-    rest = F.xxhash64("blk", F.substring("line", F.lit(1), start), F.substring("line", start + BLOCK, F.col("size")))
-    short = F.substring("line", start + 1, F.lit(BLOCK - 1))
-    whole = whole.select("h1", "h2", "place", "size", F.xxhash64(rest, short).alias("key"), F.lit(None).cast("int").alias("pos"))
+    shorter = blocks.select(
+        "id", (F.col("size") + 1).alias("size"),
+        F.xxhash64("blk", F.substring("line", F.lit(1), start), F.substring("line", start + BLOCK, F.col("size"))).alias("around"),
+        start.alias("start"), F.substring("line", start + 1, F.lit(BLOCK - 1)).alias("held"), F.lit(False).alias("gone"))
+    table = settle(longer.unionAll(shorter))
+    met = table.groupBy("around", "size").agg(F.count_if("gone").alias("n_gone"), F.count_if(~F.col("gone")).alias("n_whole")).where(
+        "n_gone > 1 OR (n_gone = 1 AND n_whole > 0)")
+    return table.join(met.select("around", "size"), ["around", "size"], "left_semi")
+
+
+def variants(near: DataFrame) -> DataFrame:
+    """id, size, key, pos: `pos` is the deleted code point, null where the block is whole."""
+    blocks = likely_blocks(near)
+    deleted = blocks.where("gone").select(
+        "id", "size", "around", "start", "held", F.explode(F.sequence(F.lit(1), F.char_length("held"))).alias("i"))
+    without = F.concat(F.substring("held", F.lit(1), F.col("i") - 1), F.substring("held", F.col("i") + 1, F.lit(BLOCK)))
+    deleted = deleted.select("id", "size", F.xxhash64("around", without).alias("key"), (F.col("start") + F.col("i")).alias("pos"))
+    whole = blocks.where(~F.col("gone")).select(
+        "id", "size", F.xxhash64("around", "held").alias("key"), F.lit(None).cast("int").alias("pos"))
     return deleted.unionAll(whole)
 
 
 def near_ties(near: DataFrame) -> DataFrame:
-    """(later, earlier) digests and places of distinct lines within one edit, verified."""
+    """Digests of the later, and id of the earlier, of distinct lines within one edit, verified."""
     table = settle(variants(near))
     gone, whole = table.where("pos IS NOT NULL"), table.where("pos IS NULL")
-    firsts = (gone.groupBy("key", "pos", "size").agg(F.min(F.struct("place", "h1", "h2")).alias("first"), F.count("*").alias("n"))
-              .where("n > 1").select("key", "pos", "size", "first"))
-    replaced = gone.join(firsts, ["key", "pos", "size"]).where(F.col("place") > F.col("first.place")).select(
-        "h1", "h2", F.col("first.h1").alias("o1"), F.col("first.h2").alias("o2"))
-    shorter = whole.select("key", F.col("size").alias("s"), F.col("place").alias("p"), F.col("h1").alias("w1"), F.col("h2").alias("w2"))
-    longer = gone.join(shorter, "key").where(F.col("size") == F.col("s") + 1)
-    later = F.col("place") > F.col("p")
-    inserted = longer.select(
-        F.when(later, F.col("h1")).otherwise(F.col("w1")).alias("h1"), F.when(later, F.col("h2")).otherwise(F.col("w2")).alias("h2"),
-        F.when(later, F.col("w1")).otherwise(F.col("h1")).alias("o1"), F.when(later, F.col("w2")).otherwise(F.col("h2")).alias("o2"))
+    firsts = gone.groupBy("key", "pos", "size").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    replaced = gone.join(firsts, ["key", "pos", "size"]).where("id > first").select("id", F.col("first").alias("other"))
+    shorter = whole.select("key", "size", F.col("id").alias("w"))
+    inserted = gone.join(shorter, ["key", "size"]).select(F.greatest("id", "w").alias("id"), F.least("id", "w").alias("other"))
     ties = replaced.unionAll(inserted).distinct()
-    other = near.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"), F.col("place").alias("other_place"))
-    texts = ties.join(near, ["h1", "h2"]).join(other, ["o1", "o2"])
-    return texts.where(F.levenshtein("line", "other", MOST_EDITS) >= 0).select("h1", "h2", "place", "other_place")
+    others = near.select(F.col("id").alias("other"), F.col("line").alias("other_line"))
+    texts = ties.join(near.select("id", "h1", "h2", "line"), "id").join(others, "other")
+    return texts.where(F.levenshtein("line", "other_line", MOST_EDITS) >= 0).select("h1", "h2", "other")
 
 
 def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, kept (numbers of compared lines that stay), n_near (first places dropped as near)."""
     lines = split_lines(docs, key, text)
     firsts = settle(first_places(lines))
-    near = settle(near_lines(lines, near_places(lines, firsts)))
+    near = numbered(near_lines(lines, near_places(lines, firsts)))
     dropped = near_ties(near).select("h1", "h2").distinct()
     # Equal lines other than the first are in no first place, so what is kept is read off the first places alone.
     marked = firsts.join(dropped.withColumn("near", F.lit(1)), ["h1", "h2"], "left")
