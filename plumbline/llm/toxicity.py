@@ -68,7 +68,8 @@ def patterns_of(text: str) -> list[bool]:
 
 def mine_lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str], float]:
     """Terms by strength, strongest first, and the share of toxic rows; from all labelled training rows."""
-    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(labels, "doc_id")
+    # A shuffle at every size: the labels grow with the documents.
+    rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(labels.hint("merge"), "doc_id")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     stems = F.transform(F.filter("words", lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("*")))
     terms = rows.select("toxic", words.alias("words")).select(
