@@ -14,6 +14,7 @@ from plumbline.schemas import DAY_COLUMN
 
 # Any other range name means no lower bound.
 RANGE_DAYS = {"7d": 7, "30d": 30, "90d": 90}
+# The cap of newest rows that callers may ask for.
 ROW_CAP = 50_000
 
 
@@ -53,8 +54,8 @@ def with_defaults(events: DataFrame) -> DataFrame:
 
 
 def prepare_events(events: DataFrame, devices: DataFrame) -> DataFrame:
-    """Events with defaults and the internal marks of the exclusion list."""
-    listed = devices.select(F.col("device_id").alias("session_id"), F.lit(True).alias("is_excluded"))
+    """Events with defaults and the internal marks of the exclusion list, in which a device may repeat."""
+    listed = devices.select(F.col("device_id").alias("session_id"), F.lit(True).alias("is_excluded")).distinct()
     marked = lookup_join(with_defaults(events), listed, "session_id", "id")
     excluded = F.coalesce("is_excluded", F.lit(False))
     return marked.withColumns({"is_excluded": excluded, "is_internal": excluded | F.col("self_tag")})
@@ -68,6 +69,7 @@ class Scope:
     as_of: datetime
     app: str | None
     include_internal: bool
+    cap: int | None = None   # the cap of newest rows that was asked for
 
 
 def scope(
@@ -81,7 +83,7 @@ def scope(
     prepared = prepare_events(rows, devices)
     app_rows = prepared if not app else prepared.where(F.col("app") == app)
     visible = app_rows if include_internal else app_rows.where(~F.col("is_internal"))
-    return Scope(prepared, app_rows, visible, as_of, app, include_internal)
+    return Scope(prepared, app_rows, visible, as_of, app, include_internal, cap)
 
 
 def hidden_internal(sc: Scope) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, MapType, StringType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructType, VariantType
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -15,7 +15,7 @@ HOT_KEYS_AT_MOST = 1_000
 
 
 def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure at most `max_rows` + 1 rows and tell whether the frame may be broadcast."""
+    """Measure the frame and tell whether it may be broadcast; one row per partition meets in a task."""
     width = F.lit(16 * len(df.columns))
     for field in df.schema.fields:
         column = F.col(field.name)
@@ -25,7 +25,7 @@ def small_enough(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int =
             continue
         width = width + F.coalesce(F.octet_length(column), F.lit(0))
     seen = (
-        df.select(width.alias("width")).limit(max_rows + 1)
+        df.select(width.alias("width"))
         .agg(F.count("*").alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes"))
         .first()
     )
@@ -56,7 +56,9 @@ def lookup_join(
         .select(*keys, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_hot_{c}") for c in payload])
     )
     is_hot = F.coalesce("_hot", F.lit(False))
-    lane = F.when(is_hot | incomplete, F.abs(F.xxhash64(spread_by) % 1_000_000) + 1).otherwise(F.lit(0))
+    # All columns take part, since `spread_by` alone may be null or repeat.
+    mixed = [f"`{f.name}`" for f in facts.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    lane = F.when(is_hot | incomplete, F.abs(F.xxhash64(spread_by, *mixed) % 1_000_000) + 1).otherwise(F.lit(0))
     spread = facts.join(F.broadcast(hot), keys, "left").withColumn("_lane", lane)
     # Always zero, but not a constant, so that the lane stays part of the shuffle key.
     lanes = dim.withColumn("_lane", F.pmod(F.xxhash64(*keys), F.lit(1)))

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from plumbline.functions.calendar import time_slot
-from plumbline.operators.events import ROW_CAP, Scope
+from plumbline.operators.events import Scope
 from plumbline.operators.visits import GAP_SECONDS
 
 
@@ -71,7 +71,7 @@ def bar_widths(counts: DataFrame, key: str) -> DataFrame:
     return counts.select(key, "n", (F.col("n") * 100 / F.greatest(largest, F.lit(1))).alias("width_pct"))
 
 
-def overview_kpis(sc: Scope, gap: int = GAP_SECONDS, cap: int = ROW_CAP) -> DataFrame:
+def overview_kpis(sc: Scope, gap: int = GAP_SECONDS) -> DataFrame:
     """Headline numbers in one row, from one pass over the rows in range.
 
     The rows are reduced per device and time slot, as for visits; the numbers are
@@ -98,7 +98,8 @@ def overview_kpis(sc: Scope, gap: int = GAP_SECONDS, cap: int = ROW_CAP) -> Data
     return cells.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
         F.coalesce(F.sum("hidden"), F.lit(0)).alias("hidden_internal_events"),
-        F.coalesce(F.sum("scanned") >= cap, F.lit(False)).alias("truncated"),
+        # Only a cap that was asked for and reached leaves rows out.
+        (F.coalesce(F.sum("scanned") >= sc.cap, F.lit(False)) if sc.cap is not None else F.lit(False)).alias("truncated"),
         F.count_if(new_device).alias("unique_devices"),
         F.count_if(new_device | (active & (idle > gap * 1_000_000))).alias("visits"),
         on_days(today, today).alias("events_today"),

@@ -27,7 +27,8 @@ def kept_accounts(profiles: DataFrame, as_of: datetime, days: int = ACCOUNT_DAYS
 
 def kept_audit_rows(audit: DataFrame, profiles: DataFrame, as_of: datetime, months: int = AUDIT_MONTHS) -> DataFrame:
     """Audit rows (`id`, `user_id`) of accounts not deleted, or deleted less than the period ago."""
-    deletions = profiles.where("deleted_at is not null").select("user_id", "deleted_at")
+    # The last deletion counts where an account has several.
+    deletions = profiles.where("deleted_at is not null").groupBy("user_id").agg(F.max("deleted_at").alias("deleted_at"))
     oldest = F.add_months(F.to_date(F.lit(as_of)), -months)
     marked = lookup_join(audit, deletions, "user_id", "id")
     return marked.where(F.col("deleted_at").isNull() | (F.to_date("deleted_at") > oldest)).drop("deleted_at")

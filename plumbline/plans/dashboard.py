@@ -1,4 +1,4 @@
-"""The whole dashboard as one job: two reductions of the events, then small frames."""
+"""The whole dashboard as one job: a few stored reductions of the events, then small frames."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from plumbline.functions.outcomes import is_error
 from plumbline.operators import apps, devices, events as ev, feeds, overview
 from plumbline.session import settle
 
@@ -26,9 +27,10 @@ def _from_cube(cube: DataFrame, key: str) -> DataFrame:
 def dashboard(events: DataFrame, excluded: DataFrame, request: Request) -> dict[str, DataFrame]:
     """All parts of the dashboard.
 
-    Two reductions are stored first: counts per app, event, day and hour, and counts
-    per app and device. The plain counts, statistics and funnel come from those, so
-    the events are not read again for each of them.
+    Stored first: counts per app, event, day and hour; counts per app and device; one
+    row per device, app and client; and the rows that are errors or feedback. Plain counts,
+    statistics, funnel, devices, apps and two feeds come from those. Beside them, only the
+    headline numbers and the newest events read the events again.
     """
     sc = ev.scope(events, excluded, request.as_of, request.range_name, request.app, request.include_internal)
     rows = sc.visible_rows
@@ -36,10 +38,14 @@ def dashboard(events: DataFrame, excluded: DataFrame, request: Request) -> dict[
     rank = W.partitionBy("app").orderBy(F.desc("n"), "event")
     per_event = cube.groupBy("app", "event").agg(F.sum("n").alias("n"))
     per_device = settle(apps.per_device(rows))
+    clients = settle(devices.per_client(sc.all_rows))
+    shown = clients.where(F.col("app") == request.app) if request.app else clients
+    told = settle(sc.app_rows.where(is_error(F.col("event")) | (F.col("event") == feeds.FEEDBACK_EVENT)).select(
+        "id", "created_at", "app", "event", "properties", "is_internal"))
     days = cube.groupBy("app", "day").agg(F.sum("n").alias("n"))
     return {
         "kpis": overview.overview_kpis(sc),
-        "all_apps": ev.all_apps(sc.all_rows),
+        "all_apps": ev.all_apps(clients),
         "apps": apps.stats_of(per_device),
         "app_events": per_event.withColumn("rank", F.row_number().over(rank)),
         "funnel": apps.funnel_of(per_device),
@@ -47,11 +53,11 @@ def dashboard(events: DataFrame, excluded: DataFrame, request: Request) -> dict[
         "events_by_app": _from_cube(cube, "app"),
         "events_by_name": _from_cube(cube, "event"),
         "hours": overview.dense_hours(_from_cube(cube, "hour")),
-        "platforms": devices.devices_by_platform(rows),
-        "devices": devices.device_table(sc.all_rows),
+        "platforms": devices.platforms_of(shown if request.include_internal else shown.where(~F.col("is_internal"))),
+        "devices": devices.table_of(clients),
         "recent_events": feeds.recent_events(rows),
-        "recent_errors": feeds.recent_errors(rows),
-        "feedback": feeds.feedback_feed(sc.app_rows),
+        "recent_errors": feeds.recent_errors(told if request.include_internal else told.where(~F.col("is_internal"))),
+        "feedback": feeds.feedback_feed(told),
     }
 
 

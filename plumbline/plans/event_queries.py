@@ -18,7 +18,7 @@ AS_OF = g.AS_OF
 
 def _scope(spark, folder, **options):
     options.setdefault("as_of", AS_OF)
-    return ev.scope(g.events(spark, folder), g.excluded_devices(spark, folder), **options)
+    return ev.scope(g.events(spark, folder), g.excluded_devices(spark, folder, repeats=True), **options)
 
 
 def visible(build, **options):
@@ -81,7 +81,7 @@ register(
     "app_stats_all_time", visible(apps.app_stats, range_name="5d"), base_sql(None) + APP_STATS,
 )
 
-register("app_funnel", visible(apps.app_funnel), BASE + """, c AS (
+FUNNEL = """, c AS (
   SELECT app, count(DISTINCT CASE WHEN ev = 'app_opened' THEN device END) AS n1,
     count(DISTINCT CASE WHEN contains(ev, 'upload') OR contains(ev, 'photo') THEN device END) AS n2,
     count(DISTINCT CASE WHEN reached THEN device END) AS n3 FROM v GROUP BY app),
@@ -89,7 +89,8 @@ l AS (SELECT app, n1 AS base, CAST(1 AS BIGINT) AS step_no, 'opened' AS step, 'O
   UNION ALL SELECT app, n1, 2, 'uploaded', 'Uploaded', n2 FROM c
   UNION ALL SELECT app, n1, 3, 'success', 'Success / Export', n3 FROM c)
 SELECT app, step_no, step, label, n,
-  CASE WHEN base > 0 THEN floor((1 - n / base::DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS dropoff_pct FROM l""")
+  CASE WHEN base > 0 THEN floor((1 - n / base::DOUBLE) * 1000 + 0.5) / 10 ELSE 0 END AS dropoff_pct FROM l"""
+register("app_funnel", visible(apps.app_funnel), BASE + FUNNEL)
 
 register("app_event_counts", visible(apps.app_event_counts), BASE + "SELECT app, event, count(*) AS n FROM v GROUP BY app, event")
 register("app_event_counts_top10", visible(lambda v: apps.app_event_counts(v, 10)), BASE + """SELECT * FROM (
@@ -103,10 +104,11 @@ f AS (SELECT app, rank, created_at, event, json_extract_string(properties, '$.re
   json_extract_string(properties, '$.source') AS source, json_extract_string(properties, '$.online') AS online
   FROM top WHERE rank <= 10)
 """
-register("recent_errors_top10", visible(feeds.recent_errors), BASE + ERRORS + f"""SELECT app, rank,
+RECENT_ERRORS = ERRORS + f"""SELECT app, rank,
   coalesce(nullif(reason, ''), nullif(message, ''), event) AS reason,
   CASE WHEN code IS NOT NULL THEN '{{"code":"' || code || '","online":"' || online || '","source":"' || source || '"}}' END AS detail,
-  strftime(created_at, {SQL_TIME}) AS time FROM f""")
+  strftime(created_at, {SQL_TIME}) AS time FROM f"""
+register("recent_errors_top10", visible(feeds.recent_errors), BASE + RECENT_ERRORS)
 register(
     "recent_errors_readable", visible(lambda v: feeds.readable_errors(feeds.recent_errors(v))),
     BASE + ERRORS + f"""SELECT app, rank, coalesce(nullif(reason, ''), nullif(message, ''), event) AS reason,
@@ -158,20 +160,20 @@ KPIS = """, gaps AS (SELECT device, created_at - lag(created_at) OVER (PARTITION
   FROM v WHERE device IS NOT NULL)
 SELECT (SELECT count(*) FROM v) AS row_count,
   (SELECT count(*) FROM a) - (SELECT count(*) FROM v) AS hidden_internal_events,
-  (SELECT count(*) FROM e) >= 50000 AS truncated,
+  {truncated} AS truncated,
   (SELECT count(DISTINCT device) FROM v) AS unique_devices,
   (SELECT count(*) FROM gaps WHERE idle IS NULL OR idle > INTERVAL 30 MINUTE) AS visits,
   (SELECT count(*) FROM v WHERE day = DATE '{today}') AS events_today,
   (SELECT count(*) FROM v WHERE day BETWEEN DATE '{today}' - 6 AND DATE '{today}') AS events_this_week,
   (SELECT count(DISTINCT day) FROM v) AS active_days"""
-register("overview_kpis", scoped(overview.overview_kpis), BASE + KPIS.format(today=AS_OF.date()))
+register("overview_kpis", scoped(overview.overview_kpis), BASE + KPIS.format(today=AS_OF.date(), truncated="false"))
 register(
     "overview_kpis_one_app", scoped(overview.overview_kpis, app="ledger", range_name="7d", as_of=EARLIER),
-    base_sql(7, "ledger", as_of=EARLIER) + KPIS.format(today=EARLIER.date()),
+    base_sql(7, "ledger", as_of=EARLIER) + KPIS.format(today=EARLIER.date(), truncated="false"),
 )
 register(
     "overview_kpis_with_internal", scoped(overview.overview_kpis, include_internal=True, range_name="all"),
-    base_sql(None, internal=True) + KPIS.format(today=AS_OF.date()),
+    base_sql(None, internal=True) + KPIS.format(today=AS_OF.date(), truncated="false"),
 )
 
 VISITS = """, s AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY device ORDER BY created_at, id) <= INTERVAL 30 MINUTE
@@ -195,8 +197,9 @@ register(
     BASE + VISITS + "SELECT v.id, v.device, n.visit_no FROM v LEFT JOIN n ON n.id = v.id",
 )
 
-register("devices_by_platform", visible(devices.devices_by_platform), BASE + """SELECT platform, count(*) AS n FROM (
-  SELECT device, arg_max(platform, (created_at, platform)) AS platform FROM v WHERE device IS NOT NULL GROUP BY device) GROUP BY platform""")
+PLATFORMS = """SELECT platform, count(*) AS n FROM (
+  SELECT device, arg_max(platform, (created_at, platform)) AS platform FROM v WHERE device IS NOT NULL GROUP BY device) GROUP BY platform"""
+register("devices_by_platform", visible(devices.devices_by_platform), BASE + PLATFORMS)
 DEVICE_TABLE = f"""SELECT device AS device_id, arg_max(platform, (created_at, platform, browser)) AS platform, arg_max(browser, (created_at, platform, browser)) AS browser,
   string_agg(DISTINCT app, ',' ORDER BY app) AS apps, count(*) AS events, strftime(max(created_at), {SQL_TIME}) AS last_seen,
   bool_or(self_tag) AS flagged, bool_or(is_excluded) AS internal FROM e WHERE device IS NOT NULL GROUP BY device"""
@@ -206,15 +209,17 @@ register(
     BASE + f"SELECT * FROM ({DEVICE_TABLE}) ORDER BY last_seen DESC, device_id LIMIT 25",
 )
 
-register("recent_events", visible(feeds.recent_events), BASE + f"""SELECT id, strftime(created_at, {SQL_TIME}) AS time, app, event,
-  substr(device, 1, 8) AS device FROM v ORDER BY created_at DESC, id DESC LIMIT 60""")
-register("feedback_feed", scoped(lambda sc: feeds.feedback_feed(sc.app_rows)), BASE + f"""SELECT id, strftime(created_at, {SQL_TIME}) AS time, app,
+RECENT_EVENTS = f"""SELECT id, strftime(created_at, {SQL_TIME}) AS time, app, event,
+  substr(device, 1, 8) AS device FROM v ORDER BY created_at DESC, id DESC LIMIT 60"""
+register("recent_events", visible(feeds.recent_events), BASE + RECENT_EVENTS)
+FEEDBACK = f"""SELECT id, strftime(created_at, {SQL_TIME}) AS time, app,
   substr(coalesce(nullif(json_extract_string(properties, '$.feedback_type'), ''), 'other'), 1, 32) AS feedback_type,
   substr(coalesce(json_extract_string(properties, '$.message'), ''), 1, 2000) AS message,
   substr(json_extract_string(properties, '$.version'), 1, 64) AS version,
   substr(json_extract_string(properties, '$.commit'), 1, 64) AS commit,
   substr(json_extract_string(properties, '$.screen'), 1, 64) AS screen, is_internal AS internal
-FROM a WHERE event = 'feedback' ORDER BY created_at DESC, id DESC LIMIT 200""")
+FROM a WHERE event = 'feedback' ORDER BY created_at DESC, id DESC LIMIT 200"""
+register("feedback_feed", scoped(lambda sc: feeds.feedback_feed(sc.app_rows)), BASE + FEEDBACK)
 
 register("all_apps", scoped(lambda sc: ev.all_apps(sc.all_rows), app="ledger"), BASE + "SELECT DISTINCT app FROM e")
 register(
@@ -228,15 +233,22 @@ register(
 _ROW = ["id", "app", "event", "session_id"]
 register(
     "hidden_internal_semi",
-    lambda s, f: ev.excluded_traffic(g.events(s, f), g.excluded_devices(s, f)).select(*_ROW),
+    lambda s, f: ev.excluded_traffic(g.events(s, f), g.excluded_devices(s, f, repeats=True)).select(*_ROW),
     base_sql(None) + "SELECT id, app, event, session_id FROM e WHERE is_excluded",
 )
 register(
-    "visible_anti", lambda s, f: ev.visible_traffic(g.events(s, f), g.excluded_devices(s, f)).select(*_ROW),
+    "visible_anti", lambda s, f: ev.visible_traffic(g.events(s, f), g.excluded_devices(s, f, repeats=True)).select(*_ROW),
     base_sql(None) + "SELECT id, app, event, session_id FROM e WHERE NOT is_internal",
 )
-register("event_scan_newest_capped", scoped(lambda sc: sc.all_rows.select(*_ROW), cap=ev.ROW_CAP, range_name="all"), base_sql(None) + """
-SELECT id, app, event, session_id FROM e ORDER BY created_at DESC, id DESC LIMIT 50000""")
+# A cap that leaves rows out of every given table but the smallest.
+CAP = 1_000
+register("event_scan_newest_capped", scoped(lambda sc: sc.all_rows.select(*_ROW), cap=CAP, range_name="all"), base_sql(None) + f"""
+SELECT id, app, event, session_id FROM e ORDER BY created_at DESC, id DESC LIMIT {CAP}""")
+register(
+    "overview_kpis_capped", scoped(overview.overview_kpis, range_name="all", cap=CAP),
+    base_sql(None).replace("FROM raw ", f"FROM (SELECT * FROM raw ORDER BY created_at DESC, id DESC LIMIT {CAP}) ")
+    + KPIS.format(today=AS_OF.date(), truncated=f"(SELECT count(*) FROM e) >= {CAP}"),
+)
 register("raw_export", visible(raw_export), BASE + f"""SELECT id, strftime(created_at, {SQL_TIME}) AS created_at, raw_app AS app, event,
   session_id, path, user_agent, is_internal AS internal, properties FROM v""")
 
@@ -292,10 +304,25 @@ SELECT '{' || string_agg('"' || event || '":' || CAST(n AS STRING), ',' ORDER BY
 
 
 def _dashboard(part):
-    return lambda s, f: dashboard(g.events(s, f), g.excluded_devices(s, f), Request(AS_OF))[part]
-
-
-register("dashboard_apps", _dashboard("apps"), BASE + APP_STATS)
+    return lambda s, f: dashboard(g.events(s, f), g.excluded_devices(s, f, repeats=True), Request(AS_OF))[part]
+
+
+for _part, _sql in {
+    "apps": APP_STATS,
+    "kpis": KPIS.format(today=AS_OF.date(), truncated="false"),
+    "all_apps": "SELECT DISTINCT app FROM e",
+    "app_events": """SELECT app, event, n, row_number() OVER (PARTITION BY app ORDER BY n DESC, event) AS rank
+  FROM (SELECT app, event, count(*) AS n FROM v GROUP BY app, event)""",
+    "funnel": FUNNEL,
+    "events_by_app": "SELECT app, count(*) AS n FROM v GROUP BY app",
+    "events_by_name": "SELECT event, count(*) AS n FROM v GROUP BY event",
+    "platforms": PLATFORMS,
+    "devices": DEVICE_TABLE,
+    "recent_events": RECENT_EVENTS,
+    "recent_errors": RECENT_ERRORS,
+    "feedback": FEEDBACK,
+}.items():
+    register(f"dashboard_{_part}", _dashboard(_part), BASE + _sql)
 register(
     "dashboard_daily", _dashboard("daily"),
     BASE + SPINE.format(today=AS_OF.date()) + f"SELECT strftime(day, {SQL_DAY}) AS day, app, n FROM dense",

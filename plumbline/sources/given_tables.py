@@ -124,8 +124,10 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return given(spark, folder, "events").selectExpr(*EVENT_COLUMNS)
 
 
-def excluded_devices(spark: SparkSession, folder: str) -> DataFrame:
-    return given(spark, folder, "customer").where(DEVICE_FILTER).selectExpr(*DEVICE_COLUMNS)
+def excluded_devices(spark: SparkSession, folder: str, repeats: bool = False) -> DataFrame:
+    """The exclusion list, in which some devices are listed twice."""
+    listed = given(spark, folder, "customer").where(DEVICE_FILTER).selectExpr(*DEVICE_COLUMNS)
+    return listed.unionAll(listed.where("note is not null")) if repeats else listed
 
 
 def exclusion_actions(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,7 +12,7 @@ from plumbline.operators.joins import small_enough
 from plumbline.schemas import EVENTS
 
 LATENESS = "1 hour"
-# Copies of the exclusion list when it is too large to broadcast to a stream.
+# Copies of the exclusion list when it is too large to broadcast to a stream; more for more executors.
 LANES = 32
 
 
@@ -47,21 +47,21 @@ def deduplicated(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return events.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["id"])
 
 
-def marked(events: DataFrame, devices: DataFrame) -> DataFrame:
-    """Defaults and internal marks against the stored exclusion list.
+def marked(events: DataFrame, devices: DataFrame, lanes: int = LANES) -> DataFrame:
+    """Defaults and internal marks against the exclusion list as stored when the stream starts.
 
     A list too large to broadcast is repeated per lane, so that the events of one
-    busy device are joined in many tasks.
+    busy device are joined in as many tasks.
     """
-    listed = devices.select(F.col("device_id").alias("session_id"), F.lit(True).alias("is_excluded"))
+    listed = devices.select(F.col("device_id").alias("session_id"), F.lit(True).alias("is_excluded")).distinct()
     rows = with_defaults(events)
     if small_enough(listed):
         joined = rows.join(F.broadcast(listed), "session_id", "left")
     else:
-        lanes = F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))).alias("_lane")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane")
         joined = (
-            rows.withColumn("_lane", F.pmod(F.xxhash64("id"), F.lit(LANES)).cast("int"))
-            .join(listed.select("*", lanes), ["session_id", "_lane"], "left").drop("_lane")
+            rows.withColumn("_lane", F.pmod(F.xxhash64("id"), F.lit(lanes)).cast("int"))
+            .join(listed.select("*", copies), ["session_id", "_lane"], "left").drop("_lane")
         )
     excluded = F.coalesce("is_excluded", F.lit(False))
     return joined.withColumns({"is_excluded": excluded, "is_internal": excluded | F.col("self_tag")})

@@ -56,7 +56,8 @@ def test_a_busy_device_leaves_one_row_per_slot(spark):
     slots = visits.device_slots(rows)
     assert slots.count() == 4 and slots.agg(F.sum("events")).first()[0] == 3600
     plan = slots._jdf.queryExecution().executedPlan().toString()
-    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+    # Two levels here, two for the distinct exclusion list.
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 4
 
 
 def test_error_wins_and_both_reach_success(spark):
@@ -113,9 +114,14 @@ def test_ranges_and_scopes(spark):
 
 
 def test_truncation_flag_at_the_cap(spark):
-    sc = scoped(spark, [("x", "d"), ("x", "d")])
-    assert overview.overview_kpis(sc, cap=2).first()["truncated"] is True
-    assert overview.overview_kpis(sc, cap=3).first()["truncated"] is False
+    rows = [("x", "d"), ("x", "d")]
+    for cap, told in ((1, True), (2, True), (3, False), (None, False)):
+        assert overview.overview_kpis(scoped(spark, rows, cap=cap)).first()["truncated"] is told
+
+
+def test_a_device_listed_twice_marks_once(spark):
+    sc = scoped(spark, [("x", "d"), ("x", "e")], excluded=("d", "d"))
+    assert sorted(r["is_excluded"] for r in sc.all_rows.collect()) == [False, True]
 
 
 def test_platform_of_the_newest_event_even_when_empty(spark):

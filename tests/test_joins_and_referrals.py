@@ -32,16 +32,24 @@ def test_lookup_join_is_the_same_on_both_paths(spark, max_rows):
     assert got == want and len(got) == 3000
 
 
-def test_lookup_join_spreads_the_hot_key(spark):
+@pytest.mark.parametrize("spread_by", ["id", "nothing"])
+def test_lookup_join_spreads_the_hot_key(spark, spread_by):
+    """The joined column is read, so the joins stay in the plan; `nothing` is null in every row."""
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        facts = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"))
-        dim = facts.select("key").distinct().withColumn("value", F.lit(1))
-        joined = lookup_join(facts, dim, "key", "id", 10)
-        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-        assert sum(sizes) == 6000 and max(sizes) < 2000
-        assert joined.where("value is null").count() == 0
+        facts = spark.range(6000).select(
+            "id", F.lit(None).cast("string").alias("nothing"),
+            F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), "id")).alias("key"))
+        dim = facts.select("key").distinct().withColumn("value", F.length("key"))
+        joined = lookup_join(facts, dim, "key", spread_by, 10)
+        counted = joined.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("value").alias("v"))
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Join") >= 2
+        rows = counted.collect()
+        sizes = [r["n"] for r in rows]
+        assert sum(sizes) == 6000 and max(sizes) < 2 * sum(sizes) / len(sizes)
+        assert sum(r["v"] for r in rows) == 2000 * 3 + sum(len(f"k{i}") for i in range(6000) if i % 3)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
