@@ -35,7 +35,7 @@ from plumbline.session import settle
 MODEL = os.path.join("/opt/tokenizers", "piece_bpe_32k.model")
 MARK = "▁"
 # Characters of a chunk, and how far back from its end a safe cut is looked for.
-CHUNK = 16_384
+CHUNK = 65_536
 LOOK_BACK = 512
 CLOSED = float("-inf")
 
