@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from plumbline.functions.text import filled, slug, trimmed
+from plumbline.functions.text import BLANK_CLASS, filled, slug, trimmed
 
-# Fixed values.
-SECTION_NUMBER = r"^(\d+(?:\.\d+)*)[.)]?(?:\s|$)"
+BLANK = f"[{BLANK_CLASS}]"
+# The marks of the document format.
+SECTION_NUMBER = rf"^(\d+(?:\.\d+)*)[.)]?(?:{BLANK}|$)"
 # For trimmed lines.
-HEADING = r"^(#{2,3})\s+(.+)$"
-ANY_HEADING = r"^(#{1,6})\s+(.*[^\s#].*?)[\s#]*$"
-MAYBE_NUMBERED = r"^(?:#{2,3}\s+|\*\*)\d"
+HEADING = rf"^(#{{2,3}}){BLANK}+(.+)$"
+ANY_HEADING = rf"^(#{{1,6}}){BLANK}+(.*[^{BLANK_CLASS}#].*?)[{BLANK_CLASS}#]*$"
+MAYBE_NUMBERED = rf"^(?:#{{2,3}}{BLANK}+|\*\*)\d"
 BOLD_SECTION = r"^\*\*(\d+(?:\.\d+)+[^*]*?)\*\*$"
 RULE = "\n-{3,}\n"
-TITLE = r"(?m)^#\s+(.+)$"
-EFFECTIVE = r"(?m)\*\*Effective Date:\*\*\s*(.+?)\s*$"
-UPDATED = r"(?m)\*\*Last Updated:\*\*\s*(.+?)\s*$"
-ENTITY = r"(?m)^\*\*(.+?)\*\*\s*(\(.*\))\s*$"
+TITLE = rf"(?m)^#{BLANK}+(.+)$"
+EFFECTIVE = rf"(?m)\*\*Effective Date:\*\*{BLANK}*(.+?){BLANK}*$"
+UPDATED = rf"(?m)\*\*Last Updated:\*\*{BLANK}*(.+?){BLANK}*$"
+ENTITY = rf"(?m)^\*\*(.+?)\*\*{BLANK}*(\(.*\)){BLANK}*$"
 
 
 def section_id(text: Column) -> Column:
@@ -55,7 +56,7 @@ def preamble_of(text: Column) -> Column:
     head, rest = parts[0], F.coalesce(F.get(parts, F.lit(1)), source)
     title = F.regexp_extract(head, TITLE, 1)
     entity = F.concat_ws(" ", F.regexp_extract(head, ENTITY, 1), F.regexp_extract(head, ENTITY, 2))
-    body = F.when(title != "", F.regexp_replace(rest, r"^\s+", "")).otherwise(source)
+    body = F.when(title != "", F.regexp_replace(rest, f"^{BLANK}+", "")).otherwise(source)
     return F.struct(
         title.alias("title"), trimmed(entity).alias("entity"),
         F.regexp_extract(head, EFFECTIVE, 1).alias("effective_date"),

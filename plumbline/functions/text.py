@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fixed value: whitespace stripped by a browser-style trim.
-BLANKS = " \t\n\r\f\x0b\u00a0\u2028\u2029\ufeff"
+# White space in the sense of a browser's trim, as characters and as a class for patterns.
+BLANKS = " \t\n\r\f\x0b\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+BLANK_CLASS = r"\s\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def filled(text: Column) -> Column:

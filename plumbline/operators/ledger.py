@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from plumbline.functions.delimited import cells_of, usual_delimiter, without_bom
 from plumbline.functions.money import parse_amount
 from plumbline.functions.outcomes import mentions
-from plumbline.functions.rent import parse_date
+from plumbline.functions.rent import parse_date, slashed_parts
 from plumbline.operators.joins import lookup_join
 from plumbline.session import settle
 
@@ -24,19 +24,23 @@ HEADER_NAMES = {
 }
 # Every known header contains one of these.
 HEADER_HINTS = ("date", "acc", "am", "ent", "prop", "ref", "invo", "desc")
+# Names of amounts that are not the line's own; such a column never takes the place of the amount.
+OTHER_AMOUNTS = ["balance", "runningbalance", "endingbalance", "beginningbalance", "debit", "credit", "budget", "ytd", "total", "tax", "quantity", "qty"]
 # Share of filled cells that must read as the expected type.
 TYPE_SHARE = 0.8
 DATE_LIKE = r"^(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[/.-]\d{1,2}[/.-](\d{4}|\d{2}))$"
+# An amount with cents, and one without; a column is taken for an amount by its cells only if they have cents.
 AMOUNT_LIKE = r"^[(-]?[$€£]?-?(\d{1,3}([.,]\d{3})*|\d+)[.,]\d{2}[)-]?$"
+WHOLE_AMOUNT = r"^[(-]?[$€£]?-?(\d{1,3}([.,]\d{3})*|\d+)[)-]?$"
 
 
 def _canonical_headers(cells):
     names = F.transform(cells, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9#]", ""))
 
     def canonical(name):
-        out = None
+        out = F.when(name.isin(OTHER_AMOUNTS), "other")
         for column, known in HEADER_NAMES.items():
-            out = F.when(name.isin(known), column) if out is None else out.when(name.isin(known), column)
+            out = out.when(name.isin(known), column)
         return out
 
     return F.transform(names, canonical)
@@ -47,7 +51,7 @@ def header_guess(lines: DataFrame) -> DataFrame:
     line = without_bom(F.col("line"))
     delimiter = usual_delimiter(line)
     header = _canonical_headers(cells_of(line, delimiter))
-    known = F.size(F.array_distinct(F.filter(header, lambda h: h.isNotNull())))
+    known = F.size(F.array_distinct(F.filter(header, lambda h: h.isNotNull() & (h != "other"))))
     return (
         lines.where(mentions(F.lower("line"), HEADER_HINTS))
         .select("file_id", "line_no", delimiter.alias("delimiter"), header.alias("header"), known.alias("known"))
@@ -57,9 +61,15 @@ def header_guess(lines: DataFrame) -> DataFrame:
     )
 
 
-def _body(lines: DataFrame, headers: DataFrame) -> DataFrame:
-    rows = lookup_join(lines, headers, "file_id", "line_no").where(F.col("line_no") > F.col("header_line"))
-    return rows.where(F.trim("line") != "").withColumn("cells", cells_of(F.col("line"), F.col("delimiter")))
+def split_body(lines: DataFrame, guess: DataFrame) -> DataFrame:
+    """file_id, line_no and cells of every filled line below a header; stored, so that each line is split once."""
+    rows = lookup_join(lines, guess.select("file_id", "header_line", "delimiter"), "file_id", "line_no")
+    rows = rows.where((F.col("line_no") > F.col("header_line")) & (F.trim("line") != ""))
+    return settle(rows.select("file_id", "line_no", cells_of(F.col("line"), F.col("delimiter")).alias("cells")))
+
+
+def _named(body: DataFrame, headers: DataFrame, *more: str) -> DataFrame:
+    return lookup_join(body, headers.select("file_id", "header", *more), "file_id", "line_no").where("header is not null")
 
 
 def _share(filled, fitting):
@@ -72,12 +82,17 @@ def _cell(column: str):
 
 
 def doubtful_files(rows: DataFrame) -> DataFrame:
-    """Files whose date or amount column, as named by the header, does not read as one."""
-    shares = []
-    for column, pattern in (("gl_date", DATE_LIKE), ("amount", AMOUNT_LIKE)):
-        cell = F.coalesce(_cell(column), F.lit(""))
-        shares.append(_share(F.count_if(cell != ""), F.count_if(cell.rlike(pattern))).alias(column))
-    return rows.groupBy("file_id").agg(*shares).where(f"gl_date < {TYPE_SHARE} or amount < {TYPE_SHARE}").select("file_id")
+    """Files whose date or amount column, as named by the header, does not read as one.
+
+    An amount column without any cents is looked at too: it stays unless an unnamed column has them.
+    """
+    date_cell, amount = (F.coalesce(_cell(column), F.lit("")) for column in ("gl_date", "amount"))
+    told = rows.groupBy("file_id").agg(
+        _share(F.count_if(date_cell != ""), F.count_if(date_cell.rlike(DATE_LIKE))).alias("gl_date"),
+        _share(F.count_if(amount != ""), F.count_if(amount.rlike(AMOUNT_LIKE) | amount.rlike(WHOLE_AMOUNT))).alias("amount"),
+        F.count_if(amount.rlike(AMOUNT_LIKE)).alias("cents"),
+    )
+    return told.where(f"gl_date < {TYPE_SHARE} or amount < {TYPE_SHARE} or cents = 0").select("file_id")
 
 
 def column_profile(rows: DataFrame) -> DataFrame:
@@ -89,22 +104,30 @@ def column_profile(rows: DataFrame) -> DataFrame:
             F.count("*").alias("filled"),
             F.count_if(cell.rlike(DATE_LIKE)).alias("dates"),
             F.count_if(cell.rlike(AMOUNT_LIKE)).alias("amounts"),
+            F.count_if(cell.rlike(AMOUNT_LIKE) | cell.rlike(WHOLE_AMOUNT)).alias("numbers"),
         )
         .select(
             "file_id", "position", _share(F.col("filled"), F.col("dates")).alias("date_share"),
             _share(F.col("filled"), F.col("amounts")).alias("amount_share"),
+            _share(F.col("filled"), F.col("numbers")).alias("number_share"),
         )
     )
 
 
 def verified_columns(headers: DataFrame, profile: DataFrame) -> DataFrame:
-    """Second pass: a date or amount column that does not read as one gives way to one that does."""
+    """Second pass: a date or amount column that does not read as one gives way to one that does.
+
+    Only columns whose header means nothing else are candidates. A named amount with at least some cents, or whole
+    numbers where no candidate has cents, stays.
+    """
     named = headers.select("file_id", F.posexplode("header").alias("position", "canonical"))
     seen = profile.join(named, ["file_id", "position"], "left")
     own = lambda column: F.coalesce(F.col("canonical") == column, F.lit(False))
 
     def best(column, share):
-        fits = F.col(share) >= TYPE_SHARE
+        fits = (F.col(share) >= TYPE_SHARE) & (F.col("canonical").isNull() | own(column))
+        if column == "amount":
+            fits = fits | (own(column) & (F.col("number_share") >= TYPE_SHARE) & (F.col(share) > 0))
         order = F.struct(~own(column), -F.col(share), F.col("position"))
         return F.min(F.when(fits, F.struct(order.alias("order"), F.col("position").alias("position")))).alias(column)
 
@@ -118,25 +141,70 @@ def verified_columns(headers: DataFrame, profile: DataFrame) -> DataFrame:
         .when(h.isin("amount") & amount_at.isNotNull(), F.lit(None))
         .otherwise(h)
     ))
-    return mapped.select("file_id", "header_line", "delimiter", header.alias("header"))
+    moved = lambda column, at: (at != F.array_position(mapped["header"], column) - 1)
+    return mapped.select(
+        "file_id", "header_line", "delimiter", header.alias("header"),
+        F.coalesce(moved("gl_date", date_at), F.lit(False)).alias("date_replaced"),
+        F.coalesce(moved("amount", amount_at), F.lit(False)).alias("amount_replaced"))
 
 
-def normalise_ledger(lines: DataFrame) -> DataFrame:
-    """Export lines of any known layout to ledger rows.
+def date_orders(rows: DataFrame) -> DataFrame:
+    """Per file: day first if a first number exceeds 12 and no second one does; ambiguous if neither does."""
+    first, second = slashed_parts(F.coalesce(_cell("gl_date"), F.lit("")))
+    told = rows.groupBy("file_id").agg(F.max(first).alias("first"), F.max(second).alias("second"))
+    return told.select(
+        "file_id", F.coalesce((F.col("first") > 12) & (F.col("second") <= 12), F.lit(False)).alias("day_first"),
+        F.coalesce((F.col("first") <= 12) & (F.col("second") <= 12), F.lit(False)).alias("ambiguous"))
+
+
+def ledger_headers(guess: DataFrame, body: DataFrame) -> DataFrame:
+    """Stored header of every file that has one, with the columns verified and what was replaced.
 
     Only files whose named columns fail the check are profiled column by column.
     """
+    doubtful = settle(guess.join(doubtful_files(_named(body, guess)), "file_id", "left_semi"))
+    corrected = settle(verified_columns(doubtful, column_profile(_named(body, doubtful))))
+    kept = guess.join(corrected, "file_id", "left_anti").withColumns(
+        {"date_replaced": F.lit(False), "amount_replaced": F.lit(False)})
+    headers = kept.unionByName(corrected)
+    orders = date_orders(_named(body, headers))
+    return settle(headers.join(orders, "file_id", "left"))
+
+
+def normalise_ledger(lines: DataFrame) -> DataFrame:
+    """Export lines of any known layout to ledger rows; dates are read in the order each file shows."""
     guess = settle(header_guess(lines))
-    doubtful = guess.join(settle(doubtful_files(_body(lines, guess))), "file_id", "left_semi")
-    corrected = settle(verified_columns(doubtful, column_profile(_body(lines, doubtful))))
-    headers = guess.join(corrected, "file_id", "left_anti").unionByName(corrected)
-    return _body(lines, headers).select(
-        "file_id", "line_no", parse_date(_cell("gl_date"), F.lit(False)).alias("gl_date"),
+    body = split_body(lines, guess)
+    return ledger_rows(body, ledger_headers(guess, body))
+
+
+def ledger_rows(body: DataFrame, headers: DataFrame) -> DataFrame:
+    rows = _named(body, headers, "day_first")
+    return rows.select(
+        "file_id", "line_no", parse_date(_cell("gl_date"), F.coalesce("day_first", F.lit(False))).alias("gl_date"),
         _cell("account").alias("account"), _cell("account_name").alias("account_name"), _cell("entity").alias("entity"),
         parse_amount(_cell("amount")).alias("amount"), _cell("ref_no").alias("ref_no"),
     )
 
 
+def ledger_findings(lines: DataFrame) -> DataFrame:
+    """What was odd about each file, long form: no_header, replaced columns, ambiguous and unread dates, unread amounts."""
+    guess = settle(header_guess(lines))
+    body = split_body(lines, guess)
+    headers = ledger_headers(guess, body)
+    per_line = ledger_rows(body, headers).groupBy("file_id").agg(
+        F.count_if(F.col("gl_date").isNull()).alias("unread_dates"), F.count_if(F.col("amount").isNull()).alias("unread_amounts"))
+    files = lines.select("file_id").distinct().join(headers, "file_id", "left").join(per_line, "file_id", "left")
+    once = lambda flag: F.coalesce(flag.cast("long"), F.lit(0))
+    found = {
+        "no_header": F.col("header_line").isNull().cast("long"), "date_replaced": once(F.col("date_replaced")),
+        "amount_replaced": once(F.col("amount_replaced")), "ambiguous_dates": once(F.col("ambiguous")),
+        "unread_dates": F.coalesce("unread_dates", F.lit(0)), "unread_amounts": F.coalesce("unread_amounts", F.lit(0)),
+    }
+    long = F.array(*[F.struct(F.lit(code).alias("code"), n.alias("n")) for code, n in found.items()])
+    return files.select("file_id", F.inline(long)).where("n > 0")
+
+
 def drill(
     ledger: DataFrame, account: str | None = None, entity: str | None = None,
     first: date | None = None, last: date | None = None, ref_no: str | None = None,

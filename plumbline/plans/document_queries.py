@@ -23,13 +23,13 @@ pre AS (SELECT doc_id, regexp_extract(head, '(?m)^#\\s+(.+)$', 1) AS title,
   regexp_extract(head, '(?m)\\*\\*Effective Date:\\*\\*\\s*(.+?)\\s*$', 1) AS effective_date,
   regexp_extract(head, '(?m)\\*\\*Last Updated:\\*\\*\\s*(.+?)\\s*$', 1) AS last_updated, s, rest FROM parts),
 doc AS (SELECT doc_id, title, entity, effective_date, last_updated,
-  CASE WHEN title <> '' THEN regexp_replace(rest, '^\\s+', '') ELSE s END AS body FROM pre),
+  CASE WHEN title <> '' THEN ltrim(rest, {BLANKS}) ELSE s END AS body FROM pre),
 lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS raw, generate_subscripts(string_split(body, chr(10)), 1) - 1 AS pos FROM doc),
 l AS (SELECT doc_id, pos, trim(raw, {BLANKS}) AS line FROM lines)
 """
 ENTRIES = DOCS + """, t AS (SELECT doc_id, pos, line, CASE WHEN regexp_matches(line, '^(#{2,3})\\s+(.+?)\\s*$') THEN regexp_extract(line, '^(#{2,3})\\s+(.+?)\\s*$', 2)
     WHEN regexp_matches(line, '^\\*\\*(\\d+(?:\\.\\d+)+[^*]*?)\\*\\*$') THEN regexp_extract(line, '^\\*\\*(\\d+(?:\\.\\d+)+[^*]*?)\\*\\*$', 1) END AS label FROM l),
-n AS (SELECT *, replace(regexp_extract(trim(label), '^(\\d+(?:\\.\\d+)*)[.)]?(?:\\s|$)', 1), '.', '-') AS id FROM t WHERE label IS NOT NULL)
+n AS (SELECT *, replace(regexp_extract(trim(label), '^(\\d+(?:\\.\\d+)*)[.)]?(?:[\\s\\x{00A0}]|$)', 1), '.', '-') AS id FROM t WHERE label IS NOT NULL)
 """
 register("doc_preamble", lambda s, f: documents.doc_preamble(d.markdown(s, f)), DOCS + "SELECT doc_id, title, entity, effective_date, last_updated, body FROM doc")
 register("section_index", lambda s, f: documents.section_index(d.markdown(s, f)), ENTRIES + """
@@ -38,7 +38,7 @@ SELECT doc_id, pos, id, label, CASE WHEN contains(id, '-') THEN 1 ELSE length(re
 register("heading_anchors", lambda s, f: documents.heading_anchors(d.markdown(s, f)), DOCS + """
 , h AS (SELECT doc_id, pos, regexp_extract(line, '^(#{1,6})\\s+(.+?)\\s*#*$', 2) AS label, length(regexp_extract(line, '^(#{1,6})\\s+(.+?)\\s*#*$', 1)) AS depth
   FROM l WHERE regexp_matches(line, '^(#{1,6})\\s+(.+?)\\s*#*$')),
-i AS (SELECT *, coalesce(nullif(replace(regexp_extract(trim(label), '^(\\d+(?:\\.\\d+)*)[.)]?(?:\\s|$)', 1), '.', '-'), ''),
+i AS (SELECT *, coalesce(nullif(replace(regexp_extract(trim(label), '^(\\d+(?:\\.\\d+)*)[.)]?(?:[\\s\\x{00A0}]|$)', 1), '.', '-'), ''),
   nullif(trim(regexp_replace(lower(label), '[^a-z0-9]+', '-', 'g'), '-'), '')) AS id FROM h)
 SELECT doc_id, pos, id, label, depth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos) AS k FROM i WHERE id IS NOT NULL) WHERE k = 1""")
 

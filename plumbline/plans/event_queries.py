@@ -11,7 +11,8 @@ from plumbline.plans import presentation
 from plumbline.plans.dashboard import Request, dashboard
 from plumbline.plans.registry import SQL_DAY, SQL_TIME, register
 from plumbline.sources import given_tables as g
-from plumbline.sources.events import raw_export
+from plumbline.session import fresh_folder
+from plumbline.sources.events import append_events, export_csv, export_json, raw_export, read_events, tag_internal
 
 AS_OF = g.AS_OF
 
@@ -252,6 +253,38 @@ register(
 register("raw_export", visible(raw_export), BASE + f"""SELECT id, strftime(created_at, {SQL_TIME}) AS created_at, raw_app AS app, event,
   session_id, path, user_agent, is_internal AS internal, properties FROM v""")
 
+
+def _read_back_csv(spark, folder):
+    path = fresh_folder(spark, "export-csv")
+    export = raw_export(_scope(spark, folder).visible_rows)
+    export_csv(export, path)
+    back = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("emptyValue", "").csv(path)
+    return back.select(
+        F.col("id").cast("long").alias("id"), F.to_timestamp("created_at").alias("created_at"), "app", "event", "user_agent",
+        F.col("internal").cast("boolean").alias("internal"), "properties")
+
+
+def _read_back_json(spark, folder):
+    path = fresh_folder(spark, "export-json")
+    export_json(raw_export(_scope(spark, folder).visible_rows), path)
+    back = spark.read.schema("id long, created_at timestamp, app string, event string, internal boolean, properties string").json(path)
+    # The properties are an object in the file.
+    return back.withColumn("value", F.get_json_object("properties", "$.internal")).drop("properties")
+
+
+def _read_back_append(spark, folder):
+    path = fresh_folder(spark, "appended")
+    append_events(tag_internal(g.events(spark, folder), F.col("session_id") == "unknown"), path)
+    return read_events(spark, path).select("id", "created_at", "session_id", F.get_json_object("properties", "$.internal").alias("internal"))
+
+
+register("export_csv_read_back", _read_back_csv, BASE + f"""SELECT id, strftime(created_at, {SQL_TIME}) AS created_at, nullif(raw_app, '') AS app, event,
+  nullif(user_agent, '') AS user_agent, is_internal AS internal, properties FROM v""")
+register("export_json_read_back", _read_back_json, BASE + f"""SELECT id, strftime(created_at, {SQL_TIME}) AS created_at, raw_app AS app, event,
+  is_internal AS internal, json_extract_string(properties, '$.internal') AS value FROM v""")
+register("append_read_back", _read_back_append, base_sql(None) + f"""SELECT id, strftime(created_at, {SQL_TIME}) AS created_at, session_id,
+  CASE WHEN session_id = 'unknown' THEN 'true' ELSE json_extract_string(properties, '$.internal') END AS internal FROM raw""")
+
 ACTIONS = f"""WITH dev AS (SELECT {g.select_list(g.DEVICE_COLUMNS)} FROM customer WHERE {g.DEVICE_FILTER}),
 act AS (SELECT {g.select_list(g.ACTION_COLUMNS)} FROM events),
 ok AS (SELECT seq, action, trim(device_id) AS device_id, substr(note, 1, 200) AS note FROM act

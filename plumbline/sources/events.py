@@ -38,9 +38,13 @@ def tag_internal(events: DataFrame, own_traffic) -> DataFrame:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Append to the table, one folder per UTC day."""
+    """Append to the table, one folder per UTC day.
+
+    Rows are dealt by day first, in pieces of moderate size, so that a task does not leave a file in every folder.
+    """
     (
         events.select(*EVENTS.fieldNames(), F.to_date("created_at").alias(DAY_COLUMN))
+        .hint("rebalance", DAY_COLUMN)
         .write.mode("append").partitionBy(DAY_COLUMN).parquet(path)
     )
 

@@ -36,6 +36,7 @@ text
 @pytest.mark.parametrize("text, number, anchor", [
     ("5.2 API (A, B)", "5-2", "5-2"), ("12. ACCESSIBILITY", "12", "12"), ("7) x", "7", "7"),
     ("Client-Side Tools (A)", None, "client-side-tools-a"), ("5.2x", None, "5-2x"), ("!!", None, None),
+    ("12.\u00a0ACCESS", "12", "12"), ("3\u2003x", "3", "3"),
 ])
 def test_section_ids(spark, text, number, anchor):
     row = spark.range(1).select(section_id(F.lit(text)).alias("s"), anchor_id(F.lit(text)).alias("a")).first()

@@ -120,3 +120,29 @@ def test_utility_cost(spark):
     rates = spark.createDataFrame([("office", Decimal("2.40")), ("retail", Decimal("3.60"))], "tenant_type string, rate decimal(9,4)")
     row = utilities.utility_cost(tenants, rates).first()
     assert (row["annual_cost"], row["monthly_cost"], row["unpriced_rsf"]) == (4200.0, 350.0, 10.0)
+
+
+def ledger_files(spark, files):
+    rows = [(name, i, line) for name, text in files.items() for i, line in enumerate(text.split("\n"))]
+    return spark.createDataFrame(rows, "file_id string, line_no long, line string")
+
+
+def test_whole_amounts_balances_day_first_dates_and_unread_files(spark):
+    lines = ledger_files(spark, {
+        "balance": "Date,Account,Ent,Amount,Balance\n01/31/2024,4000,A,1500,9000.25\n02/28/2024,4000,A,2500,11500.25",
+        "quantity": "Date,Account,Ent,Amount,Net\n01/31/2024,4000,A,3,10.50\n02/28/2024,4000,A,4,20.75",
+        "day_first": "Date,Account,Ent,Amount\n05/06/2024,4000,A,1.00\n25/12/2024,4000,A,2.00",
+        "either": "Date,Account,Ent,Amount\n05/06/2024,4000,A,1.00",
+        "unread": "Fecha;Cuenta;Importe\n1/1/2024;4000;1,00",
+        "gaps": "Date,Account,Ent,Amount\nsoon,4000,A,1.00\n2024-01-02,4000,A,n/a\n2024-01-03,4000,A,2.00\n2024-01-04,4000,A,2.00\n2024-01-05,4000,A,2.00\n2024-01-06,4000,A,2.00",
+    })
+    rows = gl.normalise_ledger(lines).orderBy("file_id", "line_no").collect()
+    got = {name: [(str(r["gl_date"]), None if r["amount"] is None else float(r["amount"])) for r in rows if r["file_id"] == name]
+           for name in ("balance", "quantity", "day_first", "either", "unread")}
+    assert got == {
+        "balance": [("2024-01-31", 1500.0), ("2024-02-28", 2500.0)], "quantity": [("2024-01-31", 10.5), ("2024-02-28", 20.75)],
+        "day_first": [("2024-06-05", 1.0), ("2024-12-25", 2.0)], "either": [("2024-05-06", 1.0)], "unread": []}
+    found = {(r["file_id"], r["code"]): r["n"] for r in gl.ledger_findings(lines).collect()}
+    assert found == {
+        ("quantity", "amount_replaced"): 1, ("either", "ambiguous_dates"): 1, ("unread", "no_header"): 1,
+        ("gaps", "unread_dates"): 1, ("gaps", "unread_amounts"): 1}
