@@ -185,11 +185,15 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     kept = kept_lines(docs, key, text).select(
         F.col("doc.none").alias(none), F.coalesce("doc.id", F.lit(0)).alias(id_), F.col("kept").alias(stays), F.col("n_near").alias(near))
     rows = docs.withColumn(none, F.col(key).isNull()).withColumn(id_, F.coalesce(key, F.lit(0)))
-    joined = rows.join(kept, [none, id_], "left")
-    lines = F.split(F.col(text), "\n", -1)
+    # Columns of their own, since an expression inside a lambda is evaluated anew for every element.
+    split, stay_at = spare(docs, "_split"), spare(docs, "_stay")
+    joined = rows.join(kept, [none, id_], "left").withColumn(split, F.split(F.col(text), "\n", -1))
+    lines = F.col(split)
     numbers = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    short = F.filter(numbers, lambda i: F.char_length(F.trim(F.get(lines, i))) < LEAST_CHARS)
-    stay = F.array_intersect(numbers, F.concat(short, F.coalesce(stays, F.array().cast("array<int>"))))
+    short = F.filter(F.transform(lines, lambda line, i: F.when(F.char_length(F.trim(line)) < LEAST_CHARS, i)), lambda i: i.isNotNull())
+    joined = joined.withColumn(
+        stay_at, F.array_intersect(numbers, F.concat(short, F.coalesce(stays, F.array().cast("array<int>")))))
+    stay = F.col(stay_at)
     cleaned = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     empty = F.coalesce(F.col(text), F.lit("")) == ""
     counted = F.struct(
