@@ -61,7 +61,8 @@ PARSED = "page_id bigint, url string, uid bigint, host string, path string, line
 
 def element_kind(name: str, attributes: str, inside_main: bool) -> int | None:
     """GONE, STAYS, or None where the element decides nothing."""
-    if name == "header" and inside_main:
+    # The classes of a whole page say nothing about its parts.
+    if name in ("html", "body") or (name == "header" and inside_main):
         return None
     if name in DROPPED:
         return GONE
@@ -69,7 +70,7 @@ def element_kind(name: str, attributes: str, inside_main: bool) -> int | None:
     if attributes:
         for value in NAMES.findall(attributes):
             words.update(re.split(r"[^a-z0-9]+", value.lower()))
-        if name not in ("body", "html") and (words & FURNITURE or HIDDEN.search(attributes)):
+        if words & FURNITURE or HIDDEN.search(attributes):
             return GONE
     return STAYS if name in KEPT or words & MAIN else None
 
