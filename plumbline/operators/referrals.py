@@ -66,10 +66,8 @@ def attribute_referrals(
     signups: DataFrame, clicks: DataFrame, window_days: int = WINDOW_DAYS, slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
     """Code per signup: an explicit one as given, else that of the last valid click in the window."""
-    key = F.concat_ws("|", F.unix_micros("signup_ts"), "browser_id")
-    found = _last_click_before(signups, clicks, slot_seconds).select(key.alias("moment"), "click")
-    keyed = signups.withColumn("moment", F.when(F.col("browser_id").isNotNull(), key))
-    joined = lookup_join(keyed, settle(found), "moment", "user_id")
+    found = _last_click_before(signups, clicks, slot_seconds).select("browser_id", "signup_ts", "click")
+    joined = lookup_join(signups, settle(found), ["browser_id", "signup_ts"], "user_id")
     fresh = F.col("click.at") >= F.col("signup_ts") - F.make_dt_interval(F.lit(window_days))
     explicit = F.when(F.trim("explicit_code") != "", F.trim("explicit_code"))
     return joined.select(

@@ -12,7 +12,7 @@ from plumbline.plans.dashboard import Request, dashboard
 from plumbline.plans.registry import SQL_DAY, SQL_TIME, register
 from plumbline.sources import given_tables as g
 from plumbline.session import fresh_folder
-from plumbline.sources.events import append_events, export_csv, export_json, raw_export, read_events, tag_internal
+from plumbline.sources.events import append_events, delete_events_by_day, export_csv, export_json, raw_export, read_events, tag_internal
 
 AS_OF = g.AS_OF
 
@@ -308,13 +308,22 @@ register(
         exclusions.split_actions(g.exclusion_actions(s, f))[0].where("action = 'include'")),
     ACTIONS + "SELECT device_id, note FROM dev WHERE device_id NOT IN (SELECT device_id FROM ok WHERE action = 'include')",
 )
+def _deleted_by_day(spark, folder):
+    path = fresh_folder(spark, "deleted-by-day")
+    append_events(g.events(spark, folder), path)
+    delete_events_by_day(spark, path, feeds.feedback_feed(_scope(spark, folder).app_rows).select("id"))
+    return read_events(spark, path).select("id", "event", "session_id")
+
+
+FEEDBACK_DELETED = BASE + """, shown AS (SELECT id FROM a WHERE event = 'feedback' ORDER BY created_at DESC, id DESC LIMIT 200)
+SELECT id, event, session_id FROM raw WHERE id NOT IN (SELECT id FROM shown)"""
+register("feedback_delete_by_day", _deleted_by_day, FEEDBACK_DELETED)
 register(
     "feedback_delete",
     lambda s, f: exclusions.delete_by_id(
         g.events(s, f).select("id", "event", "session_id"),
         feeds.feedback_feed(_scope(s, f).app_rows).select("id")),
-    BASE + """, shown AS (SELECT id FROM a WHERE event = 'feedback' ORDER BY created_at DESC, id DESC LIMIT 200)
-SELECT id, event, session_id FROM raw WHERE id NOT IN (SELECT id FROM shown)""",
+    FEEDBACK_DELETED,
 )
 
 register(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.operators.exclusions import delete_by_id
 from plumbline.schemas import DAY_COLUMN, EVENTS
+from plumbline.session import settle
 
 ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 # Fixed value: columns of the raw export, in order.
@@ -59,6 +60,31 @@ def delete_events(spark: SparkSession, path: str, ids: DataFrame, target: str) -
     delete_by_id(stored, ids).write.mode("errorifexists").partitionBy(DAY_COLUMN).parquet(target)
 
 
+def delete_events_by_day(spark: SparkSession, path: str, ids: DataFrame) -> list:
+    """Remove the listed ids from the stored table, rewriting only the days that hold them; the days are returned.
+
+    What stays of these days is stored first, so a failed job can be repeated. A day of which nothing stays loses
+    its folder. Readers of these days should wait until it is done.
+    """
+    stored = read_events(spark, path)
+    listed = ids.select("id").distinct()
+    days = [r[0] for r in stored.join(listed, "id", "left_semi").select(F.to_date("created_at")).distinct().collect()]
+    if not days:
+        return days
+    whole = spark.read.parquet(path)
+    held = F.col(DAY_COLUMN).isin([d for d in days if d is not None])
+    if None in days:
+        held = F.coalesce(held, F.lit(False)) | F.col(DAY_COLUMN).isNull()
+    kept = settle(delete_by_id(whole.where(held), listed))
+    left = {r[0] for r in kept.select(DAY_COLUMN).distinct().collect()}
+    kept.hint("rebalance", DAY_COLUMN).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(DAY_COLUMN).parquet(path)
+    jvm = spark.sparkContext._jvm
+    for day in set(days) - left:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{DAY_COLUMN}={day or '__HIVE_DEFAULT_PARTITION__'}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return sorted(days, key=str)
+
+
 def raw_export(visible_rows: DataFrame) -> DataFrame:
     """The nine export columns of the filtered rows, as stored."""
     return visible_rows.select(

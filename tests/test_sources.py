@@ -44,6 +44,18 @@ def test_delete_writes_a_new_table(spark, events, tmp_path):
     assert src.read_events(spark, path).count() == 3
 
 
+def test_delete_by_day_touches_only_those_days(spark, events, tmp_path):
+    path = str(tmp_path / "days")
+    src.append_events(events, path)
+    before = {str(p) for p in (tmp_path / "days").glob("*/*.parquet")}
+    gone = events.where("id = 1").select(F.to_date("created_at")).first()[0]
+    assert src.delete_events_by_day(spark, path, spark.createDataFrame([(1,), (9,)], "id long")) == [gone]
+    assert sorted(r["id"] for r in src.read_events(spark, path).collect()) == [2, 3]
+    after = {str(p) for p in (tmp_path / "days").glob("*/*.parquet")}
+    assert {f for f in before if f"={gone}/" not in f} <= after
+    assert src.delete_events_by_day(spark, path, spark.createDataFrame([(7,)], "id long")) == []
+
+
 def test_internal_tag_keeps_other_properties(events):
     tagged = {r["id"]: r["properties"] for r in src.tag_internal(events, F.col("id") != 2).collect()}
     assert json.loads(tagged[1]) == {"a": {"b": 1}, "internal": True}
