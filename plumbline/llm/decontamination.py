@@ -252,7 +252,10 @@ def contaminated(docs: DataFrame, items: DataFrame, piece_words: int = PIECE_WOR
     """doc_id, item_id, score, overlaps and word range of every item found in every row of `docs`."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}"
+    # Keys travel as text: pandas would turn whole numbers into floats where some are null.
+    key_type = docs.schema["doc_id"].dataType
+    schema = f"doc_id string, {RESULT}"
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     names = ["doc_id", *(part.split()[0] for part in RESULT.split(", "))]
 
     def search(index: Index) -> DataFrame:
@@ -263,13 +266,13 @@ def contaminated(docs: DataFrame, items: DataFrame, piece_words: int = PIECE_WOR
             for batch in batches:
                 keys = batch["doc_id"].tolist()
                 out = [(keys[place], piece.item_ids[item], *rest) for place, item, *rest in find_items(piece, batch["text"].tolist())]
-                yield pd.DataFrame(out, columns=names).astype({"item_id": "Int64", "doc_id": batch["doc_id"].dtype if len(out) else object})
+                yield pd.DataFrame(out, columns=names).astype({"item_id": "Int64", "doc_id": object})
 
-        return docs.select("doc_id", "text").mapInPandas(find, schema)
+        return rows.mapInPandas(find, schema).withColumn("doc_id", F.col("doc_id").cast(key_type))
 
     pieces = index_pieces(items, piece_words)
     if not pieces:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).withColumn("doc_id", F.col("doc_id").cast(key_type))
     found = search(pieces[0])
     for piece in pieces[1:]:
         found = found.unionAll(search(piece))

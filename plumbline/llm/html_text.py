@@ -56,7 +56,7 @@ OPEN, STAYS, GONE = 0, 1, 2
 # Rows of the alignment kept at a time; others are computed again.
 STEP = 256
 
-PARSED = "page_id bigint, url string, uid bigint, host string, path string, lines array<string>, open array<boolean>, hashes array<bigint>, places array<int>"
+PARSED = "page_id string, url string, uid bigint, host string, path string, lines array<string>, open array<boolean>, hashes array<bigint>, places array<int>"
 
 
 def element_kind(name: str, attributes: str, inside_main: bool) -> int | None:
@@ -196,10 +196,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
                 left = [(kind == OPEN, text, k) for k, (kind, text) in enumerate(lines) if kind != GONE]
                 url = None if pd.isna(url) else url
                 out.append((page, url, uid, *host_and_path(url), [t for _, t, _ in left], [o for o, _, _ in left], hashes, [k for _, _, k in left]))
-            yield pd.DataFrame(out, columns=[part.split()[0] for part in PARSED.split(", ")]).astype({"page_id": "Int64"})
+            yield pd.DataFrame(out, columns=[part.split()[0] for part in PARSED.split(", ")])
 
     small_batches(pages.sparkSession)
-    rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("uid"))
+    # The page_id travels as text: pandas would turn whole numbers into floats where some are null.
+    rows = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", F.monotonically_increasing_id().alias("uid"))
     path = fresh_folder(pages.sparkSession, "page-lines")
     rows.mapInPandas(parse, PARSED).write.option("compression", "zstd").parquet(path)
     return pages.sparkSession.read.schema(PARSED).parquet(path)
@@ -241,7 +242,7 @@ def partners(parsed: DataFrame) -> DataFrame:
         made = pd.DataFrame(rows, columns=[part.split()[0] for part in schema.split(", ")])
         return made.astype({"before": "Int64", "after": "Int64"})
 
-    keys = parsed.where("host IS NOT NULL").select("uid", "host", "path", "page_id")
+    keys = parsed.where("host IS NOT NULL").select("uid", "host", "path", F.expr("try_cast(page_id AS decimal(38))").alias("page_id"))
     ordered = keys.repartitionByRange("host", "path", "page_id", "uid").sortWithinPartitions("host", "path", "page_id", "uid")
     found = settle(ordered.select("uid", "host", "path", F.spark_partition_id().alias("task")).mapInPandas(neighbours, schema))
     # At most two rows per partition of the sort.
@@ -281,7 +282,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     theirs = paired.join(parsed.select(F.col("uid").alias("partner"), F.col("hashes").alias("other")), "partner").select("uid", "other")
     judged = waiting.join(theirs, "uid", "left").withColumn("own", not_shared("hashes", "places", "other"))
     stay = F.filter(F.arrays_zip("lines", "open", "own"), lambda z: ~z["open"] | z["own"])
-    return settled.unionAll(judged.select("page_id", "url", F.array_join(F.transform(stay, lambda z: z["lines"]), " ").alias("text")))
+    made = settled.unionAll(judged.select("page_id", "url", F.array_join(F.transform(stay, lambda z: z["lines"]), " ").alias("text")))
+    return made.withColumn("page_id", F.col("page_id").cast(pages.schema["page_id"].dataType))
 
 
 def op4_html_extraction(spark: SparkSession, folder: str) -> DataFrame:

@@ -242,8 +242,9 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -
     task: a few states for every `chunk` characters of that text.
     """
     small_batches(docs.sparkSession)
-    key_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
+    # Keys travel as text: pandas would turn whole numbers into floats where some are null.
+    key_type = docs.schema["doc_id"].dataType
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     giant = F.coalesce(F.char_length("text"), F.lit(0)) >= chunk
 
     def encode_short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -308,7 +309,7 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -
                 out.append((row, k, ids))
             yield pd.DataFrame(out, columns=["row", "k", "ids"])
 
-    short = rows.where(~giant).mapInPandas(encode_short, f"doc_id {key_type}, text string, ids array<int>")
+    short = rows.where(~giant).mapInPandas(encode_short, "doc_id string, text string, ids array<int>")
     long_rows = settle(rows.where(giant).withColumn("row", F.monotonically_increasing_id()))
     chunks = settle(long_rows.select("row", "text").mapInPandas(
         cut_long, "row bigint, k int, before string, chunk string, after string").repartition("row", "k"))
@@ -318,7 +319,8 @@ def encode_texts(docs: DataFrame, model_path: str = MODEL, chunk: int = CHUNK) -
     encoded = chunks.join(states, ["row", "k"]).mapInPandas(encode_chunks, "row bigint, k int, ids array<int>")
     joined = encoded.groupBy("row").agg(F.flatten(F.transform(
         F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda part: part["ids"])).alias("ids"))
-    return short.unionAll(long_rows.join(joined, "row").select("doc_id", "text", "ids"))
+    encoded_rows = short.unionAll(long_rows.join(joined, "row").select("doc_id", "text", "ids"))
+    return encoded_rows.withColumn("doc_id", F.col("doc_id").cast(key_type))
 
 
 def decode(model: Pieces, ids: np.ndarray | list[int] | None) -> str | None:
@@ -336,9 +338,9 @@ def encode_and_decode(docs: DataFrame, model_path: str = MODEL, chunk: int = CHU
                 "doc_id": batch["doc_id"], "ids": batch["ids"], "n_tokens": [0 if i is None else len(i) for i in batch["ids"]],
                 "round_trip": pd.Series(same, dtype=object, index=batch.index)})
 
-    encoded = encode_texts(docs, model_path, chunk)
-    key_type = docs.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInPandas(back, f"doc_id {key_type}, ids array<int>, n_tokens bigint, round_trip boolean")
+    encoded = encode_texts(docs, model_path, chunk).withColumn("doc_id", F.col("doc_id").cast("string"))
+    made = encoded.mapInPandas(back, "doc_id string, ids array<int>, n_tokens bigint, round_trip boolean")
+    return made.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
 def decode_ids(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:

@@ -113,8 +113,10 @@ def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
 
 def write_archives(decided: DataFrame, folder: str, captured: str = CAPTURED, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all records below `folder`; the index rows, sorted within each run, as a stored table."""
+    # Numbers that may be null travel as text: pandas would turn them into floats.
     rows = decided.select(
-        "page_id", "url", payload(F.col("html")).alias("body"), "digest", "record_type", "refers_to", "payload_bytes",
+        F.col("page_id").cast("string").alias("page_id"), "url", payload(F.col("html")).alias("body"), "digest", "record_type",
+        F.col("refers_to").cast("string").alias("refers_to"), "payload_bytes",
         url_key(F.col("url")).alias("urlkey"))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
