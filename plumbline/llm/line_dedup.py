@@ -67,8 +67,9 @@ def _end_keys(line: Column) -> Column:
 def near_places(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """Places (doc, line_no, h1, h2) of distinct lines whose beginning or end another distinct line shares."""
     ends = lines.select("doc", "line_no", "h1", F.explode(_end_keys(F.col("line"))).alias("end_key"))
-    shared = (ends.groupBy("end_key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
-              .where("low <> high").select("end_key"))
+    # Stored, so that the join gets both sides from shuffles of their own and can split a beginning that many lines share.
+    shared = settle(ends.groupBy("end_key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
+                    .where("low <> high").select("end_key"))
     found = ends.join(shared, "end_key", "left_semi").select("h1").distinct()
     return firsts.join(found, "h1", "left_semi").select("h1", "h2", "place")
 
