@@ -20,7 +20,6 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
-from io import BytesIO
 
 import pandas as pd
 from pyarrow import fs
