@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import functions as F
 
 from plumbline.operators import documents, retention
 from plumbline.plans.event_queries import base_sql

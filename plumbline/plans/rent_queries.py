@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from plumbline.operators import rent_roll, stacking
 from plumbline.plans.registry import SQL_DAY, register
