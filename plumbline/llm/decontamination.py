@@ -8,14 +8,15 @@ and per block. A passage is given up when its terms' largest weights do not reac
 block maxima reach it are scored. Both are upper bounds, so all items above the threshold are retrieved: this is
 block-max WAND taken block by block, for all passages of a batch at once.
 
-Retrieved pairs are verified: of the item's question and of its answer (its last sentence), at least
-`OVERLAP` of the runs of five words must stand in the passage.
+Retrieved pairs are verified: of the words of the item's question and of its answer (its last sentence), at least `OVERLAP`
+must be aligned, that is, be a common subsequence with a span of the passage that is not much longer. A short part may miss
+one word where the item as a whole is aligned, so that one changed word never hides an item of five words or more.
 
 The index is shipped in pieces of bounded size; a larger benchmark means more pieces, each of which meets all texts.
 Term statistics cover all items, so the pieces do not change any score.
 
 Defined cases: null and empty texts have no passages; items without words are never found; an item of one sentence
-has no answer and is judged by its question; items or answers of fewer than five words count as one run; repeated rows
+has no answer and is judged by its question; items of fewer than five words are found only whole; repeated rows
 repeat in the result, repeated item_ids are reported once with the best match; an empty table on either side gives an
 empty result; other columns are ignored.
 """
@@ -39,7 +40,6 @@ from plumbline.session import settle
 
 WORD = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
-RUN = 5
 OVERLAP = 0.8
 # Share of an item's score against itself from which on it is retrieved.
 RETRIEVE_AT = 0.5
@@ -67,17 +67,88 @@ def question_and_answer(text: str | None) -> tuple[list[str], list[str]]:
     return [w for s in sentences[:-1] for w in s], sentences[-1]
 
 
-def runs_of(words: list[str], length: int) -> set[tuple[str, ...]]:
-    return {tuple(words[i:i + length]) for i in range(len(words) - length + 1)}
+def needed(n: int) -> int:
+    """Least words of n that make up a share of `OVERLAP`."""
+    return math.ceil(OVERLAP * n - 1e-9)
+
+
+def best_span(wanted: list[str], passage: list[str]) -> tuple[int, int]:
+    """(aligned words, start) of the span of `passage` whose longest common subsequence with `wanted` is longest.
+
+    A span has at most len(wanted) / `OVERLAP` words. Only spans that reach `OVERLAP` are looked for; (0, 0) if there is none.
+    """
+    n, least = len(wanted), needed(len(wanted))
+    have = Counter(passage)
+    if sum(min(k, have[w]) for w, k in Counter(wanted).items()) < least:
+        return 0, 0
+    where: dict[str, int] = {}
+    for i, word in enumerate(wanted):
+        where[word] = where.get(word, 0) | 1 << i
+    full, long = (1 << n) - 1, math.floor(n / OVERLAP + 1e-9)
+    # A span that begins with an aligned word leaves at most n - least words before it.
+    openers = set(wanted[:n - least + 1])
+    best = (0, 0)
+    for start, word in enumerate(passage):
+        if word not in openers:
+            continue
+        # A zero bit at i: the subsequence grows with word i.
+        row = full
+        for other in passage[start:start + long]:
+            hit = row & where.get(other, 0)
+            row = ((row + hit) | (row - hit)) & full
+        aligned = n - row.bit_count()
+        if aligned >= least and aligned > best[0]:
+            best = (aligned, start)
+            if aligned == n:
+                break
+    return best
 
 
 def overlap(wanted: list[str], passage: list[str]) -> float:
-    """Share of the runs of `wanted` that stand in `passage`; 1 if there are none."""
-    if not wanted:
-        return 1.0
-    length = min(RUN, len(wanted))
-    runs = runs_of(wanted, length)
-    return len(runs & runs_of(passage, length)) / len(runs)
+    """Share of the words of `wanted` aligned with one span of `passage`; 0 under `OVERLAP`, 1 if there are no words."""
+    return best_span(wanted, passage)[0] / len(wanted) if wanted else 1.0
+
+
+def aligned_parts(question: list[str], answer: list[str], passage: list[str]) -> tuple[int, int]:
+    """Aligned words of question and answer in the best span of `passage` for the whole item."""
+    item = question + answer
+    found, start = best_span(item, passage)
+    if not found:
+        return 0, 0
+    span = passage[start:start + math.floor(len(item) / OVERLAP + 1e-9)]
+    rows = [[0] * (len(span) + 1)]
+    for word in item:
+        above, row = rows[-1], [0]
+        for j, other in enumerate(span):
+            row.append(above[j] + 1 if word == other else max(above[j + 1], row[j]))
+        rows.append(row)
+    i, j, parts = len(item), len(span), [0, 0]
+    while i and j:
+        if item[i - 1] == span[j - 1]:
+            i, j = i - 1, j - 1
+            parts[i >= len(question)] += 1
+        elif rows[i - 1][j] >= rows[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return parts[0], parts[1]
+
+
+def judge(question: list[str], answer: list[str], passage: list[str]) -> tuple[float, float] | None:
+    """Shares of question and answer in the passage, or None if they are too small.
+
+    Both reach `OVERLAP` anywhere in the passage; or the item as a whole reaches it in one span, and there each part
+    reaches it or, since a changed word is a large share of a short part, misses one word only.
+    """
+    asked, told = overlap(question, passage), overlap(answer, passage)
+    if asked >= OVERLAP and told >= OVERLAP:
+        return asked, told
+    if not answer:
+        return None
+    parts = aligned_parts(question, answer, passage)
+    if any(k < min(needed(len(p)), len(p) - 1) for k, p in zip(parts, (question, answer))) or not sum(parts):
+        return None
+    return parts[0] / len(question), parts[1] / len(answer)
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -220,8 +291,9 @@ def _find_in(index: Index, batch: list[tuple[int, list[str]]], known) -> Iterato
             place, words = batch[k]
             begin = (passage - first[k]) * stride
             window = words[begin:begin + 2 * stride]
-            asked, told = overlap(index.questions[item], window), overlap(index.answers[item], window)
-            if asked >= OVERLAP and told >= OVERLAP:
+            shares = judge(index.questions[item], index.answers[item], window)
+            if shares:
+                asked, told = shares
                 row = (place, item, score, asked, told, begin, begin + len(window))
                 if (place, item) not in found or row[2] > found[place, item][2]:
                     found[place, item] = row
