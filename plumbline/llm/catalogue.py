@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from plumbline.llm import decontamination, html_text, line_dedup, personal_data, pieces, quality_rules, secret_scans, simhash, toxicity, warc
+from plumbline.llm import (
+    byte_pairs, collocations, decontamination, html_text, line_dedup, personal_data, pieces, quality_rules, secret_scans, simhash, toxicity,
+    warc, whitening,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -20,6 +23,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scans": secret_scans.op8_secret_scans,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_byte_bpe": byte_pairs.op13_byte_bpe,
     "pipeline": corpus_pipeline.run,
 }
 LLM_ORACLES: dict[str, str] = {
@@ -27,4 +33,5 @@ LLM_ORACLES: dict[str, str] = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op8_secret_scans": secret_scans.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_collocations": collocations.OP12_SQL,
 }
