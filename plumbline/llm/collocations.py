@@ -6,8 +6,8 @@ equal part, whose suffixes share one more word, is sorted on at the next depth.
 phrase that leads there. Parts with too little weight to hold a frequent phrase are abandoned.
 
 Before that, suffixes are routed by their leading words. One pass counts words, one counts pairs of frequent words; a suffix ends
-before the first word or pair that is infrequent, since no longer phrase can be frequent, and one of a single word is not
-sent. Frequency is looked up in bitmaps of a fixed size, built from the counts; a false positive sends a suffix that is
+before the first word or pair that is infrequent, since no longer phrase can be frequent, and one of fewer than three words is
+not sent: sizes of the parts of one and two words are known from the routing. Frequency is looked up in bitmaps of a fixed size, built from the counts; a false positive sends a suffix that is
 abandoned later. Each task sends a distinct suffix once per chunk, with its weight. Suffixes that start with the same two words
 meet in one group. Pairs that hold many suffixes are routed by the whole suffix in place of the pair, so no group grows with
 them; the counts of their groups are parts, added up after the sort.
@@ -175,7 +175,7 @@ def distinct_suffixes(numbers: np.ndarray, frequent: np.ndarray, pair_is_frequen
     """Distinct suffixes as rows of `DEPTH` numbers (0 behind the end) and their counts."""
     joined = np.zeros(len(numbers) + DEPTH, bool)
     joined[places] = pair_is_frequent[which]
-    starts = np.flatnonzero(joined)
+    starts = np.flatnonzero(joined[:-1] & joined[1:])
     padded = np.concatenate([numbers, np.zeros(DEPTH, np.int64)])
     columns, goes_on = [padded[starts]], np.ones(len(starts), bool)
     group = np.unique(columns[0], return_inverse=True)[1]
@@ -188,7 +188,7 @@ def distinct_suffixes(numbers: np.ndarray, frequent: np.ndarray, pair_is_frequen
 
 
 def suffixes(texts: DataFrame, frequent_words: Broadcast, frequent_pairs: Broadcast, hot_pairs: Broadcast) -> DataFrame:
-    """lang, route, hot, suffix and weight: each distinct suffix of a chunk that starts with a frequent pair."""
+    """lang, route, hot, suffix and weight: each distinct suffix of a chunk that starts with two frequent pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, numbers in chunks(batches):
             frequent = _frequent(frequent_words.value, lang, words)
@@ -207,7 +207,7 @@ def suffixes(texts: DataFrame, frequent_words: Broadcast, frequent_pairs: Broadc
 
 
 def three_way(ids: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """(row, depth, weight) of the prefixes of two and more numbers whose rows weigh `least` together; `row` is one of them.
+    """(row, depth, weight) of the prefixes of three and more numbers whose rows weigh `least` together; `row` is one of them.
 
     Pointers to the rows are parted by the number at one depth, and the equal part goes on at the next.
     """
@@ -219,7 +219,7 @@ def three_way(ids: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tupl
             row = int(at[0])
             if weights[row] >= least:
                 length = int(np.count_nonzero(ids[row]))
-                yield from ((row, to, int(weights[row])) for to in range(max(2, depth + 1), length + 1))
+                yield from ((row, to, int(weights[row])) for to in range(max(3, depth + 1), length + 1))
             continue
         if not len(at) or weights[at].sum() < least:
             continue
@@ -230,7 +230,7 @@ def three_way(ids: np.ndarray, weights: np.ndarray, least: int) -> Iterator[tupl
         if pivot:
             total = int(weights[same].sum())
             if total >= least:
-                if depth:
+                if depth >= 2:
                     yield int(same[0]), depth + 1, total
                 if depth + 1 < ids.shape[1]:
                     stack.append((same, depth + 1))
@@ -249,7 +249,7 @@ def sorted_counts(suffix: list[bytes], weights: np.ndarray, least: int) -> tuple
 
 
 def phrase_counts(routed: DataFrame, least: int = LEAST) -> DataFrame:
-    """lang, phrase and f of the frequent phrases of two to `DEPTH` words."""
+    """lang, phrase and f of the frequent phrases of three to `DEPTH` words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -295,7 +295,7 @@ def counted_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", lea
     held = pairs.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
     hot = bitmap_of(pairs.where(F.col("f") >= max(least, min(HOT, held // HOT_SHARE))))
     phrases = phrase_counts(suffixes(texts, word_bits, bitmap_of(pairs), hot), least)
-    return totals, settle(frequent.select("lang", "phrase", "f").unionAll(phrases))
+    return totals, settle(frequent.select("lang", "phrase", "f").unionAll(pairs).unionAll(phrases))
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
@@ -335,7 +335,8 @@ OP12_SQL = rf"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 worded AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 numbered AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded),
 grams AS (SELECT lang, i, len(w) AS most, w, unnest(range(1, {DEPTH + 1})) AS m FROM numbered),

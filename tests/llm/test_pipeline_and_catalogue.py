@@ -17,7 +17,7 @@ SYLLABLES = ["ba", "de", "fi", "go", "lu", "mer", "nos", "tir"]
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(name[2:].split("_")[0]) for name in LLM_QUERIES if name.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in LLM_QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in LLM_QUERIES
     assert set(LLM_ORACLES) <= set(LLM_QUERIES)
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality rules" and 4 <= len(corpus_pipeline.STAGES) <= 5
 
@@ -105,4 +105,5 @@ def test_queries_match_their_sql(spark, tables, name):
     want = con.execute(f"SELECT {', '.join(columns)} FROM ({LLM_ORACLES[name]})").fetchall()
     got = [tuple(r[c] for c in columns) for r in frame.collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
-    assert len(got) == pq.read_metadata(f"{tables}/{'pages' if 'warc' in name else 'documents'}.parquet").num_rows
+    if "collocations" not in name:
+        assert len(got) == pq.read_metadata(f"{tables}/{'pages' if 'warc' in name else 'documents'}.parquet").num_rows
