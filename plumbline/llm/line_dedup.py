@@ -1,8 +1,9 @@
 """Line dedup across a corpus, within one edit, by a deletion-neighbourhood join.
 
-A line (trimmed, of at least `LEAST_CHARS` code points) is dropped where an earlier line equals it or is one edit
-away: one code point inserted, deleted or replaced. Earlier is by (doc_id, line number), and a line counts as
-earlier whether it is kept itself or not. Shorter lines are never compared and always stay.
+A line (trimmed, not empty) is dropped where an earlier line equals it, whatever its length, or is one edit away: one code
+point inserted, deleted or replaced. Earlier is by (doc_id, line number), and a line counts as earlier whether it is kept itself
+or not. One edit makes two short lines differ in meaning, as a digit does, so lines under `NEAR_CHARS` code points are
+compared for equality alone. Blank lines always stay.
 
 Equal lines are one class, reduced to its first place before anything else. Two different lines within one edit
 have a common variant: the line without one code point, or the shorter line itself. A variant is keyed by hash;
@@ -29,7 +30,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from plumbline.llm.names import all_columns, spare
 from plumbline.session import settle
 
-LEAST_CHARS = 16
+# Least code points of the lines that are also compared within one edit.
+NEAR_CHARS = 16
 MOST_EDITS = 1
 # Code points of a line that vary together.
 BLOCK = 64
@@ -40,11 +42,11 @@ BUCKET_BITS = 32_768
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, line_no, line (trimmed), h1, h2 of every line that is long enough. `doc` orders null last."""
+    """doc, line_no, line (trimmed), h1, h2 of every line that is not blank. `doc` orders null last."""
     lines = docs.where(F.col(text) != "").select(
         F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id")).alias("doc"),
         F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.trim("line")).where(F.char_length("line") >= LEAST_CHARS)
+    lines = lines.withColumn("line", F.trim("line")).where("line <> ''")
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("#"), "line"))
 
 
@@ -171,7 +173,8 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """doc, kept (numbers of compared lines that stay), n_near (first places dropped as near)."""
     lines = split_lines(docs, key, text)
     firsts = settle(first_places(lines))
-    near = numbered(near_lines(lines, near_places(lines, firsts)))
+    longer = lines.where(F.char_length("line") >= NEAR_CHARS)
+    near = numbered(near_lines(longer, near_places(longer, firsts)))
     dropped = near_ties(near).select("h1", "h2").distinct()
     # Equal lines other than the first are in no first place, so what is kept is read off the first places alone.
     marked = firsts.join(dropped.withColumn("near", F.lit(1)), ["h1", "h2"], "left")
@@ -191,9 +194,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     joined = rows.join(kept, [none, id_], "left").withColumn(split, F.split(F.col(text), "\n", -1))
     lines = F.col(split)
     numbers = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
-    short = F.filter(F.transform(lines, lambda line, i: F.when(F.char_length(F.trim(line)) < LEAST_CHARS, i)), lambda i: i.isNotNull())
+    blank = F.filter(F.transform(lines, lambda line, i: F.when(F.trim(line) == "", i)), lambda i: i.isNotNull())
     joined = joined.withColumn(
-        stay_at, F.array_intersect(numbers, F.concat(short, F.coalesce(stays, F.array().cast("array<int>")))))
+        stay_at, F.array_intersect(numbers, F.concat(blank, F.coalesce(stays, F.array().cast("array<int>")))))
     stay = F.col(stay_at)
     cleaned = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
     empty = F.coalesce(F.col(text), F.lit("")) == ""
@@ -218,8 +221,9 @@ WITH lines AS (
   SELECT doc_id, unnest(range(len(l))) AS line_no, unnest(l) AS raw FROM
     (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '')),
 trimmed AS (SELECT *, trim(raw, ' ') AS line FROM lines),
-firsts AS (SELECT line, min((doc_id, line_no)) AS place FROM trimmed WHERE length(line) >= {LEAST_CHARS} GROUP BY line),
-halves AS (SELECT line, place, unnest([length(line) // 2, (length(line) - 1) // 2]) AS m FROM firsts),
+firsts AS (SELECT line, min((doc_id, line_no)) AS place FROM trimmed WHERE line <> '' GROUP BY line),
+halves AS (SELECT line, place, unnest([length(line) // 2, (length(line) - 1) // 2]) AS m FROM firsts
+  WHERE length(line) >= {NEAR_CHARS}),
 keyed AS (SELECT DISTINCT line, place, m, s, CASE s WHEN 'b' THEN left(line, m) ELSE right(line, m) END AS part
   FROM halves CROSS JOIN (SELECT unnest(['b', 'e']) AS s)),
 pairs AS (SELECT DISTINCT a.line AS line, b.line AS other FROM keyed a JOIN keyed b USING (m, s, part)
@@ -227,7 +231,7 @@ pairs AS (SELECT DISTINCT a.line AS line, b.line AS other FROM keyed a JOIN keye
 near AS (SELECT DISTINCT line FROM pairs WHERE levenshtein(line, other) <= {MOST_EDITS}),
 judged AS (
   SELECT t.doc_id, t.line_no, t.raw, n.line IS NOT NULL AND (t.doc_id, t.line_no) = f.place AS is_near,
-    length(t.line) < {LEAST_CHARS} OR (n.line IS NULL AND (t.doc_id, t.line_no) = f.place) AS stays
+    t.line = '' OR (n.line IS NULL AND (t.doc_id, t.line_no) = f.place) AS stays
   FROM trimmed t LEFT JOIN firsts f USING (line) LEFT JOIN near n USING (line))
 SELECT d.doc_id, any_value(CASE WHEN d.text IS NULL THEN NULL ELSE '' END)
     || coalesce(string_agg(raw, chr(10) ORDER BY line_no) FILTER (stays), '') AS text,

@@ -25,17 +25,18 @@ def plain(rows):
             if (i is None, i or 0) == doc and text:
                 for n, line in enumerate(text.split("\n")):
                     line = line.strip(" ")
-                    if len(line) >= L.LEAST_CHARS:
+                    if line:
                         first[line] = min(first.get(line, (doc, n)), (doc, n))
     lines = sorted(first, key=first.get)
-    near = {b for k, b in enumerate(lines) if any(edits_within_one(a, b) for a in lines[:k])}
+    longer = [line for line in lines if len(line) >= L.NEAR_CHARS]
+    near = {b for k, b in enumerate(longer) if any(edits_within_one(a, b) for a in longer[:k])}
     out = []
     for i, text in rows:
         if not text:
             out.append((i, text))
             continue
         kept = [raw for n, raw in enumerate(text.split("\n"))
-                if len(raw.strip(" ")) < L.LEAST_CHARS
+                if not raw.strip(" ")
                 or (first[raw.strip(" ")] == ((i is None, i or 0), n) and raw.strip(" ") not in near)]
         out.append((i, "\n".join(kept)))
     return sorted(out, key=str)
@@ -56,7 +57,7 @@ def rows():
             at = draw.randrange(len(line))
             made.append(draw.choice([line, line[:at] + line[at + 1:], line[:at] + "q" + line[at:], line[:at] + "z" + line[at + 1:],
                                      line[:at] + "zz" + line[at + 2:], line + "e", line[1:]]))
-    made += ["template line number %03d of the page" % k for k in range(40)] + ["short", "", "  "] * 3
+    made += ["template line number %03d of the page" % k for k in range(40)] + ["short", "shart", "", "  "] * 3 + ["a" * 15, "a" * 16, "a" * 17]
     draw.shuffle(made)
     return [(k // 2 if k != 7 else None, "\n".join(made[k * 4:k * 4 + 4])) for k in range(0, len(made) // 4 + 1, 1)
             if k % 2 == 0 or k == 7]
@@ -70,9 +71,9 @@ def test_lines_match_brute_force(spark, rows):
 
 def test_defined_cases(spark):
     line = "a line that is long enough"
-    cases = [(1, None), (2, ""), (3, line), (4, f"  {line} \nkept"), (None, line), (5, "tiny\ntiny"), (6, line[:-1])]
+    cases = [(1, None), (2, ""), (3, line), (4, f"  {line} \nkept"), (None, line), (5, "tiny\ntiny"), (6, line[:-1]), (7, "tiny\nTiny\n\n ")]
     got = dict(run(spark, cases))
-    assert got == {1: None, 2: "", 3: line, 4: "kept", None: "", 5: "tiny\ntiny", 6: ""}
+    assert got == {1: None, 2: "", 3: line, 4: "kept", None: "", 5: "tiny", 6: "", 7: "Tiny\n\n "}
 
 
 def test_repeated_rows_are_one_document(spark):
