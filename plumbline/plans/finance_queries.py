@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.money import STRICT, Materiality
 from plumbline.operators import ledger as gl, statement, utilities, variance
 from plumbline.plans.registry import SQL_DAY, register
+from plumbline.sources.given_files import broken_ledgers
 from plumbline.sources import given_ledger as g
 
 RULE = Materiality("or", 15_000.0, 0.05)
@@ -117,6 +118,11 @@ register(
     FACTS + f"""SELECT entity AS file_id, strftime(gl_date, {SQL_DAY}) AS gl_date, account, account || ' goods' AS account_name, entity,
   cents / 100::DOUBLE AS amount, ref_no FROM facts""",
 )
+register(
+    "gl_quoted_breaks", lambda s, f: gl.normalise_ledger(broken_ledgers(s, f)).drop("line_no"),
+    FACTS + f"""SELECT entity AS file_id, strftime(gl_date, {SQL_DAY}) AS gl_date, account,
+  account || CASE WHEN layout < 2 THEN chr(10) ELSE ' ' END || 'goods' AS account_name, entity, cents / 100::DOUBLE AS amount, ref_no FROM facts""",
+)
 register(
     "gl_extract_profile", lambda s, f: gl.profile_extract(gl.normalise_ledger(g.ledger_lines(s, f))),
     FACTS + f"""SELECT entity AS file_id, count(*) AS rows, count(DISTINCT account) AS accounts, strftime(min(gl_date), {SQL_DAY}) AS first_date,

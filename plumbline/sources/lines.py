@@ -1,25 +1,99 @@
-"""Delimited text files as numbered lines, for rolls and ledger exports of unknown layout."""
+"""Delimited text files as numbered lines and records, for rolls and ledger exports of unknown layout."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from plumbline.functions.delimited import leaves_open
+from plumbline.operators.joins import lookup_join
+from plumbline.session import settle
 
-def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """`file_id`, `line_no`, `line`; line numbers rise within a file but have gaps.
 
-    A file may be split over many tasks. Its number is made of where its split
-    starts and of the row's place in the task: a task never holds more rows than
-    a split has bytes, so a later split always numbers higher.
-    """
+def _split_lines(spark: SparkSession, paths: tuple[str, ...]) -> DataFrame:
+    """file_id, split, line_no and line; `split` is where the part of the file starts that one task reads."""
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return spark.read.text(list(paths)).select(
         F.col("_metadata.file_path").alias("file_id"),
+        F.col("_metadata.file_block_start").alias("split"),
         (F.col("_metadata.file_block_start") * 2 + place).alias("line_no"),
         F.col("value").alias("line"),
     )
 
 
+def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """`file_id`, `line_no`, `line`; line numbers rise within a file but have gaps.
+
+    A file may be split over many tasks. Its number is made of where its split
+    starts and of the row's place in the task: a task never holds more rows than
+    a split has bytes, so a later split always numbers higher.
+    """
+    return _split_lines(spark, paths).drop("split")
+
+
+def read_records(spark: SparkSession, *paths: str) -> DataFrame:
+    """`read_lines`, with the lines of a quoted cell that goes over several lines joined into one."""
+    return joined_records(_split_lines(spark, paths))
+
+
 def folder_lines(spark: SparkSession, folder: str, pattern: str = "*.csv") -> DataFrame:
-    """The lines of all matching files of a folder."""
-    return read_lines(spark, f"{folder.rstrip('/')}/{pattern}")
+    """The records of all matching files of a folder."""
+    return read_records(spark, f"{folder.rstrip('/')}/{pattern}")
+
+
+def _after(anchor: Column, start: Column, turns: Column) -> Column:
+    """The state after a line: that of the last line which sets it, or the one at the start, turned so many times since."""
+    return F.pmod(F.coalesce(anchor, start) + turns, F.lit(2))
+
+
+def joined_records(lines: DataFrame) -> DataFrame:
+    """file_id, line_no of the first line, and line, for lines (file_id, split, line_no, line) with quoted line breaks.
+
+    Before a line a quoted cell is open or not. What a line does to that is one of four maps: leave it, turn it, open it or close
+    it. Maps combine associatively, so each split is reduced to one map, a scan over the splits of a file tells the
+    state in which each begins, and within a split running sums give the state at every line. Only files in which some line
+    can leave a cell open take part; other files pass as they are. Lines are dealt by split, never by file.
+
+    A quote that is not closed until the end of its file opens nothing: from there on every line is a record. Line ends
+    within a cell become a line feed; tabs separate no quoted cells.
+    """
+    opens, stays = leaves_open(F.col("line"), False), leaves_open(F.col("line"), True)
+    broken = lines.where(F.col("line").contains('"') & opens).select("file_id").distinct().withColumn("_broken", F.lit(True))
+    marked = lookup_join(lines, broken, "file_id", "line_no")
+    calm = marked.where("_broken IS NULL").select("file_id", "line_no", "line")
+
+    in_split = W.partitionBy("file_id", "split").orderBy("line_no")
+    maps = marked.where("_broken").select("file_id", "split", "line_no", "line", opens.alias("opens"), stays.alias("stays"))
+    turns = F.sum(F.when(F.col("opens") & ~F.col("stays"), 1).otherwise(0)).over(in_split)
+    steps = maps.withColumn("turns", turns)
+    # A line that sets the state is remembered less the turns so far.
+    sets = F.when(F.col("opens") == F.col("stays"), F.col("opens").cast("int") - F.col("turns"))
+    steps = settle(steps.withColumn("anchor", F.last(sets, ignorenulls=True).over(in_split)).select(
+        "file_id", "split", "line_no", "line", "turns", "anchor"))
+
+    in_file = W.partitionBy("file_id").orderBy("split")
+    whole = steps.groupBy("file_id", "split").agg(F.max_by(F.struct("turns", "anchor"), "line_no").alias("m"))
+    whole = whole.select("file_id", "split", F.col("m.anchor").alias("anchor"), F.col("m.turns").alias("own"),
+                         F.sum("m.turns").over(in_file).alias("turns"))
+    sets = F.when(F.col("anchor").isNotNull(), F.col("anchor") + F.col("own") - F.col("turns"))
+    ends = whole.withColumn("last", F.last(sets, ignorenulls=True).over(in_file)).withColumn(
+        "end", _after(F.col("last"), F.lit(0), F.col("turns")))
+    starts = settle(ends.select("file_id", "split", F.lag("end", 1, 0).over(in_file).alias("start")))
+
+    states = steps.join(starts, ["file_id", "split"]).withColumn("after", _after(F.col("anchor"), F.col("start"), F.col("turns")))
+    states = states.withColumn("before", F.coalesce(F.lag("after").over(in_split), "start"))
+    begun = F.max(F.when(F.col("before") == 0, F.col("line_no"))).over(in_split)
+    placed = settle(states.select("file_id", "split", "line_no", "line", "before", "after", begun.alias("record")))
+
+    # The record in which a split begins, and the one that its file leaves open.
+    per_split = placed.groupBy("file_id", "split").agg(F.max("record").alias("record"), F.max_by("after", "line_no").alias("after"))
+    earlier = in_file.rowsBetween(W.unboundedPreceding, -1)
+    to_end = in_file.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    carried = per_split.select(
+        "file_id", "split", F.max("record").over(earlier).alias("carried"),
+        F.when(F.last("after").over(to_end) == 1, F.max("record").over(to_end)).alias("unclosed"))
+    told = placed.join(carried, ["file_id", "split"]).withColumn("record", F.coalesce("record", "carried"))
+    single = ((F.col("before") == 0) & (F.col("after") == 0)) | F.coalesce(F.col("record") == F.col("unclosed"), F.lit(False))
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    several = told.where(~single).groupBy("file_id", "record").agg(parts.alias("parts")).select(
+        "file_id", F.col("record").alias("line_no"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"))
+    return calm.unionByName(told.where(single).select("file_id", "line_no", "line")).unionByName(several)
