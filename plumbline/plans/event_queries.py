@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from plumbline.operators import apps, devices, events as ev, exclusions, feeds, overview, visits
 from plumbline.plans import presentation
 from plumbline.plans.dashboard import Request, dashboard
-from plumbline.plans.registry import SQL_DAY, SQL_TIME, register
-from plumbline.sources import given_tables as g
+from plumbline.plans.registry import ORACLES, SQL_DAY, SQL_TIME, register
+from plumbline.sources import device_states, given_tables as g
+from plumbline.sources.days import newest_stored
 from plumbline.session import fresh_folder
 from plumbline.sources.events import append_events, delete_events_by_day, export_csv, export_json, raw_export, read_events, tag_internal
 
@@ -285,6 +286,54 @@ register("export_json_read_back", _read_back_json, BASE + f"""SELECT id, strftim
 register("append_read_back", _read_back_append, base_sql(None) + f"""SELECT id, strftime(created_at, {SQL_TIME}) AS created_at, session_id,
   CASE WHEN session_id = 'unknown' THEN 'true' ELSE json_extract_string(properties, '$.internal') END AS internal FROM raw""")
 
+
+def _stored(spark, folder):
+    """The given events as a stored table, appended in two loads, the second with late rows."""
+    path = fresh_folder(spark, "stored")
+    rows = g.events(spark, folder)
+    append_events(rows.where("id % 3 > 0"), path)
+    return path, rows.where("id % 3 = 0")
+
+
+def _newest_early(spark, folder):
+    path, late = _stored(spark, folder)
+    append_events(late, path)
+    return newest_stored(spark, path, CAP).select("id", "app", "event", "session_id")
+
+
+def _recent_early(spark, folder):
+    path, late = _stored(spark, folder)
+    append_events(late, path)
+    devices_ = g.excluded_devices(spark, folder, repeats=True)
+    visible_ = lambda rows: ev.visible_traffic(rows, devices_)
+    return feeds.recent_events(newest_stored(spark, path, feeds.RECENT_SIZE, ev.since("30d", AS_OF), visible_))
+
+
+def _kept_states(spark, folder):
+    """States made after the first load and brought up to date after the second, which has late rows."""
+    path, late = _stored(spark, folder)
+    state_path = fresh_folder(spark, "states")
+    device_states.update_states(spark, path, state_path)
+    append_events(late.where("id % 2 = 0"), path)
+    append_events(late.where("id % 2 = 1"), path)
+    device_states.update_states(spark, path, state_path)
+    return device_states.marked_states(spark, path, state_path, g.excluded_devices(spark, folder, repeats=True), ev.since("30d", AS_OF))
+
+
+register("event_scan_newest_early_stop", _newest_early, base_sql(None) + f"""
+SELECT id, app, event, session_id FROM raw ORDER BY created_at DESC, id DESC LIMIT {CAP}""")
+register("recent_events_early_stop", _recent_early, BASE + RECENT_EVENTS)
+register("device_table_kept", lambda s, f: devices.table_of(_kept_states(s, f)), BASE + DEVICE_TABLE)
+register(
+    "app_stats_kept", lambda s, f: apps.stats_of(device_states.per_device(_kept_states(s, f).where("NOT is_internal"))),
+    ORACLES["app_stats"])
+register(
+    "app_funnel_kept", lambda s, f: apps.funnel_of(device_states.per_device(_kept_states(s, f).where("NOT is_internal"))),
+    ORACLES["app_funnel"])
+register(
+    "devices_by_platform_kept", lambda s, f: devices.platforms_of(_kept_states(s, f).where("NOT is_internal")),
+    ORACLES["devices_by_platform"])
+
 ACTIONS = f"""WITH dev AS (SELECT {g.select_list(g.DEVICE_COLUMNS)} FROM customer WHERE {g.DEVICE_FILTER}),
 act AS (SELECT {g.select_list(g.ACTION_COLUMNS)} FROM events),
 ok AS (SELECT seq, action, trim(device_id) AS device_id, substr(note, 1, 200) AS note FROM act
