@@ -12,6 +12,7 @@ from plumbline.plans.dashboard import Request, dashboard
 from plumbline.plans.registry import ORACLES, SQL_DAY, SQL_TIME, register
 from plumbline.sources import device_states, given_tables as g
 from plumbline.sources.days import newest_stored
+from plumbline.sources.paged import read_paged_events, write_pages
 from plumbline.session import fresh_folder
 from plumbline.sources.events import append_events, delete_events_by_day, export_csv, export_json, raw_export, read_events, tag_internal
 
@@ -320,6 +321,13 @@ def _kept_states(spark, folder):
     return device_states.marked_states(spark, path, state_path, g.excluded_devices(spark, folder, repeats=True), ev.since("30d", AS_OF))
 
 
+def _paged(spark, folder):
+    path = fresh_folder(spark, "pages")
+    write_pages(g.events(spark, folder), path, range_keys=20_000)
+    return ev.in_range(read_paged_events(spark, path), "30d", AS_OF).select(*_ROW, "properties")
+
+
+register("event_scan_paged", _paged, BASE + "SELECT id, raw_app AS app, event, session_id, properties FROM e")
 register("event_scan_newest_early_stop", _newest_early, base_sql(None) + f"""
 SELECT id, app, event, session_id FROM raw ORDER BY created_at DESC, id DESC LIMIT {CAP}""")
 register("recent_events_early_stop", _recent_early, BASE + RECENT_EVENTS)
