@@ -6,14 +6,14 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import apps, devices, events as ev, exclusions, feeds, overview, visits
+from plumbline.operators import apps, devices, events as ev, exclusions, feeds, overview, sketches, visits
 from plumbline.plans import presentation
 from plumbline.plans.dashboard import Request, dashboard
 from plumbline.plans.registry import ORACLES, SQL_DAY, SQL_TIME, register
 from plumbline.sources import device_states, given_tables as g
 from plumbline.sources.days import newest_stored
 from plumbline.sources.paged import read_paged_events, write_pages
-from plumbline.session import fresh_folder
+from plumbline.session import fresh_folder, settle
 from plumbline.sources.events import append_events, delete_events_by_day, export_csv, export_json, raw_export, read_events, tag_internal
 
 AS_OF = g.AS_OF
@@ -321,12 +321,25 @@ def _kept_states(spark, folder):
     return device_states.marked_states(spark, path, state_path, g.excluded_devices(spark, folder, repeats=True), ev.since("30d", AS_OF))
 
 
+def _approximate(spark, folder):
+    """Devices from the sketches of two loads beside the exact numbers, and whether the error is in its bound."""
+    rows = _scope(spark, folder).visible_rows
+    loads = [settle(sketches.device_sketches(rows.where(part))) for part in ("id % 3 > 0", "id % 3 = 0 OR id % 7 = 0")]
+    about = sketches.approximate_devices(sketches.merged_sketches(*loads))
+    exact = rows.where("device IS NOT NULL").rollup("app").agg(F.countDistinct("device").alias("exact"))
+    near = F.abs(F.col("devices") - F.col("exact")) <= F.ceil(sketches.MOST_ERROR * F.col("exact"))
+    joined = about.withColumnRenamed("app", "a").join(exact, F.col("a").eqNullSafe(F.col("app")))
+    return joined.select("app", "exact", near.alias("in_bound"))
+
+
 def _paged(spark, folder):
     path = fresh_folder(spark, "pages")
     write_pages(g.events(spark, folder), path, range_keys=20_000)
     return ev.in_range(read_paged_events(spark, path), "30d", AS_OF).select(*_ROW, "properties")
 
 
+register("devices_approximate", _approximate, BASE + """SELECT app, count(DISTINCT device) AS exact, true AS in_bound FROM v
+WHERE device IS NOT NULL GROUP BY ROLLUP (app)""")
 register("event_scan_paged", _paged, BASE + "SELECT id, raw_app AS app, event, session_id, properties FROM e")
 register("event_scan_newest_early_stop", _newest_early, base_sql(None) + f"""
 SELECT id, app, event, session_id FROM raw ORDER BY created_at DESC, id DESC LIMIT {CAP}""")
