@@ -22,6 +22,8 @@ HEADER_NAMES = {
     "building": ["building", "buildingname", "bldg"],
     "rent": ["monthlybaserent", "monthlyrent", "baserent", "rent"],
 }
+# Names that probably mean the building (our own); such a column is judged by its cells.
+PROBABLY_BUILDING = "^(bldg|building)(no|nr|number|code|id|key|ref)$"
 # Every header line contains one of the first, every as-of line the last.
 TITLE_HINTS = ("suite", "unit", "space", "ste", "as of")
 AS_OF_DATE = r"(?i)\bas of:?\s+([A-Z][a-z]+ \d{1,2}, \d{4})"
@@ -50,6 +52,13 @@ def split_cells(line: Column, tabbed: Column) -> Column:
     return cells_of(line, F.when(tabbed, "\t").otherwise(","), marks=(",", "\t"))
 
 
+def with_guess(cells: Column, header: Column) -> Column:
+    """`header`, with columns that probably mean the building taken for it where none is called so."""
+    names = F.transform(cells, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9%]", ""))
+    guessed = F.zip_with(header, names, lambda h, n: F.coalesce(h, F.when(n.rlike(PROBABLY_BUILDING), "building")))
+    return F.when(F.array_contains(F.array_compact(header), "building"), header).otherwise(guessed)
+
+
 def canonical_headers(cells: Column) -> Column:
     """Columns meant by header cells, null for any other text."""
     names = F.transform(cells, lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9%]", ""))

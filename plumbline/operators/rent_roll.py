@@ -34,26 +34,28 @@ WARNINGS = {
 
 
 def file_headers(lines: DataFrame) -> DataFrame:
-    """Per file: header line, delimiter, columns, and the as-of date stated above the header."""
+    """Per file: header line, delimiter, columns, whether its building is a guess, and the as-of date stated above the header."""
     line = F.col("line")
     tabbed = rent.is_tabbed(line)
     header = rent.canonical_headers(rent.split_cells(line, tabbed))
+    guess = rent.with_guess(rent.split_cells(line, tabbed), header)
     known = F.size(F.array_distinct(F.filter(header, lambda h: h.isNotNull())))
     as_of = rent.title_as_of(line)
     told = (
         lines.where(mentions(F.lower(line), rent.TITLE_HINTS))
         .select(
             "file_id", "line_no", as_of.alias("as_of"), tabbed.alias("tabbed"),
-            header.alias("header"), known.alias("known"),
+            header.alias("header"), guess.alias("guess"), known.alias("known"),
         )
     )
     is_header = (F.col("known") >= 2) & F.array_contains("header", "suite")
     per_file = told.groupBy("file_id").agg(
-        F.min(F.when(is_header, F.struct("line_no", "tabbed", "header"))).alias("head"),
+        F.min(F.when(is_header, F.struct("line_no", "tabbed", "header", "guess"))).alias("head"),
         F.min(F.when(F.col("as_of").isNotNull(), F.struct("line_no", "as_of"))).alias("title"),
     )
     return per_file.where("head is not null").select(
-        "file_id", F.col("head.line_no").alias("header_line"), "head.tabbed", "head.header",
+        "file_id", F.col("head.line_no").alias("header_line"), "head.tabbed", F.col("head.guess").alias("header"),
+        (~F.col("head.guess").eqNullSafe(F.col("head.header"))).alias("guessed"),
         F.when(F.col("title.line_no") < F.col("head.line_no"), F.col("title.as_of")).alias("as_of"),
     )
 
@@ -91,7 +93,7 @@ def classified_rows(lines: DataFrame, forced: dict[str, int] | None = None) -> D
         "file_id", "line_no", "as_of", F.col("header_line").isNull().alias("unread"),
         F.coalesce(F.array_contains("header", "tenant"), F.lit(False)).alias("has_tenant"),
         # A column that the file itself calls Building is believed.
-        F.lit("building" in (forced or {})).alias("building_guessed"),
+        (F.coalesce("guessed", F.lit(False)) | F.lit("building" in (forced or {}))).alias("building_guessed"),
         (F.trim(F.regexp_replace("line", "[,\t]", " ")) == "").alias("empty"),
         *[c.alias(name) for name, c in cell.items()],
     )
@@ -107,8 +109,11 @@ def classified_rows(lines: DataFrame, forced: dict[str, int] | None = None) -> D
 def _column_evidence(rows: DataFrame) -> DataFrame:
     """Per file: order of slashed dates, and whether every row has its own building."""
     first, second = rent.slashed_parts(F.col("end"))
-    per_building = rows.where("kind = 'suite'").groupBy("file_id", "building").agg(
-        F.count("*").alias("n"), F.max(first).alias("first"), F.max(second).alias("second"),
+    # A suite that is listed twice is one suite of its building.
+    per_suite = rows.where("kind = 'suite'").groupBy("file_id", "building", "suite").agg(
+        F.max(first).alias("first"), F.max(second).alias("second"))
+    per_building = per_suite.groupBy("file_id", "building").agg(
+        F.count("*").alias("n"), F.max("first").alias("first"), F.max("second").alias("second"),
         F.col("building").rlike(rent.ROW_CODE).alias("code"),
     )
     return per_building.groupBy("file_id").agg(

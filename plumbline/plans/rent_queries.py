@@ -14,7 +14,7 @@ TRUTH = f"""WITH facts AS (SELECT * FROM ({rolls.facts_sql()}) WHERE file_id <>
 ending AS (SELECT *, CASE WHEN ends <> 'date' THEN NULL WHEN file_id = '{rolls.AMBIGUOUS}' THEN make_date(2024, days + 1, 1)
   ELSE CAST(DATE '{rolls.FIRST_DAY}' + days AS DATE) END AS lease_end FROM facts),
 suites AS (
-  SELECT file_id, n + 10 AS line_no, CASE WHEN layout = 0 THEN tower ELSE '' END AS building, suite,
+  SELECT file_id, n + 10 AS line_no, CASE WHEN layout = 0 AND file_id <> '{rolls.ROW_CODES}' THEN tower ELSE '' END AS building, suite,
     CASE WHEN file_id = '{rolls.NO_TENANT}' THEN '' WHEN layout = 4 AND NOT vacant THEN tenant || ', The' ELSE tenant END AS tenant,
     CASE WHEN layout <> 4 THEN level WHEN suite LIKE '1200-%' THEN '12'
       WHEN suite NOT LIKE '% %' THEN CAST(CAST(floor(CAST(suite AS INT) / 100) AS INT) AS STRING) END AS floor,
@@ -102,5 +102,7 @@ register("roll_warnings", lambda s, f: rent_roll.roll_warnings(_parsed(s, f)), T
   UNION ALL SELECT DISTINCT file_id, 'no_tenant_column', 1 FROM suites WHERE file_id = '""" + rolls.NO_TENANT + """'
   UNION ALL SELECT file_id, 'all_vacant', 1 FROM suites WHERE file_id <> '""" + rolls.NO_TENANT + """'
     GROUP BY 1 HAVING count(*) FILTER (WHERE status <> 'vacant') = 0
+  UNION ALL SELECT file_id, 'building_unmapped', 1 FROM facts WHERE file_id = '""" + rolls.ROW_CODES + """' GROUP BY 1
+    HAVING count(DISTINCT suite) > 1
   UNION ALL SELECT DISTINCT p_brand, 'no_header', 1 FROM part WHERE p_brand = '""" + rolls.NO_HEADER + """')
 SELECT * FROM w WHERE n > 0""")

@@ -31,6 +31,7 @@ FACTS = [
     """CASE p_size % 10 WHEN 0 THEN 'B1' WHEN 5 THEN 'P2' WHEN 7 THEN 'LL' WHEN 9 THEN 'G'
        ELSE CAST(p_size AS STRING) END AS level""",
     """CASE WHEN p_brand = 'Brand#25' THEN 'House ' || CAST(p_partkey AS STRING)
+       WHEN p_brand = 'Brand#35' THEN 'B-' || CAST(p_partkey AS STRING)
        ELSE 'Tower ' || CAST(p_partkey % 4 AS STRING) END AS tower""",
     """CASE WHEN p_partkey % 41 = 0 THEN -500 WHEN p_partkey % 43 = 0 THEN 0 ELSE CAST(floor(p_retailprice) AS INT) END AS area""",
     """CASE WHEN p_partkey % 9 = 0 OR p_brand = 'Brand#21' THEN 'none' WHEN p_partkey % 17 = 0 THEN 'mtm' WHEN p_partkey % 53 = 0 THEN 'tbd'
@@ -49,6 +50,8 @@ FIRST_DAY = "2024-01-01"
 # Rolls with something special: dates that read either way, no tenant column, a header nobody knows. Beside these, 21 has no
 # tenant in any row and 25 a building of its own for every suite.
 AMBIGUOUS, NO_TENANT, NO_HEADER = "Brand#22", "Brand#16", "Brand#24"
+# A column that probably means the building, but numbers the rows.
+ROW_CODES = "Brand#35"
 
 
 def facts_sql() -> str:
@@ -105,6 +108,7 @@ def roll_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.when(layout.isin(1, 4), "As of June 30, 2026").otherwise("Prepared for the owner"),
         F.when(F.col("file_id") == NO_HEADER, "Nr,Mieter,qm")
         .when(F.col("file_id") == NO_TENANT, HEADERS[1].replace("Tenant", "Party"))
+        .when(F.col("file_id") == ROW_CODES, HEADERS[0].replace("Building", "Bldg No."))
         .otherwise(F.element_at(F.array(*[F.lit(h) for h in HEADERS]), layout + 1)),
     )
     head = facts.select("file_id", "layout").distinct().select("file_id", F.posexplode(titles).alias("line_no", "line"))
