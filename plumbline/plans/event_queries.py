@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.text import html_escaped
 from plumbline.operators import apps, devices, events as ev, exclusions, feeds, overview, sketches, visits
 from plumbline.plans import presentation
 from plumbline.plans.dashboard import Request, dashboard
@@ -222,6 +223,8 @@ FEEDBACK = f"""SELECT id, strftime(created_at, {SQL_TIME}) AS time, app,
   substr(json_extract_string(properties, '$.commit'), 1, 64) AS commit,
   substr(json_extract_string(properties, '$.screen'), 1, 64) AS screen, is_internal AS internal
 FROM a WHERE event = 'feedback' ORDER BY created_at DESC, id DESC LIMIT 200"""
+register("feedback_html", scoped(lambda sc: feeds.feedback_feed(sc.app_rows).select("id", html_escaped(F.col("message")).alias("html"))), BASE + f"""
+SELECT id, replace(replace(replace(replace(message, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html FROM ({FEEDBACK})""")
 register("feedback_feed", scoped(lambda sc: feeds.feedback_feed(sc.app_rows)), BASE + FEEDBACK)
 
 register("all_apps", scoped(lambda sc: ev.all_apps(sc.all_rows), app="ledger"), BASE + "SELECT DISTINCT app FROM e")

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.plans.event_queries import base_sql
-from plumbline.plans.registry import SQL_TIME, register
-from plumbline.sources import given_tables as g
-from plumbline.streaming import events as st
+from plumbline.plans.registry import SQL_DAY, SQL_TIME, register
+from plumbline.session import fresh_folder
+from plumbline.sources import device_states, given_tables as g
+from plumbline.streaming import events as st, ingest as ing
 from plumbline.streaming.runs import drained
 
 
@@ -62,14 +63,18 @@ register(
 )
 
 
-def _texts(spark, folder):
+def _as_texts(rows):
     """Events as JSON texts, the error events cut short or without a time."""
     row = F.struct("id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at"),
                    "app", "event", "session_id", "properties", "path", "user_agent")
     text = F.to_json(row)
     broken = F.when(F.col("id") % 2 == 0, F.substring(text, 1, 40)).otherwise(
         F.to_json(F.struct("id", "event")))
-    return _stream(spark, folder).select(F.when(F.col("event") == "export_failed", broken).otherwise(text).alias("value"))
+    return rows.select(F.when(F.col("event") == "export_failed", broken).otherwise(text).alias("value"))
+
+
+def _texts(spark, folder):
+    return _as_texts(_stream(spark, folder))
 
 
 register(
@@ -84,3 +89,45 @@ register(
   THEN substr('{"id":' || CAST(id AS STRING) || ',"created_at":"' || strftime(created_at, '%Y-%m-%dT%H:%M:%S.%fZ') || '","app"', 1, 40)
   ELSE '{"id":' || CAST(id AS STRING) || ',"event":"export_failed"}' END AS value FROM raw WHERE event = 'export_failed'""",
 )
+
+
+def _ingested(spark, folder):
+    """Paths of events, rejects and counts after all texts were stored; the first batch then ran again, as after a failure."""
+    paths = [fresh_folder(spark, name) for name in ("events", "rejects", "counts")]
+    ing.ingest(_texts(spark, folder), *paths, fresh_folder(spark, "checkpoint")).awaitTermination()
+    again = _given_texts(spark, folder)
+    ing.store_batch(again, 0, *paths)
+    return paths
+
+
+def _given_texts(spark, folder):
+    """The texts of the first batch as a plain frame: the given table is one file, hence one batch."""
+    return _as_texts(g.events(spark, folder))
+
+
+def _late_counts(spark, folder):
+    """Daily counts of the stored days, brought up to date after a second load that is late throughout."""
+    path, _, _ = _ingested(spark, folder)
+    state_path = fresh_folder(spark, "states")
+    device_states.update_states(spark, path, state_path)
+    ing.store_batch(_as_texts(g.events(spark, folder).where("id % 5 = 0")), 1, path, fresh_folder(spark, "rejects"), fresh_folder(spark, "counts"))
+    device_states.update_states(spark, path, state_path)
+    states = device_states.marked_states(spark, path, state_path, g.excluded_devices(spark, folder))
+    return ing.corrected_daily_counts(states.where("NOT is_internal"))
+
+
+register(
+    "stream_ingest_replayed",
+    lambda s, f: ing.read_ingested(s, _ingested(s, f)[0]).select("id", "created_at", "app", "event", "session_id", "properties"),
+    base_sql(None) + f"""SELECT id, strftime(created_at, {SQL_TIME}) AS created_at, app, event, session_id, properties
+FROM raw WHERE event <> 'export_failed'""",
+)
+register(
+    "stream_ingest_counts", lambda s, f: s.read.parquet(_ingested(s, f)[2]).select("events", "rejects"),
+    base_sql(None) + "SELECT count(*) FILTER (WHERE event <> 'export_failed') AS events, count(*) FILTER (WHERE event = 'export_failed') AS rejects FROM raw",
+)
+register(
+    "stream_late_corrected", _late_counts, base_sql(None) + f"""
+SELECT strftime(day, {SQL_DAY}) AS day, app, CAST(sum(CASE WHEN id % 5 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS n
+FROM v WHERE event <> 'export_failed' GROUP BY 1, 2""",
+)
