@@ -13,7 +13,8 @@ is spread like any other. Where two partitions meet, the neighbours are tied thr
 two rows per partition.
 
 Defined cases: a null or empty html gives an empty text; a null url has no host and so no partner; the only page
-of a host has none either, and all its open lines stay; repeated rows are pages of their own and may be partners; an
+of a host has none either, and all its open lines stay; pages of a host with equal lines, repeated rows among them, share
+one partner, which differs from them; a partner with nine tenths of the lines is taken for a copy and deletes nothing; an
 unclosed element ends with its parent; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -48,6 +49,10 @@ INLINE = frozenset((
     "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 ))
 EMPTY = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
+# Compound values that describe the layout around an element, not the element.
+LAYOUT = re.compile(r"(?:has|no|with|without|is|not|show|hide)[-_]")
+# Furniture that may lie around a whole page; an article in it is none.
+AROUND = frozenset(("form",))
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true)|display\s*:\s*none""", re.I)
 URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)([^#]*)", re.S)
@@ -59,6 +64,15 @@ STEP = 256
 PARSED = "page_id string, url string, uid bigint, host string, path string, lines array<string>, open array<boolean>, hashes array<bigint>, places array<int>"
 
 
+def _words(attributes: str) -> tuple[set[str], set[str]]:
+    """Whole class, id and role values, and these with the parts of compound ones; a layout's `has-sidebar` names no sidebar."""
+    whole: set[str] = set()
+    for value in NAMES.findall(attributes):
+        whole.update(v.strip("\"'") for v in value.lower().split())
+    parts = {part for v in whole if not LAYOUT.match(v) for part in re.split(r"[^a-z0-9]+", v)}
+    return whole, parts
+
+
 def element_kind(name: str, attributes: str, inside_main: bool) -> int | None:
     """GONE, STAYS, or None where the element decides nothing."""
     # The classes of a whole page say nothing about its parts.
@@ -66,20 +80,23 @@ def element_kind(name: str, attributes: str, inside_main: bool) -> int | None:
         return None
     if name in DROPPED:
         return GONE
-    words: set[str] = set()
-    if attributes:
-        for value in NAMES.findall(attributes):
-            words.update(re.split(r"[^a-z0-9]+", value.lower()))
-        if words & FURNITURE or HIDDEN.search(attributes):
-            return GONE
-    return STAYS if name in KEPT or words & MAIN else None
+    whole, parts = _words(attributes) if attributes else (set(), set())
+    if attributes and HIDDEN.search(attributes):
+        return GONE
+    if name in KEPT:
+        # An article is furniture only where it says so itself, as a reader comment does.
+        return GONE if whole & FURNITURE or any(v.startswith("comment") for v in whole) else STAYS
+    if parts & FURNITURE:
+        return GONE
+    return STAYS if parts & MAIN else None
 
 
 def page_lines(html: str | None) -> list[tuple[int, str]]:
     """(what becomes of it, text) of every block with text, in page order."""
     html = html or ""
     lines: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # open elements with the state inside them
+    # Open elements with the state inside them, and whether an article inside is gone as well.
+    stack: list[tuple[str, int, bool]] = []
     state, held, at = OPEN, [], 0
 
     def flush() -> None:
@@ -110,7 +127,16 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
             continue
         if name not in INLINE:
             flush()
-        if name in EMPTY or name == "p":
+            # A paragraph ends where another block begins; only furniture among them is kept on the stack.
+            if stack and stack[-1][0] == "p" and name not in EMPTY:
+                stack.pop()
+                state = stack[-1][1] if stack else OPEN
+        if name in EMPTY:
+            continue
+        if name == "p":
+            if not closing and attributes and state != GONE and element_kind(name, attributes, state == STAYS) == GONE:
+                stack.append((name, GONE, True))
+                state = GONE
             continue
         if closing:
             depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == name), None)
@@ -128,8 +154,14 @@ def page_lines(html: str | None) -> list[tuple[int, str]]:
                 continue
             if name in INLINE:
                 flush()
-            # Furniture within an article is furniture; an article within furniture is too.
-            stack.append((name, inside if inside == GONE or kind is None else kind))
+            hard = bool(stack) and stack[-1][2]
+            if inside == GONE and not hard and kind == STAYS and name in KEPT:
+                stack.append((name, STAYS, False))
+            elif inside == GONE:
+                stack.append((name, GONE, hard or (kind == GONE and name not in AROUND)))
+            else:
+                # Furniture within an article is furniture; an article within furniture is too, but for `AROUND`.
+                stack.append((name, inside if kind is None else kind, kind == GONE and (name not in AROUND or inside == STAYS)))
         state = stack[-1][1] if stack else OPEN
     flush()
     return lines
@@ -268,6 +300,9 @@ def not_shared(hashes: pd.Series, places: pd.Series, other: pd.Series) -> pd.Ser
     out = []
     for own, at, theirs in zip(hashes, places, other):
         shared = set() if theirs is None else shared_places(list(own), list(theirs))
+        # A partner that shares nearly all lines is a copy with some change; it does not tell furniture from text.
+        if len(shared) * 10 >= len(own) * 9:
+            shared = set()
         out.append([int(k) not in shared for k in at])
     return pd.Series(out, dtype=object)
 
@@ -278,7 +313,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     undecided = F.exists("open", lambda o: o)
     settled = parsed.where(~undecided).select("page_id", "url", F.array_join("lines", " ").alias("text"))
     waiting = parsed.where(undecided)
-    paired = partners(parsed).join(waiting.select("uid"), "uid", "left_semi")
+    # Equal pages of a host are one in the pairing, so that a partner always differs.
+    sequence = F.xxhash64("hashes").alias("sequence")
+    known = parsed.where("host IS NOT NULL")
+    distinct = settle(known.groupBy("host", sequence).agg(F.min(F.struct("path", "uid", "page_id")).alias("first")).select(
+        "host", "sequence", "first.path", "first.page_id", "first.uid"))
+    of_page = waiting.select("uid", "host", sequence).join(distinct.select("host", "sequence", F.col("uid").alias("like")), ["host", "sequence"])
+    paired = of_page.select("uid", "like").join(partners(distinct).withColumnRenamed("uid", "like"), "like").select("uid", "partner")
     theirs = paired.join(parsed.select(F.col("uid").alias("partner"), F.col("hashes").alias("other")), "partner").select("uid", "other")
     judged = waiting.join(theirs, "uid", "left").withColumn("own", not_shared("hashes", "places", "other"))
     stay = F.filter(F.arrays_zip("lines", "open", "own"), lambda z: ~z["open"] | z["own"])

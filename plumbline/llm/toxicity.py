@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
-1. A lexicon is mined from the labelled training rows: words and word beginnings that stand out in toxic texts.
+1. A lexicon is mined from the labelled training rows: all words and word beginnings that stand out in toxic texts, hashed to a
+   fixed number of places.
 2. Its terms are dealt to many voters; pattern voters (shouting, stress, symbols) join them. A voter fires or not.
 3. A generative label model estimates, from how voters fire together over all training texts, labelled or not, how
    often each fires on toxic and on other texts (its accuracy), and which pairs are correlated beyond that; correlated
    voters count less. Only a table of voter pairs is needed, so one pass over the texts does it.
-4. The posterior of each row of a bounded sample of labelled rows, with the row's own label as one more voter,
-   trains a logistic regression over the terms and patterns, which scores every text.
+4. The posterior of each row of a bounded sample of labelled rows, with the row's own label as one more voter, which
+   the voters may weaken, trains a logistic regression over the terms and patterns, which scores every text.
 
 Rows whose crc32(doc_id) mod 3 is 1 are held out: neither their labels nor their texts take part in 1 to 4. Labels,
 language, source and doc_id are inputs of no score.
@@ -25,18 +26,24 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from plumbline.llm.batches import small_batches
 
 # Bound of the rows that train the classifier, drawn by a hash of doc_id from the labelled training rows.
 SAMPLE_ROWS = 10_000
-# Bounds of the lexicon: most terms, fewest toxic texts that show a term, least share of toxic among texts with it.
-LEXICON_TERMS, LEAST_TOXIC, LEAST_SHARE = 2_000, 4, 0.6
+# What a term of the lexicon must show: fewest toxic texts that have it, least share of toxic among texts with it.
+LEAST_TOXIC, LEAST_SHARE = 4, 0.6
+# Terms are hashed to so many places; every term that shows enough takes part, whatever their number.
+PLACES = 1 << 18
+# Places of terms that a task remembers.
+MEMO = 1 << 19
 LEXICON_VOTERS = 24
 STEM = 5
-# How much a label itself is trusted beside the voters.
-LABEL_ACCURACY = 0.97
+# How much a label itself is trusted beside the voters, and the most log odds that the voters together may give: they weaken a
+# label, but do not overturn it unless this is set above log(0.97 / 0.03).
+LABEL_ACCURACY, MOST_ODDS = 0.97, 3.0
 PREDICT_AT = 0.7
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -66,8 +73,21 @@ def patterns_of(text: str) -> list[bool]:
     ]
 
 
-def mine_lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON_TERMS) -> tuple[list[str], float]:
-    """Terms by strength, strongest first, and the share of toxic rows; from all labelled training rows."""
+class _Places(dict):
+    """Place of a term by its hash; forgotten and made again when too many are held."""
+
+    def __missing__(self, term: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        self[term] = place = xxhash.xxh64_intdigest(term, 42) % PLACES
+        return place
+
+
+def mine_lexicon(docs: DataFrame, labels: DataFrame) -> tuple[list[int], float]:
+    """Places of terms by strength, strongest first, and the share of toxic rows; from all labelled training rows.
+
+    Every term that shows enough is in; only their places, `PLACES` at most, reach the driver.
+    """
     # A shuffle at every size: the labels grow with the documents.
     rows = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text").join(labels.hint("merge"), "doc_id")
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
@@ -76,26 +96,29 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame, most: int = LEXICON_TERMS)
         "toxic", F.explode(F.array_distinct(F.concat("words", stems))).alias("term"))
     counted = terms.groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("n_toxic"))
     strength = F.col("n_toxic") * F.log(F.col("n_toxic") / F.col("n") + 1)
-    best = (counted.where((F.col("n_toxic") >= LEAST_TOXIC) & (F.col("n_toxic") >= LEAST_SHARE * F.col("n")))
-            .orderBy(F.desc(strength), "term").limit(most).select("term").collect())
+    shown = counted.where((F.col("n_toxic") >= LEAST_TOXIC) & (F.col("n_toxic") >= LEAST_SHARE * F.col("n")))
+    best = shown.groupBy(F.pmod(F.xxhash64("term"), F.lit(PLACES)).alias("place")).agg(F.max(strength).alias("strength")).collect()
     base = labels.where(~held_out(F.col("doc_id"))).agg(F.avg("toxic")).first()[0]
-    return [row["term"] for row in best], min(max(base or 0.0, 0.001), 0.999)
+    return [r["place"] for r in sorted(best, key=lambda r: (-r["strength"], r["place"]))], min(max(base or 0.0, 0.001), 0.999)
 
 
 @dataclass
 class Voters:
-    """Terms dealt to voters in turn, so that strong terms are spread; pattern voters follow."""
+    """Places of terms dealt to voters in turn, so that strong terms are spread; pattern voters follow."""
 
-    lexicon: list[str]
-    places: dict[str, int] = field(init=False)
+    lexicon: list[int]
+    features: dict[int, int] = field(init=False)
+    place_of: _Places = field(init=False)
 
     def __post_init__(self):
-        self.places = {term: i for i, term in enumerate(self.lexicon)}
+        self.features = {place: i for i, place in enumerate(self.lexicon)}
+        self.place_of = _Places()
 
     def fired(self, text: str | None) -> tuple[list[int], np.ndarray]:
-        """Features (lexicon places, then patterns) and votes of one text."""
+        """Features (of the lexicon, then patterns) and votes of one text."""
         text = text or ""
-        features = sorted(self.places[t] for t in terms_of(text) & self.places.keys())
+        found = set(map(self.place_of.__getitem__, terms_of(text)))
+        features = sorted(self.features[place] for place in found & self.features.keys())
         votes = np.zeros(LEXICON_VOTERS + len(PATTERNS), dtype=bool)
         votes[[f % LEXICON_VOTERS for f in features]] = True
         patterns = patterns_of(text)
@@ -218,8 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         reduce, "toxic int, features array<int>, votes array<boolean>").collect()
     votes = np.array([r["votes"] for r in rows], dtype=bool).reshape(len(rows), LEXICON_VOTERS + len(PATTERNS))
     own = np.where([r["toxic"] == 1 for r in rows], 1.0, -1.0) * np.log(LABEL_ACCURACY / (1 - LABEL_ACCURACY))
-    # A label outweighs what the absence of many voters adds up to.
-    posterior = 1 / (1 + np.exp(-np.clip(np.clip(model.log_odds(votes), -3, 3) + own, -30, 30)))
+    posterior = 1 / (1 + np.exp(-(np.clip(model.log_odds(votes), -MOST_ODDS, MOST_ODDS) + own)))
     weights = fit_linear([r["features"] for r in rows], posterior, len(lexicon) + len(PATTERNS))
     return ToxicityModel(voters, model, weights)
 

@@ -117,6 +117,34 @@ def test_lines_of_a_page():
     assert H.page_lines("<p title='a>b") and H.page_lines("a < b")[0][1] == "a < b"
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article class='post has-sidebar'><p>Text</p></article>", ["Text"]),
+    ("<main class='content no-comments'><p>Text</p></main>", ["Text"]),
+    ("<div class='layout with-sidebar'><article>Text</article><div class='sidebar'>Side</div></div>", ["Text"]),
+    ("<form action=x><input><div>Search</div><article>Text</article><nav>Menu<article>Teaser</article></nav></form>", ["Text"]),
+    ("<article class='share-price'>Text</article>", ["Text"]),
+    ("<article>Text<p class='ad'>Buy<p>More</p><p class=notice>Note</p><div>End</div></article>", ["Text", "More", "End"]),
+    ("<article>Text<section><article class='comment'>First!</article></section><form>Mail<article>x</article></form></article>", ["Text"]),
+    ("<aside><article>Teaser</article></aside><div class='site-header'>Top</div><article class='comment-body'>Me too</article>", []),
+])
+def test_articles_win_over_what_lies_around_them(page, want):
+    assert [t for k, t in H.page_lines(page) if k != H.GONE] == want
+
+
+def test_copies_of_open_pages_keep_their_text(spark):
+    """Differencing decides here: no page has an article."""
+    def page(k):
+        return f"<div>Welcome</div><p>Own text {k}</p><p>second {k}</p><div>Terms</div>"
+
+    rows = [(k, f"http://h.x/a/{k // 2}?copy={k % 2}", page(k // 2), "clash") for k in range(12)] + [(50, "http://h.x/a/3", page(3), "clash")]
+    rows += [(k, f"http://two.x/{k}", "<p>the same everywhere</p>", "clash") for k in (60, 61, 61)]
+    got = H.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k = r["page_id"]
+        assert r["text"] == ("the same everywhere" if k >= 60 else f"Own text {3 if k == 50 else k // 2} second {3 if k == 50 else k // 2}")
+
+
 @pytest.mark.parametrize("partitions", ["1", "7"])
 def test_shared_open_lines_go(spark, partitions):
     rows = [(i, f"http://h{i % 2}.x/a/{i // 2:02d}", f"<div>Welcome</div><nav>m {i}</nav><p>Own text {i}</p><div>Terms</div>") for i in range(20)]
