@@ -31,8 +31,12 @@ def leaves_open(line: Column, is_open: bool, marks: str = ",;") -> Column:
 
 def _unquoted(cell: Column) -> Column:
     """What a cell that begins with a quote stands for; what follows a closing quote belongs to it as it is."""
+    inner = cell.substr(F.lit(2), F.length(cell) - 2)
+    # Nearly all end with their closing quote.
+    usual = cell.endswith('"') & ~F.replace(inner, F.lit('""'), F.lit("")).contains('"')
     inside = F.replace(F.regexp_extract(cell, INSIDE, 1), F.lit('""'), F.lit('"'))
-    return F.concat(inside, F.regexp_extract(cell, f"(?s)^{QUOTED}(.*)$", 1))
+    other = F.concat(inside, F.regexp_extract(cell, f"(?s)^{QUOTED}(.*)$", 1))
+    return F.when(usual, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(other)
 
 
 def _split(line: Column, mark: str) -> Column:
