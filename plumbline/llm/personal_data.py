@@ -1,26 +1,32 @@
 """Personal data, and terms that give it away.
 
 Base spans (addresses, network addresses, card and phone numbers) are found by pattern. Each distinct base value is a
-protected entity. The corpus then tells how strongly a term beside it reveals it: with document frequencies n,
-PMI(e, t) = log2(n(e,t) N / (n(e) n(t))) is the information t gives about e, and IC(e) = log2(N / n(e)) all there is.
-A term that stands beside an entity in enough distinct contexts, with PMI / IC at or above a threshold, is removed,
-or, above the lower threshold, generalised. Such terms are replaced only beside the entity they reveal.
+protected entity. The corpus then tells how strongly a term reveals it: over the N distinct texts, with n(e) texts that
+hold e, n(t) that hold t and n(e,t) both, PMI(e, t) = log2(n(e,t) N / (n(e) n(t))) is the information t gives about e, and
+IC(e) = log2(N / n(e)) all there is. A term with PMI / IC at or above a threshold is removed, or, above the lower one,
+generalised, wherever it stands in any text.
 
-Everything is Column expressions and joins. Terms are taken from fixed windows around base spans, so the term table
-is linear in the spans; document frequencies are one aggregation of the words of all documents, combined before the
-shuffle.
+Chance is ruled out by a test: were t spread over the texts at random, n(e,t) or more common texts would have a
+probability of at most 2^-bits, bits = n(t) D(n(e,t) / n(t) || n(e) / N), D being the relative entropy in bits. With V
+terms tried for an entity, `RISK` / V is the most allowed, so an entity has a false term with a probability of `RISK` at most.
+One common text proves nothing, so entities and terms need two; copies of a text count once.
+
+Everything is Column expressions and joins. Pairs are made of classes, not of entities and terms: entities that stand in
+the same texts are one class, and so are terms that stand in the same texts with entities and are equally frequent. A text
+that lists a thousand entities, or copies with slight changes, are thus few pairs. Only terms rare enough to pass take part.
 
 Defined cases: null and empty texts have no spans; repeated rows are documents of their own and repeat in the
-result; rows with a null doc_id share the terms found for them; a corpus of one document reveals nothing (IC is 0);
-an empty table gives an empty result; other columns are ignored.
+result, but are one text for the statistics; null doc_ids are kept; a corpus of one document reveals nothing (IC is 0);
+words inside something like a base value are no terms; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.llm.line_dedup import bitmap_of, in_bitmap
 from plumbline.llm.names import all_columns, spare
-from plumbline.llm.spans import count_kind, guarded_spans, kind_spans, match_spans, spelled
+from plumbline.llm.spans import count_kind, guarded_spans, kind_spans, let, match_spans, running, spelled
 from plumbline.session import settle
 
 # The base patterns. Possessive repeats give the same matches without recursion or backtracking; a start
@@ -35,11 +41,14 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 REMOVED, GENERALISED = "removed", "generalised"
 
 TERM = r"[\p{L}\p{N}]{3,}"
-# Code points looked at on each side of a base span.
-REACH = 60
-# Share of the entity's information that a term must give, and distinct contexts that must show it.
+# What looks like a base value is passed over; group 1 is a term.
+TOKEN = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+         rf"|{IP}|{PHONE}|[0-9](?:[\x20-]?[0-9]){{12,}}+|({TERM})")
+# Share of the entity's information that a term must give.
 REMOVE_AT, GENERALISE_AT = 0.95, 0.8
-CONTEXTS = 3
+# Probability, for each entity, that any of its terms is there by chance; least number of common texts.
+RISK = 0.01
+LEAST_TEXTS = 2
 
 SPANS = "array<struct<start:int,number:int,end:int,kind:string,value:string>>"
 
@@ -73,113 +82,118 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found).cast(SPANS)
 
 
+def digest_of(text: str) -> Column:
+    return F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
+
+
 def find_base(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Row number, doc_id and base spans with their surroundings, stored once; only small strings leave the scan."""
-    spans = base_spans(F.col(text))
-    return docs.select(
-        F.col(key).alias("doc_id"), F.transform(spans, lambda s: F.struct(
-            s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end"), s["kind"].alias("kind"),
-            s["value"].alias("value"),
-            F.greatest(s["start"] - REACH, F.lit(0)).alias("from"),
-            F.substring(F.col(text), F.greatest(s["start"] - REACH, F.lit(0)) + 1,
-                        F.least(s["start"], F.lit(REACH))).alias("before"),
-            F.substring(F.col(text), s["end"] + 1, F.lit(REACH)).alias("after"),
-        )).alias("base"))
-
-
-def _window_terms(at: Column, side: str) -> Column:
-    """Terms of one side with their positions in the text; a term cut by the window's edge is no term."""
-    before = side == "before"
-    shift = at["from"] if before else at["end"]
-    terms = match_spans(at[side], TERM)
-    whole = F.filter(terms, lambda t: (at["from"] == 0) | (t["start"] > 0)) if before else F.filter(
-        terms, lambda t: (t["end"] < REACH))
-    return F.transform(whole, lambda t: F.struct(
-        (t["start"] + shift).alias("start"), (t["end"] + shift).alias("end"), F.lower(t["value"]).alias("term")))
-
-
-def term_places(found: DataFrame) -> DataFrame:
-    """doc_id, entity, context, term, start, end for every term beside a base span and outside all of them."""
-    each = found.where(F.size("base") > 0).select("doc_id", "base", F.explode("base").alias("at"))
-    placed = each.select(
-        "doc_id", "base", F.xxhash64("at.kind", "at.value").alias("entity"),
-        F.xxhash64("at.before", "at.after").alias("context"),
-        F.explode(F.concat(_window_terms(F.col("at"), "before"), _window_terms(F.col("at"), "after"))).alias("t"))
-    apart = ~F.exists("base", lambda s: (s["start"] < F.col("t.end")) & (F.col("t.start") < s["end"]))
-    return placed.where(apart).select("doc_id", "entity", "context", "t.term", "t.start", "t.end")
+    """doc_id, base spans and digest of the text of every row."""
+    return docs.select(F.col(key).alias("doc_id"), base_spans(F.col(text)).alias("base"), digest_of(text).alias("digest"))
+
+
+def terms_of(text: str) -> Column:
+    """Distinct terms of a text, lower-cased."""
+    words = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(1))
+    return F.filter(F.array_distinct(F.transform(words, F.lower)), lambda w: w != "")
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term and the number of rows of `docs` that have it."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-
-
-def revealing_terms(docs: DataFrame, found: DataFrame, places: DataFrame, text: str = "text") -> DataFrame:
-    """entity, term and the share of the entity's information that the term gives."""
-    total = found.count()
-    entities = (
-        found.select("doc_id", F.explode(F.array_distinct(F.transform(
-            "base", lambda s: F.xxhash64(s["kind"], s["value"])))).alias("entity"))
-        .groupBy("entity").agg(F.count("*").alias("n_e")))
-    # One row per document first, then per context, so that copies of a passage count as one context.
-    shared = (
-        places.groupBy("entity", "term", "doc_id").agg(F.min("context").alias("context"))
-        .groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("contexts"))
-        .where(F.col("contexts") >= CONTEXTS))
-    all_of_it = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    given = F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
+    """term and the number of distinct texts that have it; copies are left out before the terms are taken."""
+    texts = docs.where(F.col(text).isNotNull()).groupBy(digest_of(text).alias("digest")).agg(F.first(text).alias("text"))
+    return texts.select(F.explode(terms_of("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+
+
+def texts_of(docs: DataFrame, digests: DataFrame, text: str = "text") -> DataFrame:
+    """digest and text, once each, of the texts whose digests are asked for; a bitmap keeps the others out of the shuffle."""
+    wanted = digests.select("digest").distinct()
+    likely = in_bitmap(docs.select(digest_of(text).alias("digest"), F.col(text).alias("text")), F.xxhash64("digest"),
+                       bitmap_of(wanted.select(F.xxhash64("digest").alias("k"))))
+    return likely.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest", "left_semi")
+
+
+def _same_texts() -> list[Column]:
+    """Names the set of texts of a group by 128 bits; each text occurs once in it."""
+    return [F.bit_xor(F.xxhash64("digest")).alias("x1"), F.bit_xor(F.xxhash64(F.lit("#"), F.col("digest"))).alias("x2")]
+
+
+def evidence(total: int) -> tuple[Column, Column]:
+    """(share of the information of e that t gives, bits against chance) from n_e, n_t and n_et."""
+    n, e, t, both = F.lit(float(max(total, 1))), F.col("n_e"), F.col("n_t"), F.col("n_et")
+    share, usual = both / t, e / n
+    rest = F.when(both < t, (1 - share) * F.log2((1 - share) / (1 - usual))).otherwise(0.0)
+    return F.log2(both * n / (e * t)) / F.log2(n / e), t * (share * F.log2(share / usual) + rest)
+
+
+def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """term and the largest share of an entity's information that it gives, for the terms that reveal one."""
+    total = found.select("digest").distinct().count()
+    each = found.where(F.size("base") > 0).select("digest", F.explode(F.transform(
+        "base", lambda s: F.xxhash64(s["kind"], s["value"]))).alias("entity")).distinct()
+    entities = each.groupBy("entity").agg(F.count("*").alias("n_e"), *_same_texts()).where(F.col("n_e") >= LEAST_TEXTS)
+    holders = settle(each.join(entities, "entity").select("digest", F.struct("n_e", "x1", "x2").alias("e_class")).distinct())
+    frequency = settle(document_frequency(docs, text))
+    tried = max(frequency.count(), 1)
+    beside = settle(texts_of(docs, holders, text).select("digest", F.explode(terms_of("text")).alias("term")))
+    terms = settle(
+        beside.groupBy("term").agg(F.count("*").alias("beside"), *_same_texts()).where(F.col("beside") >= LEAST_TEXTS)
+        .join(frequency, "term").select("term", F.struct("n_t", "beside", "x1", "x2").alias("t_class")))
+    standing = beside.join(terms, "term").select("digest", "t_class").distinct()
+    n_e, n_t = F.col("e_class.n_e"), F.col("t_class.n_t")
+    # A more frequent term could not reach the threshold even if it stood in every text that holds the entity.
+    rare = n_t <= n_e * F.pow(F.lit(float(max(total, 1))) / n_e, F.lit(1 - GENERALISE_AT)) * (1 + 1e-9)
+    pairs = holders.join(standing, "digest").where(rare).groupBy("e_class", "t_class").agg(F.count("*").alias("n_et"))
+    disclosed, bits = evidence(total)
+    return (
+        pairs.where((F.col("n_et") >= LEAST_TEXTS) & (n_e < total)).select("t_class", n_e.alias("n_e"), n_t.alias("n_t"), "n_et")
+        .select("t_class", disclosed.alias("disclosed"), bits.alias("bits"))
+        .where((F.col("disclosed") >= GENERALISE_AT - 1e-12) & (F.col("bits") >= F.log2(F.lit(tried / RISK))))
+        .groupBy("t_class").agg(F.max("disclosed").alias("disclosed"))
+        .join(terms, "t_class").select("term", "disclosed"))
+
+
+def term_spans(docs: DataFrame, revealing: DataFrame, text: str = "text") -> DataFrame:
+    """digest and the spans of all occurrences of the revealing terms, for the texts that have any."""
+    held = in_bitmap(docs.select(digest_of(text).alias("digest"), F.explode(terms_of(text)).alias("term")), F.xxhash64("term"),
+                     bitmap_of(revealing.select(F.xxhash64("term").alias("k"))))
+    hits = settle(held.distinct().join(revealing, "term"))
+    spans = F.filter(match_spans(F.col("text"), TOKEN, 1), lambda s: s["part"] != "")
+    placed = texts_of(docs, hits, text).select("digest", F.explode(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), F.lower(s["value"]).alias("term")))).alias("at"))
+    removed = F.col("disclosed") >= REMOVE_AT
+    number = len(BASE_KINDS) + F.when(removed, 0).otherwise(1)
     return (
-        shared.join(entities, "entity").join(document_frequency(docs, text), "term")
-        .where(all_of_it > 0).select("entity", "term", (given / all_of_it).alias("disclosed"))
-        .where(F.col("disclosed") >= GENERALISE_AT))
+        placed.select("digest", "at.*").join(hits, ["digest", "term"])
+        .groupBy("digest").agg(F.array_sort(F.collect_list(F.struct(
+            number.alias("number"), F.col("start"), F.col("end"),
+            F.when(removed, REMOVED).otherwise(GENERALISED).alias("kind"), F.col("term").alias("value")))).alias("added")))
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and all spans of every row: base spans by kind and start, then the terms that reveal them."""
     found = settle(find_base(docs, key, text))
-    places = settle(term_places(found))
-    revealing = revealing_terms(docs, found, places, text)
-    kind = F.when(F.col("disclosed") >= REMOVE_AT, REMOVED).otherwise(GENERALISED)
-    number = len(BASE_KINDS) + F.when(F.col("disclosed") >= REMOVE_AT, 0).otherwise(1)
-    # A term may reveal several entities; the strongest decides.
-    added = (
-        places.join(revealing, ["entity", "term"])
-        .groupBy("doc_id", "start", "end", "term").agg(F.max("disclosed").alias("disclosed"))
-        .select("doc_id", F.struct(
-            F.col("start"), number.alias("number"), F.col("end"), kind.alias("kind"), F.col("term").alias("value"))
-            .alias("span"))
-        .groupBy("doc_id").agg(F.collect_list("span").alias("added")))
-    base = F.transform("base", lambda s: F.struct(
+    added = term_spans(docs, settle(revealing_terms(docs, found, text)), text)
+    # Copies may crowd on one digest; the other side has one row for it, so adaptive execution splits them.
+    extra = F.transform(F.coalesce("added", F.array()), lambda s: F.struct(
         s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end"), s["kind"].alias("kind"),
         s["value"].alias("value")))
-    extra = F.array_sort(F.transform(F.coalesce("added", F.array().cast(SPANS)), lambda s: F.struct(
-        s["number"].alias("number"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"),
-        s["value"].alias("value"))))
-    extra = F.transform(extra, lambda s: F.struct(
-        s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end"), s["kind"].alias("kind"),
-        s["value"].alias("value")))
-    joined = found.alias("f").join(added.alias("a"), F.col("f.doc_id").eqNullSafe(F.col("a.doc_id")), "left")
-    return joined.select("f.doc_id", F.concat(base.cast(SPANS), extra.cast(SPANS)).alias("spans"))
+    return found.join(added, "digest", "left").select(
+        "doc_id", F.concat("base", F.coalesce(extra, F.array()).cast(SPANS)).alias("spans"))
 
 
 def mask(text: Column, spans: Column) -> Column:
     """The text with base values and removed terms replaced by their kind, generalised ones by their shape."""
-    ordered = F.array_sort(spans)
-
-    def put(state: Column, s: Column) -> Column:
+    def put(s: Column, covered: Column) -> Column:
         shape = F.when(s["kind"] == GENERALISED, F.when(s["value"].rlike("^[0-9]+$"), "[number]").otherwise("[word]"))
         new = F.when(s["kind"] == REMOVED, F.lit("")).otherwise(F.coalesce(shape, F.concat(F.lit("["), s["kind"], F.lit("]"))))
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        # A span that begins inside the one before it is covered already, but for what sticks out.
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], F.array(gap, new))).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(ordered, start, put, lambda state: F.concat(
-        F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text))))
+        # A span that begins inside those before it is covered already, but for what sticks out.
+        return F.when(s["start"] < covered, F.lit("")).otherwise(F.concat(F.substring(text, covered + 1, s["start"] - covered), new))
+
+    def cut(ordered: Column, ends: Column) -> Column:
+        pieces = F.transform(ordered, lambda s, i: put(s, F.when(i == 0, 0).otherwise(ends[i - 1])))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.array_sort(spans), lambda ordered: let(
+        running(F.transform(ordered, lambda s: s["end"]), F.greatest), lambda ends: cut(ordered, ends))))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

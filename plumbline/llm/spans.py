@@ -7,6 +7,36 @@ from pyspark.sql import Column, functions as F
 SPAN = "array<struct<start:int,end:int,value:string,part:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """`body` of `value`, which is worked out once however often `body` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine) -> Column:
+    """Every prefix of an array of integers combined by an associative `combine`.
+
+    Blocks of about the square root of the length are run through by themselves and then led on by the blocks
+    before them, so that no array grows beyond that length one value at a time.
+    """
+    def prefixes(xs: Column) -> Column:
+        start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<int>").alias("all"))
+
+        def step(state: Column, x: Column) -> Column:
+            last = F.when(state["last"].isNull(), x).otherwise(combine(state["last"], x)).cast("int")
+            return F.struct(last.alias("last"), F.concat(state["all"], F.array(last)).alias("all"))
+
+        return F.aggregate(xs, start, step, lambda state: state["all"])
+
+    def in_blocks(xs: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(xs))).cast("int")
+        starts = F.sequence(F.lit(1), F.size(xs), width)
+        blocks = F.transform(starts, lambda at: prefixes(F.slice(xs, at, width)))
+        return let(blocks, lambda bs: let(prefixes(F.transform(bs, lambda b: F.element_at(b, -1))), lambda lead: F.flatten(
+            F.transform(bs, lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda x: combine(lead[i - 1], x).cast("int")))))))
+
+    return let(values, lambda xs: F.when(F.size(xs) == 0, F.array().cast("array<int>")).otherwise(in_blocks(xs)))
+
+
 def match_spans(text: Column, pattern: str, part: int = 0) -> Column:
     """Leftmost non-overlapping matches as (start, end, value, part), in code points, end exclusive.
 
@@ -17,16 +47,13 @@ def match_spans(text: Column, pattern: str, part: int = 0) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(part)) if part else values
     pieces = F.arrays_zip(gaps.alias("gap"), values.alias("value"), parts.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("found"))
 
-    def step(state: Column, piece: Column) -> Column:
-        begin = state["at"] + F.length(piece["gap"])
-        end = begin + F.length(piece["value"])
-        span = F.struct(begin.alias("start"), end.alias("end"), piece["value"].alias("value"), piece["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
+    def placed(found: Column) -> Column:
+        ends = running(F.transform(found, lambda p: F.length(p["gap"]) + F.length(p["value"])), lambda a, b: a + b)
+        return let(ends, lambda at: F.transform(found, lambda p, i: F.struct(
+            (at[i] - F.length(p["value"])).alias("start"), at[i].alias("end"), p["value"].alias("value"), p["part"].alias("part"))))
 
-    matched = F.filter(pieces, lambda piece: piece["value"].isNotNull())
-    return F.aggregate(matched, start, step, lambda state: state["found"])
+    return let(F.filter(pieces, lambda piece: piece["value"].isNotNull()), placed)
 
 
 def guarded_spans(text: Column, guard: Column, pattern: str, part: int = 0) -> Column:

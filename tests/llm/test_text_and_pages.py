@@ -1,10 +1,12 @@
 """Personal data, secrets, pages, archives, toxicity and token ids."""
 
 import hashlib
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import html_text as H, personal_data as P, pieces as T, secret_scans as C, toxicity as X, warc as W
 
@@ -45,20 +47,85 @@ def test_base_spans_match_plain_patterns(spark):
         assert got[k] == want, repr((text or "")[:200])
 
 
-def test_revealing_terms_are_found_beside_their_entity(spark):
+def plain_terms(text):
+    """(start, end, term) of every term outside of what looks like a base value."""
+    looks = "|".join(["(?<![A-Za-z0-9._%+-])" + PII[0][1].replace("(\\.", "(?:\\."), r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}", PII[3][1],
+                      r"[0-9](?:[\x20-]?[0-9]){12,}"])
+    return [(m.start(1), m.end(1), m[1].lower()) for m in re.finditer(looks + r"|([^\W_]{3,})", text or "") if m[1]]
+
+
+def plain_added(rows):
+    """(kind, start, end) added to each text, from all pairs of base values and terms of all distinct texts."""
+    texts = sorted({t or "" for _, t in rows})
+    terms = [{t for _, _, t in plain_terms(x)} for x in texts]
+    holders, frequency = {}, {}
+    for k, text in enumerate(texts):
+        for kind, pattern, ok in PII:
+            for m in re.finditer(pattern, text):
+                if ok(m[0]):
+                    holders.setdefault((kind, m[0]), set()).add(k)
+        for t in terms[k]:
+            frequency[t] = frequency.get(t, 0) + 1
+    best = {}
+    for held in holders.values():
+        e, n = len(held), len(texts)
+        for t, f in frequency.items():
+            both = sum(t in terms[k] for k in held)
+            if both < P.LEAST_TEXTS or e == n:
+                continue
+            share, usual = both / f, e / n
+            bits = f * (share * math.log2(share / usual) + ((1 - share) * math.log2((1 - share) / (1 - usual)) if both < f else 0))
+            told = math.log2(both * n / (e * f)) / math.log2(n / e)
+            if told >= P.GENERALISE_AT - 1e-12 and bits >= math.log2(len(frequency) / P.RISK):
+                best[t] = max(best.get(t, 0), told)
+    kinds = {t: P.REMOVED if told >= P.REMOVE_AT else P.GENERALISED for t, told in best.items()}
+    return {x: sorted((kinds[t] == P.GENERALISED, kinds[t], i, j) for i, j, t in plain_terms(x) if t in kinds) for x in texts}
+
+
+def test_added_spans_match_all_pairs(spark):
+    draw = random.Random(7)
+    common = [f"word{c}" for c in "abcdefghijklmnop"]
+    people = [(f"Name{c}", f"Road{c}", f"{c}@mail.org", f"10.0.0.{n}") for n, c in enumerate("qrstuv")]
+    rows = []
+    for k in range(400):
+        words = draw.choices(common, k=12)
+        if draw.random() < 0.2:
+            name, road, mail, ip = draw.choice(people)
+            words += [name, draw.choice([mail, f"{mail} {ip}"])] + [road] * (draw.random() < 0.8)
+        if draw.random() < 0.02:
+            words.append(draw.choice(people)[1])
+        draw.shuffle(words)
+        rows.append((k, " ".join(words) + draw.choice(["", ".", f" only{k}"])))
+    # Exact copies count once, so the words of a copied text reveal nothing.
+    rows += [(1000 + k, "copied passage unlike others copy@mail.org") for k in range(50)]
+    rows += [(7, rows[7][1]), (7, rows[8][1]), (None, rows[9][1]), (None, None), (2000, ""), (2001, "Roadq alone")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], DOCS + ", digest string").withColumn("term", F.lit(1))
+    want = plain_added(rows)
+    assert {kind for spans in want.values() for _, kind, _, _ in spans} == {P.REMOVED, P.GENERALISED} and want["Roadq alone"]
+    assert not want[rows[400][1]]
+    got = sorted((str(r["doc_id"]), str([(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["number"] >= 4]))
+                 for r in P.personal_data(docs).collect())
+    assert got == sorted((str(k), str([x[1:] for x in want[t or ""]])) for k, t in rows)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "x@y.zz 7 " * 30_000
+    found = P.find_base(spark.createDataFrame([(1, text)], DOCS)).select(F.size("base"), F.col("base")[29_999]["end"]).first()
+    assert tuple(found) == (30_000, 29_999 * 9 + 6)
+
+
+def test_revealing_terms_are_marked_wherever_they_stand(spark):
     rows = [(k, f"case {k} of surname Zyxwvu reached at hidden@example.org during visit{k} number") for k in range(6)]
     rows += [(100 + k, f"ordinary text number {k} of a case reached during the visit at other{k}@example.org") for k in range(40)]
     rows += [(200, "Zyxwvu"), (201, None), (202, "")]
     docs = spark.createDataFrame(rows, DOCS)
     spans = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["spans"]] for r in P.personal_data(docs).collect()}
     for k in range(6):
-        added = [x for x in spans[k] if x[0] in (P.REMOVED, P.GENERALISED)]
-        assert {v for _, v in added} >= {"surname", "zyxwvu"}
-        assert "number" not in {v for _, v in added} and "case" not in {v for _, v in added}
-    assert spans[200] == [] == spans[201] == spans[202]
+        assert {v for kind, v in spans[k] if kind != "email"} == {"surname", "zyxwvu"}
+    assert spans[200] == [(P.GENERALISED, "zyxwvu")] and spans[201] == spans[202] == []
     assert all(kind == "email" for k in range(100, 140) for kind, _ in spans[k])
     clean = {r["doc_id"]: r["text"] for r in P.sanitise(docs).collect()}
-    assert "hidden" not in clean[0] and "Zyxwvu" not in clean[0] and "[email]" in clean[0]
+    assert clean[0] == "case 0 of  [word] reached at [email] during visit0 number" and clean[200] == "[word]"
     assert clean[201] is None and clean[202] == "" and clean[100].endswith("[email]")
     assert P.personal_data(docs.limit(0)).count() == 0
 
