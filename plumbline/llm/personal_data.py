@@ -4,7 +4,8 @@ Base spans (addresses, network addresses, card and phone numbers) are found by p
 protected entity. The corpus then tells how strongly a term reveals it: over the N distinct texts, with n(e) texts that
 hold e, n(t) that hold t and n(e,t) both, PMI(e, t) = log2(n(e,t) N / (n(e) n(t))) is the information t gives about e, and
 IC(e) = log2(N / n(e)) all there is. A term with PMI / IC at or above a threshold is removed, or, above the lower one,
-generalised, wherever it stands in any text.
+generalised, wherever it stands in any text. It must also make the entity at least as likely as not, n(e,t) / n(t) >= 1/2;
+otherwise an entity in very many texts would have common words marked in texts that have nothing to do with it.
 
 Chance is ruled out by a test: were t spread over the texts at random, n(e,t) or more common texts would have a
 probability of at most 2^-bits, bits = n(t) D(n(e,t) / n(t) || n(e) / N), D being the relative entropy in bits. With V
@@ -46,6 +47,10 @@ TOKEN = (r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9
          rf"|{IP}|{PHONE}|[0-9](?:[\x20-]?[0-9]){{12,}}+|({TERM})")
 # Share of the entity's information that a term must give.
 REMOVE_AT, GENERALISE_AT = 0.95, 0.8
+# Least share of the texts with a term that hold the entity.
+LEAST_SHARE = 0.5
+# Parts into which the rows of one text are dealt when its added spans are joined.
+DEAL = 8
 # Probability, for each entity, that any of its terms is there by chance; least number of common texts.
 RISK = 0.01
 LEAST_TEXTS = 2
@@ -140,11 +145,11 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> Da
     standing = beside.join(terms, "term").select("digest", "t_class").distinct()
     n_e, n_t = F.col("e_class.n_e"), F.col("t_class.n_t")
     # A more frequent term could not reach the threshold even if it stood in every text that holds the entity.
-    rare = n_t <= n_e * F.pow(F.lit(float(max(total, 1))) / n_e, F.lit(1 - GENERALISE_AT)) * (1 + 1e-9)
+    rare = (n_t <= n_e / LEAST_SHARE) & (n_t <= n_e * F.pow(F.lit(float(max(total, 1))) / n_e, F.lit(1 - GENERALISE_AT)) * (1 + 1e-9))
     pairs = holders.join(standing, "digest").where(rare).groupBy("e_class", "t_class").agg(F.count("*").alias("n_et"))
     disclosed, bits = evidence(total)
     return (
-        pairs.where((F.col("n_et") >= LEAST_TEXTS) & (n_e < total)).select("t_class", n_e.alias("n_e"), n_t.alias("n_t"), "n_et")
+        pairs.where((F.col("n_et") >= LEAST_TEXTS) & (F.col("n_et") >= n_t * LEAST_SHARE) & (n_e < total)).select("t_class", n_e.alias("n_e"), n_t.alias("n_t"), "n_et")
         .select("t_class", disclosed.alias("disclosed"), bits.alias("bits"))
         .where((F.col("disclosed") >= GENERALISE_AT - 1e-12) & (F.col("bits") >= F.log2(F.lit(tried / RISK))))
         .groupBy("t_class").agg(F.max("disclosed").alias("disclosed"))
@@ -153,8 +158,8 @@ def revealing_terms(docs: DataFrame, found: DataFrame, text: str = "text") -> Da
 
 def term_spans(docs: DataFrame, revealing: DataFrame, text: str = "text") -> DataFrame:
     """digest and the spans of all occurrences of the revealing terms, for the texts that have any."""
-    held = in_bitmap(docs.select(digest_of(text).alias("digest"), F.explode(terms_of(text)).alias("term")), F.xxhash64("term"),
-                     bitmap_of(revealing.select(F.xxhash64("term").alias("k"))))
+    known = settle(bitmap_of(revealing.select(F.xxhash64("term").alias("k"))))
+    held = in_bitmap(docs.select(digest_of(text).alias("digest"), F.explode(terms_of(text)).alias("term")), F.xxhash64("term"), known)
     hits = settle(held.distinct().join(revealing, "term"))
     spans = F.filter(match_spans(F.col("text"), TOKEN, 1), lambda s: s["part"] != "")
     placed = texts_of(docs, hits, text).select("digest", F.explode(F.transform(spans, lambda s: F.struct(
@@ -162,7 +167,7 @@ def term_spans(docs: DataFrame, revealing: DataFrame, text: str = "text") -> Dat
     removed = F.col("disclosed") >= REMOVE_AT
     number = len(BASE_KINDS) + F.when(removed, 0).otherwise(1)
     return (
-        placed.select("digest", "at.*").join(hits, ["digest", "term"])
+        in_bitmap(placed.select("digest", "at.*"), F.xxhash64("term"), known).join(hits, ["digest", "term"])
         .groupBy("digest").agg(F.array_sort(F.collect_list(F.struct(
             number.alias("number"), F.col("start"), F.col("end"),
             F.when(removed, REMOVED).otherwise(GENERALISED).alias("kind"), F.col("term").alias("value")))).alias("added")))
@@ -172,11 +177,13 @@ def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """doc_id and all spans of every row: base spans by kind and start, then the terms that reveal them."""
     found = settle(find_base(docs, key, text))
     added = term_spans(docs, settle(revealing_terms(docs, found, text)), text)
-    # Copies may crowd on one digest; the other side has one row for it, so adaptive execution splits them.
+    # Copies may crowd on one digest, so their rows are dealt out and the one row of added spans is repeated.
+    found = found.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(DEAL)))
+    added = added.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEAL - 1).cast("long"))))
     extra = F.transform(F.coalesce("added", F.array()), lambda s: F.struct(
         s["start"].alias("start"), s["number"].alias("number"), s["end"].alias("end"), s["kind"].alias("kind"),
         s["value"].alias("value")))
-    return found.join(added, "digest", "left").select(
+    return found.join(added, ["digest", "part"], "left").select(
         "doc_id", F.concat("base", F.coalesce(extra, F.array()).cast(SPANS)).alias("spans"))
 
 

@@ -71,7 +71,7 @@ def plain_added(rows):
         e, n = len(held), len(texts)
         for t, f in frequency.items():
             both = sum(t in terms[k] for k in held)
-            if both < P.LEAST_TEXTS or e == n:
+            if both < P.LEAST_TEXTS or both < f * P.LEAST_SHARE or e == n:
                 continue
             share, usual = both / f, e / n
             bits = f * (share * math.log2(share / usual) + ((1 - share) * math.log2((1 - share) / (1 - usual)) if both < f else 0))
