@@ -11,8 +11,8 @@ the join, so only links leave it.
 Equal fingerprints are one class before anything is joined: groups of copies never form pairs.
 
 Defined cases: null, empty and blank texts have fingerprint zero and are linked like any other; repeated rows
-repeat in the result; a null doc_id gets the null component of its own class only through other documents, that is,
-component_id is the smallest non-null doc_id of the component; an empty table gives an empty result.
+repeat in the result; a row with a null doc_id links others like any, and component_id is the smallest non-null doc_id of the
+component, null if there is none; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -188,13 +188,11 @@ def classes(prints: DataFrame) -> DataFrame:
     leads = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("lead")))
     n, both = bit_counts(leads)
     pairs = links(leads.select("fp"), plan_partitions(n, both))
-    first, second = leads.select(F.col("fp").alias("a"), F.col("lead").alias("la")), leads.select(F.col("fp").alias("b"), F.col("lead").alias("lb"))
-    # A class without any doc_id takes part under its fingerprint only; such rows have no component of their own.
-    edges = pairs.join(first, "a").join(second, "b").where("la IS NOT NULL AND lb IS NOT NULL").select(
-        F.col("la").alias("a"), F.col("lb").alias("b"))
-    roots = components(edges)
-    return leads.join(roots, leads["lead"] == roots["node"], "left").select(
-        "fp", "lead", F.coalesce("root", "lead").alias("component_id"))
+    # Classes are linked by fingerprint, so one whose rows all lack a doc_id still links others.
+    roots = components(pairs)
+    rooted = settle(leads.join(roots, leads["fp"] == roots["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "lead", "component_id")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

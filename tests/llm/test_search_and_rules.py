@@ -196,6 +196,12 @@ def test_plan_follows_the_number_of_fingerprints():
     assert [t for _, t in S.plan_partitions(10**10, even(10**10))] == [1, 1]
 
 
+def test_a_class_without_doc_ids_links_others(spark):
+    prints = spark.createDataFrame([(9, 0b1111), (None, 0b11), (7, 0), (None, 0b1 << 40 | 0xFF << 50)], "doc_id bigint, fp bigint")
+    got = sorted((r["fp"], r["lead"], r["component_id"]) for r in S.classes(prints).collect())
+    assert got == [(0, 7, 7), (0b11, None, 7), (0b1111, 9, 7), (0b1 << 40 | 0xFF << 50, None, None)]
+
+
 def test_near_duplicate_cases(spark):
     draw = random.Random(9)
     text = sentence(draw, 200)
