@@ -313,7 +313,8 @@ def index_pieces(items: DataFrame, piece_words: int = PIECE_WORDS) -> list[Index
     stats = each.distinct().join(df, "term").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("df"))
     full = settle(keyed.dropDuplicates(["row"]).join(stats, "row"))
     pieces = -(-words // piece_words)
-    stride = max(STRIDE, longest)
+    # A leaked item may be longer than the item by a share of `OVERLAP`; a window beside it holds it whole.
+    stride = max(STRIDE, math.ceil(longest / OVERLAP))
     return [
         build_index(full.where(F.pmod("row", F.lit(pieces)) == p).select("item_id", "text", "words", "df").collect(),
                     total, words / total, stride)
