@@ -13,9 +13,11 @@ from plumbline.plans.dashboard import Request, dashboard
 from plumbline.plans.registry import ORACLES, SQL_DAY, SQL_TIME, register
 from plumbline.sources import device_states, given_tables as g
 from plumbline.sources.days import newest_stored
+from plumbline.sources.lookups import append_findable, rows_of_keys
 from plumbline.sources.paged import read_paged_events, write_pages
 from plumbline.session import fresh_folder, settle
 from plumbline.sources.events import append_events, delete_events_by_day, export_csv, export_json, raw_export, read_events, tag_internal
+from plumbline.sources.tables import read_bucketed_exclusions, update_bucketed_exclusions
 
 AS_OF = g.AS_OF
 
@@ -370,6 +372,22 @@ register(
     ACTIONS + """SELECT device_id, note FROM last WHERE action = 'exclude'
 UNION ALL SELECT device_id, note FROM dev WHERE device_id NOT IN (SELECT device_id FROM last)""",
 )
+
+
+def _bucketed(spark, folder):
+    """The list in buckets after the older and then the newer half of the actions."""
+    path = fresh_folder(spark, "exclusions")
+    actions = g.exclusion_actions(spark, folder)
+    half = actions.agg(F.max("seq")).first()[0] // 2
+    listed = g.excluded_devices(spark, folder).select(
+        F.lit(0).cast("long").alias("seq"), F.lit("exclude").alias("action"), "device_id", "note")
+    update_bucketed_exclusions(spark, path, listed, buckets=16)
+    update_bucketed_exclusions(spark, path, actions.where(F.col("seq") <= half))
+    update_bucketed_exclusions(spark, path, actions.where(F.col("seq") > half))
+    return read_bucketed_exclusions(spark, path)
+
+
+register("exclusion_upsert_bucketed", _bucketed, ORACLES["exclusion_upsert"])
 register(
     "exclusion_rejects", lambda s, f: exclusions.split_actions(g.exclusion_actions(s, f))[1],
     ACTIONS + """SELECT * FROM act WHERE trim(device_id) = '' OR action NOT IN ('exclude', 'include')""",
@@ -388,6 +406,16 @@ def _deleted_by_day(spark, folder):
     return read_events(spark, path).select("id", "event", "session_id")
 
 
+def _events_of_devices(spark, folder):
+    path = fresh_folder(spark, "findable")
+    append_findable(g.events(spark, folder), path)
+    keys = g.excluded_devices(spark, folder, repeats=True).select(F.col("device_id").alias("session_id"))
+    return rows_of_keys(read_events(spark, path), "session_id", keys).select("id", "event", "session_id", "created_at")
+
+
+register(
+    "event_rows_of_devices", _events_of_devices, base_sql(None) + f"""SELECT id, event, session_id, strftime(created_at, {SQL_TIME}) AS created_at FROM raw WHERE session_id IN (SELECT device_id FROM dev)""",
+)
 FEEDBACK_DELETED = BASE + """, shown AS (SELECT id FROM a WHERE event = 'feedback' ORDER BY created_at DESC, id DESC LIMIT 200)
 SELECT id, event, session_id FROM raw WHERE id NOT IN (SELECT id FROM shown)"""
 register("feedback_delete_by_day", _deleted_by_day, FEEDBACK_DELETED)

@@ -12,7 +12,7 @@ from plumbline.plans.event_queries import base_sql
 from plumbline.plans.registry import SQL_DAY, SQL_TIME, register
 from plumbline.session import fresh_folder
 from plumbline.sources import device_states, given_tables as g
-from plumbline.streaming import events as st, ingest as ing
+from plumbline.streaming import events as st, ingest as ing, visits
 from plumbline.streaming.runs import drained
 
 
@@ -45,6 +45,14 @@ k AS (SELECT *, sum(starts) OVER (PARTITION BY device ORDER BY created_at, id) A
 b AS (SELECT device, min(created_at) AS a, max(created_at) + INTERVAL 30 MINUTE AS z, count(*) AS events FROM k GROUP BY device, visit)
 SELECT device, strftime(a, {SQL_TIME}) AS started_at, strftime(z, {SQL_TIME}) AS closes_at, events FROM b, mark WHERE z <= upto""")
 
+register("stream_visits_provisional", lambda s, f: visits.current_visits(drained(visits.growing_visits(_visible(s, f)), "growing")), base_sql(None) + f"""
+, d AS (SELECT * FROM v WHERE device IS NOT NULL), mark AS (SELECT max(created_at) - INTERVAL 1 HOUR AS upto FROM d),
+s AS (SELECT *, CASE WHEN created_at - lag(created_at) OVER (PARTITION BY device ORDER BY created_at, id) <= INTERVAL 30 MINUTE
+    THEN 0 ELSE 1 END AS starts FROM d),
+k AS (SELECT *, sum(starts) OVER (PARTITION BY device ORDER BY created_at, id) AS visit FROM s),
+b AS (SELECT device, min(created_at) AS a, max(created_at) + INTERVAL 30 MINUTE AS z, count(*) AS events FROM k GROUP BY device, visit)
+SELECT device, strftime(a, {SQL_TIME}) AS started_at, strftime(z, {SQL_TIME}) AS closes_at, events, z <= upto AS is_closed FROM b, mark""")
+
 
 def _twice(spark, folder):
     return _stream(spark, folder).unionByName(_stream(spark, folder))

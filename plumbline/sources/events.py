@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from plumbline.operators.exclusions import delete_by_id
 from plumbline.schemas import DAY_COLUMN, EVENTS
 from plumbline.session import settle
+from plumbline.sources.lookups import days_of_keys
 
 ISO_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 # Fixed value: columns of the raw export, in order.
@@ -63,12 +64,12 @@ def delete_events(spark: SparkSession, path: str, ids: DataFrame, target: str) -
 def delete_events_by_day(spark: SparkSession, path: str, ids: DataFrame) -> list:
     """Remove the listed ids from the stored table, rewriting only the days that hold them; the days are returned.
 
+    A short list of ids is looked up in the value ranges and bloom filters of the files first (`lookups`).
     What stays of these days is stored first, so a failed job can be repeated. A day of which nothing stays loses
     its folder. Readers of these days should wait until it is done.
     """
-    stored = read_events(spark, path)
     listed = ids.select("id").distinct()
-    days = [r[0] for r in stored.join(listed, "id", "left_semi").select(F.to_date("created_at")).distinct().collect()]
+    days = days_of_keys(spark, path, "id", listed)
     if not days:
         return days
     whole = spark.read.parquet(path)
