@@ -40,13 +40,15 @@ def lookup_join(
 
     A small `dim` is broadcast. Beyond the bound both sides are shuffled, and the
     fact rows of hot or null keys are spread over all partitions by `spread_by`:
-    their answer comes from the few hot keys, looked up beforehand.
+    their answer comes from the few hot keys, looked up beforehand. What was measured as large is joined by merging:
+    Spark would go by the size of the files, and a well compressed table would fill the driver as a broadcast.
     """
     keys = [key] if isinstance(key, str) else list(key)
     if small_enough(dim, max_rows, max_bytes):
         return facts.join(F.broadcast(dim), keys, "left")
 
     payload = [c for c in dim.columns if c not in keys]
+    dim = dim.hint("merge")
     incomplete = reduce(or_, [F.col(k).isNull() for k in keys])
     least = max(facts.count() // HOT_KEYS_AT_MOST, 1)
     hot = (
@@ -61,7 +63,7 @@ def lookup_join(
     lane = F.when(is_hot | incomplete, F.abs(F.xxhash64(spread_by, *mixed) % 1_000_000) + 1).otherwise(F.lit(0))
     spread = facts.join(F.broadcast(hot), keys, "left").withColumn("_lane", lane)
     # Always zero, but not a constant, so that the lane stays part of the shuffle key.
-    lanes = dim.withColumn("_lane", F.pmod(F.xxhash64(*keys), F.lit(1)))
+    lanes = dim.withColumn("_lane", F.pmod(F.xxhash64(*keys), F.lit(1))).hint("merge")
     answers = [F.when(is_hot, F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in payload]
     rest = [c for c in facts.columns if c not in keys]
     return spread.join(lanes, [*keys, "_lane"], "left").select(*keys, *rest, *answers)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import referrals as ref
 from plumbline.operators.joins import lookup_join, small_enough
 from plumbline.schemas import CLICKS, PROFILES, SIGNUPS
+from plumbline.session import settle
 
 SIGNUP = datetime(2024, 3, 1, 12, 30)
 
@@ -32,6 +33,16 @@ def test_lookup_join_is_the_same_on_both_paths(spark, max_rows):
     assert got == want and len(got) == 3000
 
 
+def test_a_large_lookup_is_no_broadcast_however_small_its_files(spark):
+    """A stored table of one repeated value takes few bytes, which is what Spark would go by."""
+    facts = spark.range(3000).select("id", (F.col("id") % 100).cast("string").alias("key"))
+    dim = settle(spark.range(100).select(F.col("id").cast("string").alias("key"), F.lit("the same").alias("value")))
+    joined = lookup_join(facts, dim, "key", "id", 10)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not [x for x in plan.split("\n") if "BroadcastHashJoin" in x and "_lane" in x]
+    assert joined.where("value = 'the same'").count() == 3000
+
+
 @pytest.mark.parametrize("spread_by", ["id", "nothing"])
 def test_lookup_join_spreads_the_hot_key(spark, spread_by):
     """The joined column is read, so the joins stay in the plan; `nothing` is null in every row."""
