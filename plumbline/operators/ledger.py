@@ -179,11 +179,12 @@ def normalise_ledger(lines: DataFrame) -> DataFrame:
 
 
 def ledger_rows(body: DataFrame, headers: DataFrame) -> DataFrame:
-    rows = _named(body, headers, "day_first")
+    # Cells are columns first, so that what reads one several times does not look it up each time.
+    rows = _named(body, headers, "day_first").select(
+        "file_id", "line_no", F.coalesce("day_first", F.lit(False)).alias("day_first"), *[_cell(c).alias(c) for c in HEADER_NAMES])
     return rows.select(
-        "file_id", "line_no", parse_date(_cell("gl_date"), F.coalesce("day_first", F.lit(False))).alias("gl_date"),
-        _cell("account").alias("account"), _cell("account_name").alias("account_name"), _cell("entity").alias("entity"),
-        parse_amount(_cell("amount")).alias("amount"), _cell("ref_no").alias("ref_no"),
+        "file_id", "line_no", parse_date(F.col("gl_date"), F.col("day_first")).alias("gl_date"),
+        "account", "account_name", "entity", parse_amount(F.col("amount")).alias("amount"), "ref_no",
     )
 
 

@@ -49,15 +49,16 @@ def joined_records(lines: DataFrame) -> DataFrame:
     """file_id, line_no of the first line, and line, for lines (file_id, split, line_no, line) with quoted line breaks.
 
     Before a line a quoted cell is open or not. What a line does to that is one of four maps: leave it, turn it, open it or close
-    it. Maps combine associatively, so each split is reduced to one map, a scan over the splits of a file tells the
-    state in which each begins, and within a split running sums give the state at every line. Only files in which some line
-    can leave a cell open take part; other files pass as they are. Lines are dealt by split, never by file.
+    it. Maps combine associatively, so within a split running sums give the state at every line for either state in which
+    the split may begin. Each split is thus one map, and a scan over the splits of a file tells which state it was. Lines are
+    dealt and ordered once, by split, never by file. Only files in which some line can leave a cell open take part; other files
+    pass as they are.
 
     A quote that is not closed until the end of its file opens nothing: from there on every line is a record. Line ends
     within a cell become a line feed; tabs separate no quoted cells.
     """
     opens, stays = leaves_open(F.col("line"), False), leaves_open(F.col("line"), True)
-    broken = lines.where(F.col("line").contains('"') & opens).select("file_id").distinct().withColumn("_broken", F.lit(True))
+    broken = settle(lines.where(F.col("line").contains('"') & opens).select("file_id").distinct().withColumn("_broken", F.lit(True)))
     marked = lookup_join(lines, broken, "file_id", "line_no")
     calm = marked.where("_broken IS NULL").select("file_id", "line_no", "line")
 
@@ -67,33 +68,40 @@ def joined_records(lines: DataFrame) -> DataFrame:
     steps = maps.withColumn("turns", turns)
     # A line that sets the state is remembered less the turns so far.
     sets = F.when(F.col("opens") == F.col("stays"), F.col("opens").cast("int") - F.col("turns"))
-    steps = settle(steps.withColumn("anchor", F.last(sets, ignorenulls=True).over(in_split)).select(
-        "file_id", "split", "line_no", "line", "turns", "anchor"))
+    steps = steps.withColumn("anchor", F.last(sets, ignorenulls=True).over(in_split))
+    for start in (0, 1):
+        steps = steps.withColumn(f"after_{start}", _after(F.col("anchor"), F.lit(start), F.col("turns")))
+        steps = steps.withColumn(f"before_{start}", F.lag(f"after_{start}", 1, start).over(in_split))
+        begun = F.max(F.when(F.col(f"before_{start}") == 0, F.col("line_no"))).over(in_split)
+        steps = steps.withColumn(f"record_{start}", begun)
+    steps = settle(steps.drop("opens", "stays", "turns", "anchor"))
+
+    def begun_in(name: str) -> Column:
+        return F.when(F.col("start") == 1, F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
 
     in_file = W.partitionBy("file_id").orderBy("split")
-    whole = steps.groupBy("file_id", "split").agg(F.max_by(F.struct("turns", "anchor"), "line_no").alias("m"))
-    whole = whole.select("file_id", "split", F.col("m.anchor").alias("anchor"), F.col("m.turns").alias("own"),
-                         F.sum("m.turns").over(in_file).alias("turns"))
-    sets = F.when(F.col("anchor").isNotNull(), F.col("anchor") + F.col("own") - F.col("turns"))
+    last = F.max_by(F.struct("after_0", "after_1"), "line_no").alias("m")
+    whole = steps.groupBy("file_id", "split").agg(F.max("record_0").alias("record_0"), F.max("record_1").alias("record_1"), last)
+    whole = whole.select("file_id", "split", "record_0", "record_1", "m.*").withColumn(
+        "turns", F.sum(F.when(F.col("after_0") > F.col("after_1"), 1).otherwise(0)).over(in_file))
+    sets = F.when(F.col("after_0") == F.col("after_1"), F.col("after_0") - F.col("turns"))
     ends = whole.withColumn("last", F.last(sets, ignorenulls=True).over(in_file)).withColumn(
         "end", _after(F.col("last"), F.lit(0), F.col("turns")))
-    starts = settle(ends.select("file_id", "split", F.lag("end", 1, 0).over(in_file).alias("start")))
-
-    states = steps.join(starts, ["file_id", "split"]).withColumn("after", _after(F.col("anchor"), F.col("start"), F.col("turns")))
-    states = states.withColumn("before", F.coalesce(F.lag("after").over(in_split), "start"))
-    begun = F.max(F.when(F.col("before") == 0, F.col("line_no"))).over(in_split)
-    placed = settle(states.select("file_id", "split", "line_no", "line", "before", "after", begun.alias("record")))
+    per_split = ends.withColumn("start", F.lag("end", 1, 0).over(in_file)).select(
+        "file_id", "split", "start", begun_in("record").alias("record"), begun_in("after").alias("after"))
 
     # The record in which a split begins, and the one that its file leaves open.
-    per_split = placed.groupBy("file_id", "split").agg(F.max("record").alias("record"), F.max_by("after", "line_no").alias("after"))
     earlier = in_file.rowsBetween(W.unboundedPreceding, -1)
     to_end = in_file.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    carried = per_split.select(
-        "file_id", "split", F.max("record").over(earlier).alias("carried"),
-        F.when(F.last("after").over(to_end) == 1, F.max("record").over(to_end)).alias("unclosed"))
-    told = placed.join(carried, ["file_id", "split"]).withColumn("record", F.coalesce("record", "carried"))
+    carried = settle(per_split.select(
+        "file_id", "split", "start", F.max("record").over(earlier).alias("carried"),
+        F.when(F.last("after").over(to_end) == 1, F.max("record").over(to_end)).alias("unclosed")))
+    told = lookup_join(steps, carried, ["file_id", "split"], "line_no").select(
+        "file_id", "line_no", "line", begun_in("before").alias("before"), begun_in("after").alias("after"),
+        F.coalesce(begun_in("record"), "carried").alias("record"), "unclosed")
     single = ((F.col("before") == 0) & (F.col("after") == 0)) | F.coalesce(F.col("record") == F.col("unclosed"), F.lit(False))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    several = told.where(~single).groupBy("file_id", "record").agg(parts.alias("parts")).select(
-        "file_id", F.col("record").alias("line_no"), F.array_join(F.transform("parts", lambda p: p["line"]), "\n").alias("line"))
+    parts = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    # Stored, so that readers who come twice join the parts once.
+    several = settle(told.where(~single).groupBy("file_id", "record").agg(parts.alias("parts")).select(
+        "file_id", F.col("record").alias("line_no"), F.array_join("parts.line", "\n").alias("line")))
     return calm.unionByName(told.where(single).select("file_id", "line_no", "line")).unionByName(several)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.delimited import cells_of, leaves_open
+from plumbline.session import settle
 from plumbline.sources import events as src, lines as L
 from plumbline.schemas import EVENTS
 from tests.test_sources import ROWS
@@ -81,6 +82,15 @@ def test_a_quote_that_never_closes_opens_nothing(spark):
     assert L.joined_records(spark.createDataFrame([], "file_id string, split long, line_no long, line string")).count() == 0
 
 
+def test_lines_are_dealt_by_split_once(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(L, "settle", lambda df: stored.append(df.columns) or settle(df))
+    rows = [("f", k // 3, k, line) for k, line in enumerate(['a,"x', 'y",b', "c", 'd,"', "e", '"', "f"])]
+    found = L.joined_records(spark.createDataFrame(rows, "file_id string, split long, line_no long, line string"))
+    assert [r["line"] for r in found.orderBy("line_no").collect()] == ['a,"x\ny",b', "c", 'd,"\ne\n"', "f"]
+    assert sum("line" in columns and "split" in columns for columns in stored) == 1
+
+
 def test_cells_after_a_closing_quote_and_open_cells(spark):
     df = spark.createDataFrame([('"a"x,b',), ('100,"Acme',), ('a"b,"c ""d"""',), ('"x\ny",2',)], "line string")
     got = [r[0] for r in df.select(cells_of(F.col("line"), F.lit(","))).collect()]
