@@ -84,15 +84,15 @@ def bitmap_of(keys: DataFrame) -> DataFrame:
     ).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
 
 
-def in_bitmap(rows: DataFrame, k: Column, bitmap: DataFrame) -> DataFrame:
-    """Rows whose hash `k` may be in the bitmap, which is broadcast: it is at most BITMAP_BITS / 8 bytes."""
+def in_bitmap(rows: DataFrame, k: Column, bitmap: DataFrame, held: bool = True) -> DataFrame:
+    """Rows whose hash `k` may be in the bitmap, or the others; it is broadcast, at most BITMAP_BITS / 8 bytes."""
     spot = F.pmod(k, F.lit(BITMAP_BITS))
     bit = (spot % BUCKET_BITS).cast("int")
     marked = rows.withColumn("_bucket", F.floor(spot / BUCKET_BITS).cast("int")).withColumn("_bit", bit).join(
-        F.broadcast(bitmap.withColumnRenamed("bucket", "_bucket")), "_bucket")
+        F.broadcast(bitmap.withColumnRenamed("bucket", "_bucket")), "_bucket", "inner" if held else "left")
     byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return marked.where(F.getbit(byte, F.col("_bit") % 8) == 1).drop(
-        "_bucket", "_bit", "bits")
+    hit = F.coalesce(F.getbit(byte, F.col("_bit") % 8) == 1, F.lit(False))
+    return marked.where(hit if held else ~hit).drop("_bucket", "_bit", "bits")
 
 
 def near_lines(lines: DataFrame, places: DataFrame) -> DataFrame:

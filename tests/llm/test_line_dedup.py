@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import line_dedup as L
 
@@ -94,3 +95,13 @@ def test_giant_line(spark):
     rows = [(1, giant), (2, giant[:15_000] + "#" + giant[15_001:]), (3, giant[:100] + giant[101:]), (4, giant[:5] + "##" + giant[7:])]
     assert run(spark, rows) == plain(rows)
     assert [bool(t) for _, t in plain(rows)] == [True, False, False, True]
+
+
+def test_a_bitmap_parts_rows_into_those_it_may_hold_and_the_others(spark):
+    rows = spark.range(2000).select("id", F.xxhash64("id").alias("k"))
+    bitmap = L.bitmap_of(rows.where("id < 3").select("k"))
+    held = {r["id"] for r in L.in_bitmap(rows, F.col("k"), bitmap).collect()}
+    others = {r["id"] for r in L.in_bitmap(rows, F.col("k"), bitmap, held=False).collect()}
+    assert {0, 1, 2} <= held and held | others == set(range(2000)) and not held & others
+    none = L.bitmap_of(rows.where("id < 0").select("k"))
+    assert L.in_bitmap(rows, F.col("k"), none).count() == 0 and L.in_bitmap(rows, F.col("k"), none, held=False).count() == 2000

@@ -68,3 +68,19 @@ def test_the_stage_takes_near_copies_beyond_three_bits(spark, tmp_path):
     kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
     assert sorted((r["doc_id"] for r in kept), key=str) == [1, 3, None]
     assert N.similar_groups(docs.limit(0)).count() == 0
+
+
+def test_a_text_without_doc_id_links_others(spark):
+    """The first and the last are less than 0.8 alike; what lies between them has no doc_id."""
+    draw = random.Random(8)
+    words = [draw.choice(WORDS) for _ in range(120)]
+    between, last = list(words), list(words)
+    between[20] = last[20] = "other"
+    last[70] = "another"
+    last[100] = "third"
+    texts = [" ".join(w) for w in (words, between, last)]
+    one, two, three = map(runs, texts)
+    assert 5 * len(one & two) >= 4 * len(one | two) and 5 * len(two & three) >= 4 * len(two | three)
+    assert 5 * len(one & three) < 4 * len(one | three)
+    found = N.similar_groups(spark.createDataFrame([(1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2])], DOCS)).collect()
+    assert sorted((str(r["doc_id"]), r["component_id"]) for r in found) == [("1", 1), ("2", 1), ("None", 1), ("None", 1)]
