@@ -103,8 +103,15 @@ def terms_of(text: str) -> Column:
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
-    """term and the number of distinct texts that have it; copies are left out before the terms are taken."""
-    texts = docs.where(F.col(text).isNotNull()).groupBy(digest_of(text).alias("digest")).agg(F.first(text).alias("text"))
+    """term and the number of distinct texts that have it; copies are left out before the terms are taken.
+
+    Only texts whose digest repeats, or shares its bit with one that does, are shuffled whole.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(digest_of(text).alias("digest"), F.col(text).alias("text"))
+    repeated = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("digest").alias("k"))
+    bitmap, place = settle(bitmap_of(repeated)), F.xxhash64("digest")
+    copies = in_bitmap(rows, place, bitmap).groupBy("digest").agg(F.first("text").alias("text"))
+    texts = in_bitmap(rows, place, bitmap, held=False).select("digest", "text").unionAll(copies)
     return texts.select(F.explode(terms_of("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
