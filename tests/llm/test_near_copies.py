@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import near_copies as N, simhash as S
 
@@ -84,3 +86,39 @@ def test_a_text_without_doc_id_links_others(spark):
     assert 5 * len(one & three) < 4 * len(one | three)
     found = N.similar_groups(spark.createDataFrame([(1, texts[0]), (None, texts[1]), (None, texts[1]), (2, texts[2])], DOCS)).collect()
     assert sorted((str(r["doc_id"]), r["component_id"]) for r in found) == [("1", 1), ("2", 1), ("None", 1), ("None", 1)]
+
+
+def test_texts_that_share_a_passage_alone_are_not_compared(spark, monkeypatch):
+    draw = random.Random(13)
+    say = lambda n: [draw.choice(WORDS) for _ in range(n)]
+    passage = say(12)
+    rows = [(k, " ".join(say(60) + passage + say(60))) for k in range(40)]
+    compared, likely_pairs = [], N.likely_pairs
+
+    def told(pairs, classes):
+        compared.append(pairs.count())
+        return likely_pairs(pairs, classes)
+
+    # Without common runs, the passage stands in the prefixes.
+    monkeypatch.setattr(N, "COMMON_FROM", 10 ** 6)
+    monkeypatch.setattr(N, "likely_pairs", told)
+    got = {r["doc_id"]: r["component_id"] for r in N.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == plain_groups(rows) == {k: k for k in range(40)}
+    assert sum(compared) < len(rows) // 2
+
+
+def test_prefixes_of_similar_sets_share_as_many_runs_as_asked_for(spark):
+    draw, cases = np.random.default_rng(3), []
+    for n in [*range(1, 40), 100, 400, 1000]:
+        for gone in {0, n // 12, n // 9, n // 6, n // 5}:
+            one = np.unique(draw.integers(-2 ** 63, 2 ** 63 - 1, n))
+            for new in {0, n // 12, n // 9, n // 4}:
+                two = np.unique(np.concatenate([one[draw.permutation(n)[gone:]], draw.integers(-2 ** 63, 2 ** 63 - 1, new)]))
+                both = len(np.intersect1d(one, two))
+                if 5 * both >= 4 * (n + len(two) - both):
+                    common = one[:n // 3]
+                    alike = len(np.intersect1d(N.prefix_of(one, common), N.prefix_of(two, common)))
+                    cases.append((n, len(two), alike))
+    found = spark.createDataFrame(cases, "n int, m int, alike int").withColumn("least", N.least_shared(F.col("n"), F.col("m"))).collect()
+    assert len(found) > 100 and max(r["least"] for r in found) > 50
+    assert all(r["alike"] >= r["least"] >= 1 for r in found)
