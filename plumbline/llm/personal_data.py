@@ -120,7 +120,8 @@ def texts_of(docs: DataFrame, digests: DataFrame, text: str = "text") -> DataFra
     wanted = digests.select("digest").distinct()
     likely = in_bitmap(docs.select(digest_of(text).alias("digest"), F.col(text).alias("text")), F.xxhash64("digest"),
                        bitmap_of(wanted.select(F.xxhash64("digest").alias("k"))))
-    return likely.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest", "left_semi")
+    # Not a semi-join: Spark moves those below the grouping and the bitmap, and then shuffles every text.
+    return likely.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest")
 
 
 def _same_texts() -> list[Column]:
