@@ -1,6 +1,6 @@
 """Byte-level BPE: texts into ids by the ranks of a vocabulary, and back.
 
-A text is split into pre-tokens by the vocabulary's pattern. The distinct pre-tokens of a batch go through two tiers. The first
+A text is split into pre-tokens by the vocabulary's pattern. The pre-tokens that are new to a task go through two tiers. The first
 is a minimal perfect hash over the vocabulary's entries (hash and displace: a key's bucket has a displacement, and both give
 the key's slot; there are as many slots as entries), which resolves every pre-token that is an entry itself: one probe and one
 comparison with the entry in the slot. The second takes the misses: their bytes are a linked list, the pairs of neighbours that
@@ -21,6 +21,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 # Characters after which a text is cut, and pre-tokens resolved together.
 CUT_AFTER = 1 << 18
 MOST_TOKENS = 1 << 18
-# Merged pre-tokens that a task remembers, and bytes of the longest of them.
+# Pre-tokens, and merged ones, that a task remembers, and bytes of the longest merged one.
 MEMO, MEMO_BYTES = 1 << 18, 64
 
 
@@ -184,12 +185,12 @@ class Vocabulary:
             return found, np.ones(len(tokens), np.int64)
         parts = [(self.remembered if len(tokens[k]) <= MEMO_BYTES else self.merged)(tokens[k]) for k in missed.tolist()]
         counts = np.ones(len(tokens), np.int64)
-        counts[missed] = [len(p) for p in parts]
+        counts[missed] = np.fromiter(map(len, parts), np.int64, len(parts))
         ids = np.empty(int(counts.sum()), np.int64)
         begins = np.cumsum(counts) - counts
         hit = found >= 0
         ids[begins[hit]] = found[hit]
-        ids[spread(begins[missed], counts[missed])] = np.concatenate([np.array(p, np.int64) for p in parts])
+        ids[spread(begins[missed], counts[missed])] = np.fromiter(chain.from_iterable(parts), np.int64, int(counts[missed].sum()))
         return ids, counts
 
     def bytes_of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,38 +224,56 @@ def stretches(text: str, size: int = CUT_AFTER) -> Iterator[str]:
     yield text[begin:] if begin else text
 
 
-class _Numbers(dict):
-    """Numbers new keys in the order in which they come."""
+class Resolved:
+    """Pre-tokens that a task has resolved, and their ids in a row; all are forgotten when they are more than `MEMO`."""
 
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        return number
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self._forget()
 
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def encode_batch(vocabulary: Vocabulary, split: regex.Pattern, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, and how many each has."""
+    def ids_of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all tokens in a row, and how many each has."""
+        if len(self.number) > MEMO:
+            self._forget()
+        number = self.number
+        new = [token for token in dict.fromkeys(tokens) if token not in number]
+        if new:
+            ids, counts = self.vocabulary.resolve([token.encode() for token in new])
+            number.update(zip(new, range(len(number), len(number) + len(new))))
+            self.ids, self.counts = np.concatenate([self.ids, ids]), np.concatenate([self.counts, counts])
+        at = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+        begins = np.cumsum(self.counts) - self.counts
+        counts = self.counts[at]
+        return self.ids[spread(begins[at], counts)], counts
+
+
+def encode_batch(vocabulary: Vocabulary, split: regex.Pattern, texts: list[str | None],
+                 known: Resolved | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and how many each has; `known` is what batches before have resolved."""
+    known = known or Resolved(vocabulary)
     totals = np.zeros(len(texts), np.int64)
     done: list[np.ndarray] = []
-    places: list[int] = []
+    waiting: list[str] = []
     of_text: list[int] = []
-    seen = _Numbers()
 
     def finish() -> None:
-        nonlocal places, of_text, seen
-        ids, counts = vocabulary.resolve([token.encode() for token in seen])
-        at = np.array(places, np.int64)
-        begins = np.cumsum(counts) - counts
-        done.append(ids[spread(begins[at], counts[at])].astype(np.int32))
+        nonlocal waiting, of_text
+        ids, counts = known.ids_of(waiting)
+        done.append(ids.astype(np.int32))
         owners = np.repeat(np.array(of_text[::2], np.int64), np.array(of_text[1::2], np.int64))
-        np.add.at(totals, owners, counts[at])
-        places, of_text, seen = [], [], _Numbers()
+        np.add.at(totals, owners, counts)
+        waiting, of_text = [], []
 
     for k, text in enumerate(texts):
         for stretch in stretches(text or ""):
             tokens = split.findall(stretch)
-            places.extend(map(seen.__getitem__, tokens))
+            waiting += tokens
             of_text += (k, len(tokens))
-            if len(places) >= MOST_TOKENS:
+            if len(waiting) >= MOST_TOKENS:
                 finish()
     finish()
     return np.concatenate(done), totals
@@ -268,8 +287,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, split = shared.value, regex.compile(pattern)
+        known = Resolved(vocabulary)
         for batch in batches:
-            ids, counts = encode_batch(vocabulary, split, batch.column("text").to_pylist())
+            ids, counts = encode_batch(vocabulary, split, batch.column("text").to_pylist(), known)
             ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, ids)], ["doc_id", "ids"])
 

@@ -87,3 +87,23 @@ def test_the_query_as_the_library(spark, tables, library):
         assert row["n_tokens"] == len(ids)
         assert row["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row["decoded_sha256"] == hashlib.sha256(texts[row["doc_id"]].encode()).hexdigest()
+
+
+def test_a_token_is_resolved_once_for_all_batches(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(B, "MEMO", 60)
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdexyzé ") for _ in range(draw.randrange(1, 12))) for _ in range(120)]
+    split, known, asked = regex.compile(public_tokenizers.PATTERN), B.Resolved(vocabulary), []
+    resolve = vocabulary.resolve
+    monkeypatch.setattr(vocabulary, "resolve", lambda tokens: asked.append(tokens) or resolve(tokens))
+    text = " ".join(words[:8])
+    for _ in range(3):
+        ids, counts = B.encode_batch(vocabulary, split, [text, None, text], known)
+        want = library.encode(text, disallowed_special=())
+        assert ids.tolist() == want * 2 and counts.tolist() == [len(want), 0, len(want)]
+    assert len(asked) == 1
+    # Beyond the bound all are forgotten, and the ids stay the same.
+    for at in range(0, 120, 20):
+        text = "\n".join(words[at:at + 20])
+        assert B.encode_batch(vocabulary, split, [text], known)[0].tolist() == library.encode(text, disallowed_special=())
+        assert len(known.number) <= 60 + len(split.findall(text))
