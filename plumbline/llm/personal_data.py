@@ -116,11 +116,15 @@ def document_frequency(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def texts_of(docs: DataFrame, digests: DataFrame, text: str = "text") -> DataFrame:
-    """digest and text, once each, of the texts whose digests are asked for; a bitmap keeps the others out of the shuffle."""
+    """digest and text, once each, of the texts whose digests are asked for; a bitmap keeps the others out of the shuffle.
+
+    Not a semi-join: where Spark expects to broadcast the digests, it moves that below the grouping and the bitmap; when they
+    then turn out too large, all texts are shuffled. The digests are distinct, so an inner join gives the same rows.
+    """
     wanted = digests.select("digest").distinct()
     likely = in_bitmap(docs.select(digest_of(text).alias("digest"), F.col(text).alias("text")), F.xxhash64("digest"),
                        bitmap_of(wanted.select(F.xxhash64("digest").alias("k"))))
-    return likely.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest", "left_semi")
+    return likely.groupBy("digest").agg(F.first("text").alias("text")).join(wanted, "digest")
 
 
 def _same_texts() -> list[Column]:
