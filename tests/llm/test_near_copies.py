@@ -122,3 +122,22 @@ def test_prefixes_of_similar_sets_share_as_many_runs_as_asked_for(spark):
     found = spark.createDataFrame(cases, "n int, m int, alike int").withColumn("least", N.least_shared(F.col("n"), F.col("m"))).collect()
     assert len(found) > 100 and max(r["least"] for r in found) > 50
     assert all(r["alike"] >= r["least"] >= 1 for r in found)
+
+
+def test_passages_that_a_sample_misses_leave_the_prefixes(spark, monkeypatch):
+    draw = random.Random(17)
+    say = lambda n: [draw.choice(WORDS) for _ in range(n)]
+    passage = say(30)
+    docs = spark.createDataFrame([(k, " ".join(say(60) + passage + say(60))) for k in range(40)], DOCS)
+    # The sample tells of no common run.
+    monkeypatch.setattr(N, "COMMON_FROM", 10 ** 6)
+    prefixes = N.prints_of(docs, "doc_id", "text").select(F.explode("prefix").alias("run"))
+    crowded = prefixes.groupBy("run").count().where("count >= 16").count()
+    # Counted once, so a run that moves up may be left.
+    assert crowded <= 2
+
+
+def test_links_do_not_depend_on_which_runs_are_crowded(spark, rows, monkeypatch):
+    monkeypatch.setattr(N, "CROWDED_FROM", 2, raising=False)
+    got = {r["doc_id"]: r["component_id"] for r in N.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == plain_groups(rows)
