@@ -183,14 +183,19 @@ def links(prints: DataFrame, partitions: list[tuple[list[int], int]]) -> DataFra
     return found.select("a", "b").distinct()
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """(fp, lead, component_id) for every distinct fingerprint; `prints` has doc_id and fp."""
+def rooted_prints(prints: DataFrame) -> DataFrame:
+    """(fp, lead, root) for every distinct fingerprint, stored; `prints` has doc_id and fp, root is a fingerprint of the component."""
     leads = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("lead")))
     n, both = bit_counts(leads)
     pairs = links(leads.select("fp"), plan_partitions(n, both))
     # Classes are linked by fingerprint, so one whose rows all lack a doc_id still links others.
     roots = components(pairs)
-    rooted = settle(leads.join(roots, leads["fp"] == roots["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")))
+    return settle(leads.join(roots, leads["fp"] == roots["node"], "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")))
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, lead, component_id) for every distinct fingerprint; `prints` has doc_id and fp."""
+    rooted = rooted_prints(prints)
     least = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
     return rooted.join(least, "root").select("fp", "lead", "component_id")
 

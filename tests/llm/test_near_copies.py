@@ -72,6 +72,27 @@ def test_the_stage_takes_near_copies_beyond_three_bits(spark, tmp_path):
     assert N.similar_groups(docs.limit(0)).count() == 0
 
 
+def test_the_stage_takes_what_fingerprints_link(spark, tmp_path):
+    """Texts that repeat one passage have few distinct runs, so another ending makes the sets unlike, not the fingerprints."""
+    draw = random.Random(4)
+    say = lambda n: [draw.choice(WORDS) for _ in range(n)]
+    texts = []
+    while len(texts) < 2:
+        passage = say(30) * 12
+        one, two = " ".join(passage + say(12)), " ".join(passage + say(12))
+        if (S.fingerprint(one) ^ S.fingerprint(two)).bit_count() <= S.MOST_DIFFERENT:
+            texts = [one, two]
+    assert 5 * len(runs(texts[0]) & runs(texts[1])) < 4 * len(runs(texts[0]) | runs(texts[1]))
+    # The third is alike to the second by its runs alone, so both ways together make one group.
+    words = texts[1].split()
+    third = " ".join(["other", *words[1:30], *words[-12:-1], "else"])
+    assert 5 * len(runs(third) & runs(texts[1])) >= 4 * len(runs(third) | runs(texts[1]))
+    assert all((S.fingerprint(third) ^ S.fingerprint(t)).bit_count() > S.MOST_DIFFERENT for t in texts)
+    docs = spark.createDataFrame([(3, third), (2, texts[1]), (1, texts[0]), (4, " ".join(say(60))), (None, texts[1])], DOCS)
+    kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] for r in kept), key=str) == [1, 4, None]
+
+
 def test_a_text_without_doc_id_links_others(spark):
     """The first and the last are less than 0.8 alike; what lies between them has no doc_id."""
     draw = random.Random(8)
