@@ -11,7 +11,7 @@ from plumbline.functions.money import parse_amount
 from plumbline.functions.outcomes import mentions
 from plumbline.functions.rent import parse_date, slashed_parts
 from plumbline.operators.joins import lookup_join
-from plumbline.session import settle
+from plumbline.session import settle, shuffles_freed
 
 # Header names per column, letters, digits and # only (our own beyond the documented ones).
 HEADER_NAMES = {
@@ -173,9 +173,10 @@ def ledger_headers(guess: DataFrame, body: DataFrame) -> DataFrame:
 
 def normalise_ledger(lines: DataFrame) -> DataFrame:
     """Export lines of any known layout to ledger rows; dates are read in the order each file shows."""
-    guess = settle(header_guess(lines))
-    body = split_body(lines, guess)
-    return ledger_rows(body, ledger_headers(guess, body))
+    with shuffles_freed(lines.sparkSession):
+        guess = settle(header_guess(lines))
+        body = split_body(lines, guess)
+        return ledger_rows(body, ledger_headers(guess, body))
 
 
 def ledger_rows(body: DataFrame, headers: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions.delimited import cells_of, leaves_open
-from plumbline.session import settle
-from plumbline.sources import events as src, lines as L
+from plumbline.session import FREE_SHUFFLES, settle, shuffles_freed
+from plumbline.sources import events as src, given_ledger as G, lines as L
+from plumbline.sources.given_files import broken_ledgers
 from plumbline.schemas import EVENTS
 from tests.test_sources import ROWS
 
@@ -91,6 +92,41 @@ def test_lines_are_dealt_by_split_once(spark, monkeypatch):
     assert sum("line" in columns and "split" in columns for columns in stored) == 1
 
 
+def test_records_within_a_split_are_joined_where_they_were_dealt(spark, monkeypatch):
+    stored = {}
+
+    def told(df):
+        out = settle(df)
+        if "line" in df.columns:
+            stored["split" in df.columns] = stored.get("split" in df.columns, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(L, "settle", told)
+    lines = [line for k in range(50) for line in (f'{k},"x', f'y",{k}')]
+    # Line 50 goes on in the second split, and line 0 would close a cell that were open before it.
+    rows = [("f", 0 if k < 51 else 1, k, line) for k, line in enumerate(lines)]
+    found = L.joined_records(spark.createDataFrame(rows, "file_id string, split long, line_no long, line string"))
+    assert [tuple(r) for r in found.orderBy("line_no").collect()] == [("f", 2 * k, f'{k},"x\ny",{k}') for k in range(50)]
+    assert stored == {True: 52, False: 2}
+
+
+def test_broken_ledgers_are_made_without_a_stored_copy_or_a_join_run_twice(spark, tables, monkeypatch):
+    stored, spread_out = [], []
+    monkeypatch.setattr(G, "settle", lambda df: stored.append(df.columns) or settle(df))
+    monkeypatch.setattr(G, "spread", lambda df: spread_out.append(df.columns) or df)
+    assert broken_ledgers(spark, tables).count() > spark.read.parquet(f"{tables}/lineitem.parquet").count()
+    assert not stored and len(spread_out) == 1 and all(c.startswith("l_") for c in spread_out[0])
+
+
+def test_shuffles_are_freed_within_alone(spark):
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    with shuffles_freed(spark):
+        with shuffles_freed(spark):
+            pass
+        assert spark.conf.get(FREE_SHUFFLES) == "true"
+    assert spark.conf.get(FREE_SHUFFLES, None) == before
+
+
 def test_cells_after_a_closing_quote_and_open_cells(spark):
     df = spark.createDataFrame([('"a"x,b',), ('100,"Acme',), ('a"b,"c ""d"""',), ('"x\ny",2',)], "line string")
     got = [r[0] for r in df.select(cells_of(F.col("line"), F.lit(","))).collect()]
